@@ -1,4 +1,4 @@
 """Import every plan module so the registry is complete."""
 
-from . import corpus  # noqa: F401
+from . import corpus, formats, splits  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
