@@ -80,11 +80,11 @@ def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: st
     """
     w = wanted.select(F.col(id_col).alias("__id"), F.col(start_col).alias("__s"))
     wc = w.select("__id", "__s", F.explode(F.array_distinct(F.array(
-        F.floor(F.col("__s") / chunk), F.floor((F.col("__s") + length - 1) / chunk)))).cast("long").alias("c"))
+        F.floor(F.col("__s") / chunk).cast("long"), F.floor((F.col("__s") + length - 1) / chunk).cast("long")))).alias("c"))
     s, e = F.col("start_off"), F.col("end_off")
     dc = offs.where(F.col("n_bytes") > 0).select(
         "start_off", "end_off", "bytes",
-        F.explode(F.sequence(F.floor(s / chunk), F.floor((e - 1) / chunk))).cast("long").alias("c"),
+        F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
     )
     j = dc.join(wc, "c")
     lo = F.greatest(s, F.col("__s"), F.col("c") * chunk)
@@ -122,7 +122,7 @@ def locate_positions(offs: DataFrame, draws: DataFrame, pos_col: str = "pos", ch
     s, e = F.col("start_off"), F.col("end_off")
     dc = offs.where(F.col("n_bytes") > 0).select(
         "start_off", "end_off", "bytes",
-        F.explode(F.sequence(F.floor(s / chunk), F.floor((e - 1) / chunk))).cast("long").alias("c"),
+        F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
     )
     d = draws.withColumn("c", F.floor(F.col(pos_col) / chunk).cast("long"))
     j = d.join(dc, "c").where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
