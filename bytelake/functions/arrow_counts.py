@@ -27,11 +27,13 @@ def value_bytes(arr: pa.Array):
     return data, offsets - offsets[0]
 
 
-def ngram_codes(data: np.ndarray, offsets: np.ndarray, k: int):
-    """Codes ``ctx * 256 + next`` for every position with k preceding bytes in the same value."""
+def ngram_codes(data: np.ndarray, offsets: np.ndarray, k: int, with_owner: bool = False):
+    """Codes ``ctx * 256 + next`` for every position with k preceding bytes in the same value
+    (and, with ``with_owner``, the row index each position belongs to)."""
     n = len(data)
     if n <= k:
-        return np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64)
+        return (empty, empty) if with_owner else empty
     code = data[k:].astype(np.int64)
     for j in range(1, k + 1):
         code += data[k - j : n - j].astype(np.int64) << (8 * j)
@@ -40,4 +42,4 @@ def ngram_codes(data: np.ndarray, offsets: np.ndarray, k: int):
     starts = offsets[:-1]
     owner = np.searchsorted(offsets, pos, side="right") - 1
     ok = pos - k >= starts[owner]
-    return code[ok]
+    return (code[ok], owner[ok]) if with_owner else code[ok]
