@@ -101,6 +101,31 @@ def token_rewards(df: DataFrame, keys: list[str], gen: str, ref: str, scale, cfg
     return x.select(*keys, F.posexplode("__rw").alias("pos", "reward"))
 
 
+def token_matches(df: DataFrame, keys: list[str], gen: str, ref: str) -> DataFrame:
+    """Long form ``(keys…, pos, match)`` over the common prefix of two byte strings."""
+    eq = F.filter(F.zip_with(hex_pairs(gen), hex_pairs(ref), lambda a, b: a == b), lambda x: x.isNotNull())
+    return df.select(*keys, F.posexplode(eq).alias("pos", "match"))
+
+
+def token_logprobs(df: DataFrame, keys: list[str], gen: str, model: DataFrame, unseen_logp: float | None = None) -> DataFrame:
+    """``(keys…, pos, logp)`` of each byte of ``gen`` given the previous byte under a k=1 model
+    (``ctx`` hex, ``next``, ``prob``); position 0 and unseen contexts use the uniform ``ln(1/256)``.
+
+    Context/next pairs are built inside the row (shifted arrays), then one broadcast join with the
+    model (at most 65,536 rows).
+    """
+    import math
+
+    uni = unseen_logp if unseen_logp is not None else -math.log(256.0)
+    hp = hex_pairs(gen)
+    pairs = F.zip_with(F.concat(F.array(F.lit(None).cast("string")), hp), hp, lambda a, b: F.struct(a.alias("ctx"), b.alias("nx")))
+    x = df.select(*keys, F.posexplode(F.slice(pairs, 1, F.size(hp))).alias("pos", "t")).select(
+        *keys, "pos", F.col("t.ctx").alias("ctx"), F.conv(F.col("t.nx"), 16, 10).cast("int").alias("next")
+    )
+    m = F.broadcast(model.select("ctx", "next", F.log("prob").alias("__lp")))
+    return x.join(m, ["ctx", "next"], "left").select(*keys, "pos", F.coalesce(F.col("__lp"), F.lit(uni)).alias("logp"))
+
+
 def token_penalty_baseline(df: DataFrame, alpha: float = 1.0, beta: float = -0.5) -> DataFrame:
     """Comparison scheme: ``alpha`` per matching position, ``beta`` per mismatch, over the common prefix."""
     m = F.least("gen_len", "ref_len")

@@ -125,16 +125,19 @@ def q_shuffle_rows(spark, sf):
     return split.shuffle_rows(docs(spark, sf), "doc_id", SEED).select("doc_id", "pos")
 
 
+# DuckDB: 100 episodes over 5 sampled pairs (CTE names prefixed ep_ so they can be chained)
+SQL_EPISODES = f"""ep_p AS ({SQL_PAIRS}),
+ep_c AS (SELECT pair_id, row_number() OVER (ORDER BY {U_PAIR}, pair_id) - 1 AS slot FROM (SELECT * FROM ep_p ORDER BY {U_PAIR}, pair_id LIMIT 5)),
+ep_k AS (SELECT count(*) AS k FROM ep_c),
+ep_e AS (SELECT range AS e FROM range(100)),
+ep AS (SELECT CAST(e AS INTEGER) AS episode, ep_c.pair_id, 1.0::DOUBLE + e::DOUBLE / greatest(1, 99) * 1.5::DOUBLE AS penalty_scale,
+  (e + 1) % 5 = 0 AS log_point, (e + 1) % 20 = 0 AS save_point
+  FROM ep_e, ep_k JOIN ep_c ON ep_c.slot = floor({u01_sql(SEED, "'episode'", 'e')} * ep_k.k))"""
+
+
 @query(
     "episode_plan",
-    sql=f"""WITH p AS ({SQL_PAIRS}),
-c AS (SELECT pair_id, row_number() OVER (ORDER BY {U_PAIR}, pair_id) - 1 AS slot FROM (SELECT * FROM p ORDER BY {U_PAIR}, pair_id LIMIT 5)),
-k AS (SELECT count(*) AS k FROM c),
-e AS (SELECT range AS e FROM range(100))
-SELECT CAST(e AS INTEGER) AS episode, c.pair_id,
-  round(1.0::DOUBLE + e::DOUBLE / greatest(1, 99) * 1.5::DOUBLE, 6) AS penalty_scale,
-  (e + 1) % 5 = 0 AS log_point, (e + 1) % 20 = 0 AS save_point
-FROM e, k JOIN c ON c.slot = floor({u01_sql(SEED, "'episode'", 'e')} * k.k)""",
+    sql=f"WITH {SQL_EPISODES} SELECT episode, pair_id, round(penalty_scale, 6) AS penalty_scale, log_point, save_point FROM ep",
 )
 def q_episode_plan(spark, sf):
     plan = split.episode_plan(pairs(spark, sf), "pair_id", 100, 5, 5, 20, 2.5, SEED)
