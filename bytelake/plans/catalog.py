@@ -1,4 +1,4 @@
 """Import every plan module so the registry is complete."""
 
-from . import corpus, formats, models, nucleus, rewards, splits, tokens, training  # noqa: F401
+from . import corpus, formats, models, nucleus, rewards, selection, splits, tokens, training  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
