@@ -15,12 +15,21 @@ from ..functions.rank import with_row_index
 
 
 def layer_norm(df: DataFrame, col: str = "embedding", out: str = "xn", eps: float = 1e-5) -> DataFrame:
-    """Per-vector ``(x - mean) / sqrt(var_pop + eps)`` (no affine part)."""
+    """Per-vector ``(x - mean) / sqrt(var_pop + eps)`` (no affine part).
+
+    The per-vector statistics enter the element-wise step through ``array_repeat`` (evaluated once
+    per row), so no lambda re-evaluates a whole-vector aggregate per element.
+    """
     x = df.withColumn("__x", F.transform(F.col(col), lambda v: v.cast("double")))
     n = F.size("__x")
-    x = x.withColumn("__m", F.aggregate("__x", F.lit(0.0), lambda a, v: a + v) / n)
-    x = x.withColumn("__v", F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__m")) * (v - F.col("__m"))) / n)
-    return x.withColumn(out, F.transform("__x", lambda v: (v - F.col("__m")) / F.sqrt(F.col("__v") + F.lit(eps)))).drop("__x", "__m", "__v")
+    s1 = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v)
+    x = x.withColumn("__m", s1 / n)
+    centered = F.zip_with("__x", F.array_repeat(F.col("__m"), n), lambda v, m: v - m)
+    x = x.withColumn("__c", centered)
+    var = F.aggregate("__c", F.lit(0.0), lambda a, v: a + v * v) / F.size("__c")
+    inv = F.lit(1.0) / F.sqrt(var + F.lit(eps))
+    x = x.withColumn(out, F.zip_with("__c", F.array_repeat(inv, F.size("__c")), lambda v, k: v * k))
+    return x.drop("__x", "__m", "__c")
 
 
 def _dim_sums(df: DataFrame, col: str, group=()) -> DataFrame:

@@ -71,12 +71,16 @@ def total_reward(df: DataFrame, scale: str = "scale", cfg: RewardConfig = CFG) -
 
 
 def _base_rewards(gen: str, ref: str, cfg: RewardConfig) -> Column:
-    gl = F.greatest(F.octet_length(gen), F.lit(1))
+    """Match rewards on the common prefix; the per-row step ``0.9 / gen_len`` reaches the
+    element-wise lambda through ``array_repeat`` (evaluated once per row)."""
+    step = F.lit(0.9) / F.greatest(F.octet_length(gen), F.lit(1))
     eq = F.zip_with(hex_pairs(gen), hex_pairs(ref), lambda a, b: a == b)
     common = F.filter(eq, lambda x: x.isNotNull())
-    return F.transform(
-        common,
-        lambda x, i: F.when(x, F.lit(cfg.base_reward) * (F.lit(0.1) + F.lit(0.9) * i / gl)).otherwise(F.lit(0.0)),
+    idx = F.transform(common, lambda x, i: F.struct(x.alias("m"), i.alias("i")))
+    return F.zip_with(
+        idx,
+        F.array_repeat(step, F.size(common)),
+        lambda t, d: F.when(t["m"], F.lit(cfg.base_reward) * (F.lit(0.1) + d * t["i"])).otherwise(F.lit(0.0)),
     )
 
 
