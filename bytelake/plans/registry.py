@@ -24,3 +24,12 @@ def query(key: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ensure_scratch(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a fresh local one only where none is configured."""
+    import tempfile
+
+    from ..session import checkpoint_dir, ensure_checkpoint_dir
+
+    return checkpoint_dir(spark) or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="bytelake-ckpt-"))
