@@ -99,35 +99,64 @@ def with_reward_array(df: DataFrame, gen: str, ref: str, scale, out: str = "rewa
     return x.withColumn(out, F.when(g < r, with_pen).otherwise(F.col("__base"))).drop("__base", "__pen", "__n")
 
 
+def _positions(df: DataFrame, keys: list[str], upto: Column, carry: list[str]) -> DataFrame:
+    """One row per position ``0 <= pos < upto`` (explode of a sequence: whole-stage codegen, the
+    byte columns in ``carry`` are read by position with binary ``substring``)."""
+    return df.where(upto > 0).select(*keys, *carry, F.explode(F.sequence(F.lit(0), upto - 1)).alias("pos"))
+
+
+def _byte_at(col: str, pos: Column) -> Column:
+    return F.substring(F.col(col), pos + 1, 1)
+
+
 def token_rewards(df: DataFrame, keys: list[str], gen: str, ref: str, scale, cfg: RewardConfig = CFG) -> DataFrame:
-    """Long form ``(keys…, pos, reward)`` of the reward list."""
-    x = with_reward_array(df, gen, ref, scale, "__rw", cfg)
-    return x.select(*keys, F.posexplode("__rw").alias("pos", "reward"))
+    """Long form ``(keys…, pos, reward)`` of the reward list (same values as :func:`with_reward_array`).
+
+    Positions are generated rows compared byte by byte; the end penalty lands on the last common
+    position, or forms the only row when there is no common position.
+    """
+    g, r = F.octet_length(gen), F.octet_length(ref)
+    m = F.least(g, r)
+    x = df.select(*keys, F.col(gen).alias("__g"), F.col(ref).alias("__r"), col_(scale).alias("__s"))
+    pen = F.when(F.col("__gl") < F.col("__rl"), F.lit(cfg.base_penalty) * F.col("__s") * (F.col("__rl") - F.col("__gl")) / F.col("__rl")).otherwise(F.lit(0.0))
+    x = x.withColumn("__gl", F.octet_length("__g")).withColumn("__rl", F.octet_length("__r")).withColumn("__m", F.least("__gl", "__rl"))
+    x = x.withColumn("__pen", pen)
+    pos = _positions(x, keys, F.col("__m"), ["__g", "__r", "__gl", "__m", "__pen"])
+    p = F.col("pos")
+    base = F.when(_byte_at("__g", p) == _byte_at("__r", p), F.lit(cfg.base_reward) * (F.lit(0.1) + F.lit(0.9) * p / F.greatest(F.col("__gl"), F.lit(1)))).otherwise(F.lit(0.0))
+    rows = pos.select(*keys, p.cast("int").alias("pos"), (base + F.when(p == F.col("__m") - 1, F.col("__pen")).otherwise(F.lit(0.0))).alias("reward"))
+    lone = x.where((F.col("__m") == 0) & (F.col("__gl") < F.col("__rl"))).select(*keys, F.lit(0).alias("pos"), F.col("__pen").alias("reward"))
+    return rows.unionByName(lone)
 
 
 def token_matches(df: DataFrame, keys: list[str], gen: str, ref: str) -> DataFrame:
     """Long form ``(keys…, pos, match)`` over the common prefix of two byte strings."""
-    eq = F.filter(F.zip_with(hex_pairs(gen), hex_pairs(ref), lambda a, b: a == b), lambda x: x.isNotNull())
-    return df.select(*keys, F.posexplode(eq).alias("pos", "match"))
+    x = df.select(*keys, F.col(gen).alias("__g"), F.col(ref).alias("__r"))
+    pos = _positions(x, keys, F.least(F.octet_length("__g"), F.octet_length("__r")), ["__g", "__r"])
+    p = F.col("pos")
+    return pos.select(*keys, p.cast("int").alias("pos"), (_byte_at("__g", p) == _byte_at("__r", p)).alias("match"))
 
 
 def token_logprobs(df: DataFrame, keys: list[str], gen: str, model: DataFrame, unseen_logp: float | None = None) -> DataFrame:
     """``(keys…, pos, logp)`` of each byte of ``gen`` given the previous byte under a k=1 model
     (``ctx`` hex, ``next``, ``prob``); position 0 and unseen contexts use the uniform ``ln(1/256)``.
 
-    Context/next pairs are built inside the row (shifted arrays), then one broadcast join with the
-    model (at most 65,536 rows).
+    Positions are generated rows; one broadcast join with the model (at most 65,536 rows).
     """
     import math
 
     uni = unseen_logp if unseen_logp is not None else -math.log(256.0)
-    hp = hex_pairs(gen)
-    pairs = F.zip_with(F.concat(F.array(F.lit(None).cast("string")), hp), hp, lambda a, b: F.struct(a.alias("ctx"), b.alias("nx")))
-    x = df.select(*keys, F.posexplode(F.slice(pairs, 1, F.size(hp))).alias("pos", "t")).select(
-        *keys, "pos", F.col("t.ctx").alias("ctx"), F.conv(F.col("t.nx"), 16, 10).cast("int").alias("next")
+    x = df.select(*keys, F.col(gen).alias("__g"))
+    pos = _positions(x, keys, F.octet_length("__g"), ["__g"])
+    p = F.col("pos")
+    t = pos.select(
+        *keys,
+        p.cast("int").alias("pos"),
+        F.when(p > 0, F.hex(_byte_at("__g", p - 1))).alias("ctx"),
+        F.conv(F.hex(_byte_at("__g", p)), 16, 10).cast("int").alias("next"),
     )
     m = F.broadcast(model.select("ctx", "next", F.log("prob").alias("__lp")))
-    return x.join(m, ["ctx", "next"], "left").select(*keys, "pos", F.coalesce(F.col("__lp"), F.lit(uni)).alias("logp"))
+    return t.join(m, ["ctx", "next"], "left").select(*keys, "pos", F.coalesce(F.col("__lp"), F.lit(uni)).alias("logp"))
 
 
 def token_penalty_baseline(df: DataFrame, alpha: float = 1.0, beta: float = -0.5) -> DataFrame:
@@ -152,12 +181,14 @@ def corrupted_bytes(ref: str, key: str, seed: int = 42, max_changes: int = 20) -
         ),
     )
     edits = F.when(k > 0, edits).otherwise(F.array().cast("array<struct<idx:int,val:string>>"))
-    applied = F.aggregate(
+    # each change splices one byte into the binary (native copy), at most max_changes per row
+    return F.aggregate(
         edits,
-        hex_pairs(b),
-        lambda arr, e: F.transform(arr, lambda x, i: F.when(i == e["idx"], e["val"]).otherwise(x)),
+        b,
+        lambda acc, e: F.concat(
+            F.substring(acc, F.lit(1), e["idx"]), F.unhex(e["val"]), F.substring(acc, e["idx"] + 2, F.octet_length(acc))
+        ),
     )
-    return F.unhex(F.array_join(applied, ""))
 
 
 VARIANT_FRACTIONS = (("p75", 0.75), ("p50", 0.5), ("p25", 0.25))
