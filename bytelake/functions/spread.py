@@ -1,0 +1,18 @@
+"""Adaptive input spreading.
+
+A scan yields one task per file split / row group.  When an input has fewer partitions than the
+cluster's parallelism (small or single-row-group files), the CPU-heavy per-row work after it would
+run on a few cores only; ``spread`` then repartitions it across the cluster.  On large inputs
+(more splits than cores) it is a no-op, so no extra shuffle is added at scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    want = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -19,15 +19,37 @@ from ..functions.arrow_counts import ngram_codes, value_bytes
 def _count_task(k: int, grouped: bool):
     import pandas as pd
 
+    width = 8 * (k + 1)  # bits of one (ctx, next) code
+    dense = not grouped and width <= 16  # k = 1: a 65,536-bin count vector per task
+
     def fn(it):
+        if dense:
+            acc = np.zeros(1 << width, np.int64)
+            for batch in it:
+                data, offs = value_bytes(batch.column(0))
+                codes = ngram_codes(data, offs, k)
+                if len(codes):
+                    acc += np.bincount(codes, minlength=1 << width)
+            nz = np.nonzero(acc)[0]
+            if len(nz):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(nz), np.int64)), pa.array(nz.astype(np.int64)), pa.array(acc[nz])],
+                    names=["grp", "code", "cnt"],
+                )
+            return
         parts = []
         for batch in it:
             data, offs = value_bytes(batch.column(0))
             codes, owner = ngram_codes(data, offs, k, with_owner=True)
             if not len(codes):
                 continue
-            g = batch.column(1).to_numpy(zero_copy_only=False)[owner] if grouped else np.zeros(len(codes), np.int64)
-            parts.append(pd.DataFrame({"grp": g.astype(np.int64), "code": codes}).value_counts().rename("cnt").reset_index())
+            g = batch.column(1).to_numpy(zero_copy_only=False)[owner].astype(np.int64) if grouped else np.zeros(len(codes), np.int64)
+            if width < 63 and g.min() >= 0 and g.max() < (1 << (63 - width)):
+                vc = pd.Series((g << width) | codes).value_counts(sort=False)
+                key = vc.index.to_numpy(np.int64)
+                parts.append(pd.DataFrame({"grp": key >> width, "code": key & ((1 << width) - 1), "cnt": vc.to_numpy(np.int64)}))
+            else:
+                parts.append(pd.DataFrame({"grp": g, "code": codes}).value_counts().rename("cnt").reset_index())
         if parts:
             out = pd.concat(parts).groupby(["grp", "code"], sort=False)["cnt"].sum().reset_index()
             yield pa.RecordBatch.from_pandas(out.astype({"grp": "int64", "code": "int64", "cnt": "int64"}), preserve_index=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import WeightConfig
 from ..operators import clean, stats
 from ..sources import parquet as src
-from .registry import query, table
+from .registry import query, table, text_table
 
 R9, R6 = 9, 6
 
@@ -29,7 +29,7 @@ w AS (SELECT byte, cnt, freq, least(pow(1.0::DOUBLE / freq, 0.5::DOUBLE), 10.0::
 
 def corpus(spark, sf):
     """documents -> (doc_id, text) with the content column detected by name."""
-    return src.select_content(table(spark, sf, "documents"), key="doc_id")
+    return src.select_content(text_table(spark, sf, "documents"), key="doc_id")
 
 
 def weights_table(spark, sf, cfg: WeightConfig = WeightConfig()):

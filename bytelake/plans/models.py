@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u01, u01_sql
 from ..operators import loss, ngram, split, stats
-from .registry import query, table
+from .registry import query, table, text_table
 
 SEED = 42
 N_BATCHES = 20
@@ -15,7 +15,7 @@ U_BATCH = u01_sql(SEED, "'batch'", "doc_id")
 
 
 def split_docs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
     d = split.split_hash(d, "doc_id", (0.8, 0.1, 0.1), seed=SEED)
     return d.withColumn("batch_id", F.floor(u01(SEED, F.lit("batch"), F.col("doc_id")) * N_BATCHES).cast("long"))
 

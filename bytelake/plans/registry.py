@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry long texts: spread across the cluster when the scan is narrow."""
+    from ..functions.spread import spread
+
+    return spread(table(spark, sf_dir, name))
+
+
 def ensure_scratch(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; a fresh local one only where none is configured."""
     import tempfile

@@ -9,7 +9,7 @@ from ..functions.rng import u01_sql
 from ..operators import blocks, formatting, split, stats, tokens
 from .fixtures import SQL_COMPLETIONS, completions
 from .formats import SQL_Q
-from .registry import query, table
+from .registry import query, table, text_table
 from .splits import SQL_PAIRS, pairs
 
 SEED = 42
@@ -18,7 +18,7 @@ U_DOC = u01_sql(SEED, "doc_id")
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return text_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
 @query("utf8_bytes", sql="SELECT doc_id, hex(encode(text)) AS bytes_hex FROM documents")
