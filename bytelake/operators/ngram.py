@@ -82,19 +82,19 @@ def ngram_counts(df: DataFrame, col: str = "text", k: int = 1, group_col: str |
 def ngram_probs(counts: DataFrame, lam: float = 1.0, dense: bool = True) -> DataFrame:
     """Add-``lam`` smoothed ``P(next | ctx)``; ``dense`` expands every seen ctx to all 256 next bytes.
 
-    Groups are contexts (at most 256 rows each), so per-context windows stay small.
+    One aggregation per context (a context holds at most 256 next bytes, so the collected map is
+    bounded), then an in-row expansion to the 256 next bytes: the counts are read once.
     """
-    tot = counts.groupBy("ctx").agg(F.sum("cnt").alias("ctx_total"))
+    per = counts.groupBy("ctx").agg(
+        F.map_from_entries(F.collect_list(F.struct("next", "cnt"))).alias("__m"), F.sum("cnt").alias("ctx_total")
+    )
+    denom = F.col("ctx_total") + F.lit(float(VOCAB * lam))
     if dense:
-        ids = counts.sparkSession.range(VOCAB).select(F.col("id").cast("int").alias("next"))
-        grid = tot.join(F.broadcast(ids), how="inner", on=F.lit(True))
-        base = grid.join(counts, ["ctx", "next"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
+        base = per.select("ctx", "ctx_total", "__m", F.explode(F.sequence(F.lit(0), F.lit(VOCAB - 1))).alias("next"))
+        base = base.withColumn("cnt", F.coalesce(F.try_element_at(F.col("__m"), F.col("next")), F.lit(0)).cast("long"))
     else:
-        base = counts.join(tot, "ctx")
-    denom = F.col("ctx_total") + F.lit(float(VOCAB * lam))
-    return base.select(
-        "ctx", "next", "cnt", ((F.col("cnt") + F.lit(float(lam))) / denom).alias("prob")
-    )
+        base = per.select("ctx", "ctx_total", F.explode("__m").alias("next", "cnt"))
+    return base.select("ctx", "next", "cnt", ((F.col("cnt") + F.lit(float(lam))) / denom).alias("prob"))
 
 
 def softmax_rows(logits: DataFrame, group: str = "ctx", logit: str = "logit") -> DataFrame:

@@ -55,7 +55,7 @@ def byte_histogram_sampled(df: DataFrame, key: str, col: str = "text", cap: int
     from .blocks import locate_positions, stream_offsets
 
     offs = stream_offsets(df, key, col)
-    total = offs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).scalar()
+    total = df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).scalar()
     spark = df.sparkSession
     draws = spark.range(cap).select(
         F.col("id").alias("draw"), F.floor(u01(seed, "id") * total).cast("long").alias("pos")

@@ -122,12 +122,20 @@ def q_stream_offsets(spark, sf):
 SQL_STREAM = "WITH s AS (SELECT string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents), l AS (SELECT h, length(h) // 2 AS n FROM s)"
 
 
+SQL_OFFS = """WITH o AS (SELECT doc_id, hex(encode(text)) AS h,
+    CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s,
+    CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e FROM documents),
+tot AS (SELECT max(e) AS n FROM o)"""
+
+
 @query(
     "stream_blocks_packed",
-    sql=SQL_STREAM
-    + f""", g AS (SELECT h, unnest(range(0, (n - 1) // {BLOCK})) AS g FROM l)
-SELECT g AS block_id, g * {BLOCK} AS start_off, substr(h, 2 * g * {BLOCK} + 1, {2 * BLOCK}) AS x_hex,
-  substr(h, 2 * g * {BLOCK} + 3, {2 * BLOCK}) AS y_hex FROM g""",
+    sql=SQL_OFFS
+    + f""", g AS (SELECT range AS g FROM range(0, (SELECT (n - 1) // {BLOCK} FROM tot))),
+pc AS (SELECT g.g, greatest(o.s, g.g * {BLOCK}) AS lo, least(o.e, g.g * {BLOCK} + {BLOCK + 1}) AS hi, o.h, o.s
+       FROM g JOIN o ON o.s < g.g * {BLOCK} + {BLOCK + 1} AND o.e > g.g * {BLOCK}),
+bl AS (SELECT g, string_agg(substr(h, CAST(2 * (lo - s) + 1 AS BIGINT), CAST(2 * (hi - lo) AS BIGINT)), '' ORDER BY lo) AS d FROM pc GROUP BY g)
+SELECT g AS block_id, g * {BLOCK} AS start_off, substr(d, 1, {2 * BLOCK}) AS x_hex, substr(d, 3, {2 * BLOCK}) AS y_hex FROM bl""",
 )
 def q_stream_blocks_packed(spark, sf):
     offs = blocks.stream_offsets(docs(spark, sf), "doc_id", "text")
