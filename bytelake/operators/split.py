@@ -92,9 +92,19 @@ def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement (the whole table when n >= size): smallest ``u01`` draws."""
-    return df.withColumn("__u", u01(seed, key)).orderBy("__u", key).limit(n).drop("__u")
+def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, oversample: float = 4.0) -> DataFrame:
+    """``n`` rows without replacement (the whole table when n >= size): the ``n`` smallest ``u01`` draws.
+
+    Exact without sorting the table: rows with ``u01 < t`` (``t`` sized for about ``oversample * n``
+    rows) are counted; when at least ``n`` fall below ``t`` the answer lies among them and only they
+    are ordered, otherwise every row is.
+    """
+    x = df.withColumn("__u", u01(seed, key))
+    total = _n_rows(df)
+    t = F.least(F.lit(1.0), F.lit(float(n * oversample + 64)) / F.greatest(total, F.lit(1)))
+    below = x.where(F.col("__u") < t).agg(F.count(F.lit(1))).scalar()
+    cut = F.when(below >= n, t).otherwise(F.lit(2.0))
+    return x.where(F.col("__u") < cut).orderBy("__u", key).limit(n).drop("__u")
 
 
 def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out: str = "draw") -> DataFrame:

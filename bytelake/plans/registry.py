@@ -40,3 +40,12 @@ def ensure_scratch(spark: SparkSession) -> str:
     from ..session import checkpoint_dir, ensure_checkpoint_dir
 
     return checkpoint_dir(spark) or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="bytelake-ckpt-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a small derived frame (sampled pairs) into the shared folder so the branches
+    that read it do not each recompute its sampling subqueries."""
+    from ..session import cut_lineage
+
+    ensure_scratch(df.sparkSession)
+    return cut_lineage(df)

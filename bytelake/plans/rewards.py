@@ -9,7 +9,7 @@ from ..functions.rng import u01, u01_sql
 from ..operators import rewards as rw
 from ..operators import split
 from .fixtures import SQL_COMPLETIONS, completions
-from .registry import query
+from .registry import materialize, query
 from .splits import SQL_PAIRS, pairs
 
 SEED = 42
@@ -79,7 +79,7 @@ def scored(spark, sf, pair_filter=None):
     p = pairs(spark, sf)
     c = completions(spark, sf)
     if pair_filter is not None:
-        p = pair_filter(p)
+        p = materialize(pair_filter(p))
         c = c.join(p.select("pair_id"), "pair_id", "left_semi")
     cands = rw.candidates(c, rw.synthetic_variants(p, "pair_id", "response", SEED))
     return rw.scored_candidates(cands, p.withColumnRenamed("response", "reference"), "pair_id", "reference")

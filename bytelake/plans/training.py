@@ -10,7 +10,7 @@ from ..operators import metrics
 from ..operators import rewards as rw
 from ..operators import split
 from .models import SQL_BASE, model
-from .registry import query
+from .registry import materialize, query
 from .rewards import SQL_CANDS, SQL_CANDS50, sample50, scored
 from .splits import SQL_EPISODES, SQL_PAIRS, pairs
 
@@ -121,7 +121,7 @@ def q_reward_fit_error(spark, sf):
 
 def history(spark, sf):
     p = pairs(spark, sf)
-    plan = split.episode_plan(p, "pair_id", 100, 5, 5, 20, 2.5, SEED)
+    plan = materialize(split.episode_plan(p, "pair_id", 100, 5, 5, 20, 2.5, SEED))
     chosen = plan.select("pair_id").distinct()
     pf = lambda x: x.join(chosen, "pair_id", "left_semi")
     s = _with_bytes(scored(spark, sf, pf).where(F.col("cand") == "model"))
