@@ -51,7 +51,7 @@ def _bucketed(df: DataFrame, order_cols: list[str], buckets: int | None, uniform
         return df.withColumn("__bkt", F.least(F.floor(F.col(uniform_col) * nb).cast("int"), F.lit(nb - 1)))
     first = order_cols[0]
     fracs = [i / nb for i in range(1, nb)]
-    bounds = df.agg(F.percentile_approx(F.col(first), fracs, 10 * nb).alias("b")).scalar()
+    bounds = df.agg(F.percentile_approx(F.col(first), fracs, max(10000, 4 * nb)).alias("b")).scalar()
     # the scalar subquery runs once; the search inside the row reads it as a column
     return (
         df.withColumn("__bounds", bounds)

@@ -16,6 +16,10 @@ from ..functions.binary import byte_lit, col_, utf8
 from ..functions.rank import with_exclusive_sum
 from ..functions.rng import u01
 
+# Draw tables (positions / window starts) are sized by a parameter; up to this many rows they are
+# broadcast so the corpus side of the chunk join is streamed, never shuffled.
+MAX_BROADCAST_DRAWS = 2_000_000
+
 
 def stream_offsets(df: DataFrame, key: str, col: str = "text", buckets: int | None = None) -> DataFrame:
     """``(key, n_bytes, start_off, end_off, bytes)``: where each document sits in the concatenated stream."""
@@ -72,7 +76,7 @@ def stream_blocks_packed(offs: DataFrame, block: int = 1024, stride: int | None
     )
 
 
-def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: str, length: int, chunk: int) -> DataFrame:
+def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: str, length: int, chunk: int, n_wanted: int | None = None) -> DataFrame:
     """Fetch ``stream[start, start+length)`` for each wanted row (``length`` <= ``chunk``).
 
     Wanted rows are exploded to the (at most two) chunk ids they touch and equi-joined with the
@@ -86,6 +90,8 @@ def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: st
         "start_off", "end_off", "bytes",
         F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
     )
+    if n_wanted is not None and n_wanted <= MAX_BROADCAST_DRAWS:
+        wc = F.broadcast(wc)
     j = dc.join(wc, "c")
     lo = F.greatest(s, F.col("__s"), F.col("c") * chunk)
     hi = F.least(e, F.col("__s") + length, (F.col("c") + 1) * chunk)
@@ -111,13 +117,13 @@ def stream_blocks_random(offs: DataFrame, block: int = 1024, k: int = 2, seed: i
         .cast("long")
         .alias("start_off"),
     )
-    got = locate_ranges(offs, starts, "draw", "start_off", block + 1, block + 1)
+    got = locate_ranges(offs, starts, "draw", "start_off", block + 1, block + 1, n_wanted=k)
     return got.select(
         "draw", "start_off", F.substring("data", 1, block).alias("x"), F.substring("data", 2, block).alias("y")
     )
 
 
-def locate_positions(offs: DataFrame, draws: DataFrame, pos_col: str = "pos", chunk: int = 1 << 16) -> DataFrame:
+def locate_positions(offs: DataFrame, draws: DataFrame, pos_col: str = "pos", chunk: int = 1 << 16, n_draws: int | None = None) -> DataFrame:
     """Byte value at each stream position in ``draws`` (duplicates kept: one output row per draw)."""
     s, e = F.col("start_off"), F.col("end_off")
     dc = offs.where(F.col("n_bytes") > 0).select(
@@ -125,7 +131,9 @@ def locate_positions(offs: DataFrame, draws: DataFrame, pos_col: str = "pos", ch
         F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
     )
     d = draws.withColumn("c", F.floor(F.col(pos_col) / chunk).cast("long"))
-    j = d.join(dc, "c").where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
+    if n_draws is not None and n_draws <= MAX_BROADCAST_DRAWS:
+        d = F.broadcast(d)
+    j = dc.join(d, "c").where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
     return j.select(
         *[F.col(c) for c in draws.columns],
         F.conv(F.hex(F.substring(F.col("bytes"), (F.col(pos_col) - s + 1).cast("int"), 1)), 16, 10).cast("int").alias("byte"),

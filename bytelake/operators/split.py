@@ -118,7 +118,9 @@ def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out:
     draws = df.sparkSession.range(m).select(
         F.col("id").alias(out), F.floor(u01(seed, "id") * n).cast("long").alias("__idx")
     )
-    return draws.join(indexed, "__idx").drop("__idx")
+    if m <= 2_000_000:  # parameter-sized: broadcast, the indexed table is streamed
+        draws = F.broadcast(draws)
+    return indexed.join(draws, "__idx").select(out, *df.columns)
 
 
 def episode_plan(

@@ -60,7 +60,7 @@ def byte_histogram_sampled(df: DataFrame, key: str, col: str = "text", cap: int
     draws = spark.range(cap).select(
         F.col("id").alias("draw"), F.floor(u01(seed, "id") * total).cast("long").alias("pos")
     ).where(total > cap)
-    picked = locate_positions(offs, draws, "pos")
+    picked = locate_positions(offs, draws, "pos", n_draws=cap)
     sampled = picked.groupBy("byte").agg(F.count(F.lit(1)).alias("cnt"))
     exact = byte_histogram(df.where(total <= cap), col)
     ids = spark.range(VOCAB).select(F.col("id").cast("int").alias("byte"))
