@@ -15,8 +15,14 @@ def utf8_bytes(df: DataFrame, col: str = "text", out: str = "bytes") -> DataFram
 
 
 def token_table(df: DataFrame, id_col: str, bin_col: str = "bytes") -> DataFrame:
-    """Long form ``(id, pos, byte)``: one row per token (use only where per-token rows are needed)."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(byte_array(bin_col)).alias("pos", "byte"))
+    """Long form ``(id, pos, byte)``: one row per token (use only where per-token rows are needed).
+
+    Positions are generated rows and each byte is read with a binary ``substring`` (whole-stage
+    codegen), not an exploded array.
+    """
+    n = F.octet_length(bin_col)
+    x = df.where(n > 0).select(F.col(id_col).alias("id"), F.col(bin_col).alias("__b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    return x.select("id", "pos", F.conv(F.hex(F.substring("__b", F.col("pos") + 1, 1)), 16, 10).cast("int").alias("byte"))
 
 
 def decode_replace(df: DataFrame, col: str = "bytes", out: str = "text") -> DataFrame:
