@@ -83,9 +83,9 @@ def q_detect_content_column(spark, sf):
 
 @query(
     "corpus_profile",
-    sql="""SELECT count(*) AS n_rows, count_if(doc_id IS NULL) AS nulls_doc_id, count_if(text IS NULL) AS nulls_text,
-       count_if(lang IS NULL) AS nulls_lang, count_if(source IS NULL) AS nulls_source,
-       count_if(n_chars IS NULL) AS nulls_n_chars FROM documents""",
+    sql="""SELECT count(*) AS n_rows, CAST(count_if(doc_id IS NULL) AS BIGINT) AS nulls_doc_id, CAST(count_if(text IS NULL) AS BIGINT) AS nulls_text,
+       CAST(count_if(lang IS NULL) AS BIGINT) AS nulls_lang, CAST(count_if(source IS NULL) AS BIGINT) AS nulls_source,
+       CAST(count_if(n_chars IS NULL) AS BIGINT) AS nulls_n_chars FROM documents""",
 )
 def q_corpus_profile(spark, sf):
     return src.corpus_profile(table(spark, sf, "documents"))
@@ -146,9 +146,9 @@ def q_preview(spark, sf):
 @query(
     "special_token_audit",
     sql="""SELECT lang, count(*) AS n_docs,
-  count_if(strpos(text, chr(254)) > 0) AS n_bos_char,
-  count_if(strpos(text, chr(255)) > 0) AS n_eos_char,
-  count_if(strpos(text, chr(0)) > 0) AS n_nul,
+  CAST(count_if(strpos(text, chr(254)) > 0) AS BIGINT) AS n_bos_char,
+  CAST(count_if(strpos(text, chr(255)) > 0) AS BIGINT) AS n_eos_char,
+  CAST(count_if(strpos(text, chr(0)) > 0) AS BIGINT) AS n_nul,
   CAST(0 AS BIGINT) AS n_invalid_utf8
 FROM documents GROUP BY lang""",
 )

@@ -80,7 +80,7 @@ def q_softmax_rows(spark, sf):
 @query(
     "cross_entropy_masked",
     sql=SQL_BASE + _sql_scored("m1", "1.0::DOUBLE / 256", "split = 'val'")
-    + " SELECT sum(cnt) AS n_tokens, round(sum(cnt * nll) / (sum(cnt) + 1e-9), 6) AS ce FROM sc",
+    + " SELECT CAST(sum(cnt) AS BIGINT) AS n_tokens, round(sum(cnt * nll) / (sum(cnt) + 1e-9), 6) AS ce FROM sc",
 )
 def q_cross_entropy_masked(spark, sf):
     val = split_docs(spark, sf).where(F.col("split") == "val")
@@ -101,7 +101,7 @@ wt AS (SELECT byte, w * 256 / sum(w) OVER () AS weight FROM wr)"""
     sql=SQL_BASE + SQL_WEIGHTS + _sql_scored("m1", "1.0::DOUBLE / 256", "split = 'val'")
     + """, a AS (SELECT sum(cnt) AS n, sum(cnt * nll) / (sum(cnt) + 1e-9) AS ce,
          sum(cnt * nll * weight) / (sum(cnt) + 1e-9) AS wce FROM sc JOIN wt ON wt.byte = sc.next)
-SELECT n AS n_tokens, round(ce, 6) AS ce, round(wce, 6) AS wce, round(abs(wce - ce), 6) AS proxy,
+SELECT CAST(n AS BIGINT) AS n_tokens, round(ce, 6) AS ce, round(wce, 6) AS wce, round(abs(wce - ce), 6) AS proxy,
   round(wce + 0.1 * abs(wce - ce), 6) AS total FROM a""",
 )
 def q_weighted_cross_entropy(spark, sf):
@@ -188,7 +188,7 @@ def q_kl_between(spark, sf):
 @query(
     "doc_perplexity",
     sql=SQL_BASE + _sql_scored("m1", "1.0::DOUBLE / 256", "TRUE", "doc_id")
-    + """ SELECT doc_id, sum(cnt) AS n_tokens, round(exp(sum(cnt * nll) / (sum(cnt) + 1e-9)), 6) AS perplexity FROM sc GROUP BY doc_id""",
+    + """ SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_tokens, round(exp(sum(cnt * nll) / (sum(cnt) + 1e-9)), 6) AS perplexity FROM sc GROUP BY doc_id""",
 )
 def q_doc_perplexity(spark, sf):
     counts = ngram.ngram_counts(split_docs(spark, sf), "text", 1, group_col="doc_id")

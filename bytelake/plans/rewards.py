@@ -135,7 +135,7 @@ def q_total_reward(spark, sf):
 
 @query(
     "token_penalty_baseline",
-    sql=SQL_CANDS + " SELECT pair_id, cand, round(1.0 * matches + (-0.5) * (least(gen_len, ref_len) - matches), 6) AS baseline_reward FROM sc",
+    sql=SQL_CANDS + " SELECT pair_id, cand, round(CAST(1.0 * matches + (-0.5) * (least(gen_len, ref_len) - matches) AS DOUBLE), 6) AS baseline_reward FROM sc",
 )
 def q_token_penalty_baseline(spark, sf):
     b = rw.token_penalty_baseline(scored(spark, sf), 1.0, -0.5)

@@ -46,7 +46,7 @@ def scored_with_model(spark, sf):
     "accept_reject",
     sql=SQL_SCORED
     + """, a AS (SELECT pair_id, (total_reward >= 0.5 OR gen_len >= ref_len) AS accepted FROM ss)
-SELECT pair_id, count(*) AS n_cands, count_if(accepted) AS n_accepted, round(count_if(accepted) / count(*), 6) AS accept_rate FROM a GROUP BY pair_id""",
+SELECT pair_id, count(*) AS n_cands, CAST(count_if(accepted) AS BIGINT) AS n_accepted, round(CAST(count_if(accepted) AS BIGINT) / count(*), 6) AS accept_rate FROM a GROUP BY pair_id""",
 )
 def q_accept_reject(spark, sf):
     a = sel.accept_rate(sel.accept_reject(scored_with_model(spark, sf), 0.5))
@@ -85,8 +85,8 @@ SWEEP = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
       (VALUES (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE), (2.5::DOUBLE), (3.0::DOUBLE), (3.5::DOUBLE)) s(scale)),
 tt AS (SELECT *, base + CASE WHEN gen_len < ref_len THEN -0.5 * scale * (ref_len - gen_len)::DOUBLE / ref_len ELSE 0.0 END AS total FROM sx),
 bb AS (SELECT pair_id, scale, arg_max(cand, (total, cand)) AS best FROM tt GROUP BY pair_id, scale),
-pa AS (SELECT scale, count_if(total >= 0) AS n_accepted, avg(total) AS avg_total FROM tt GROUP BY scale),
-pb AS (SELECT scale, count_if(best = 'model') AS n_best_model FROM bb GROUP BY scale)
+pa AS (SELECT scale, CAST(count_if(total >= 0) AS BIGINT) AS n_accepted, avg(total) AS avg_total FROM tt GROUP BY scale),
+pb AS (SELECT scale, CAST(count_if(best = 'model') AS BIGINT) AS n_best_model FROM bb GROUP BY scale)
 SELECT scale, n_accepted, round(avg_total, 6) AS avg_total, n_best_model FROM pa JOIN pb USING (scale)""",
 )
 def q_scale_sweep(spark, sf):

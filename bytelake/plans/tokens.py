@@ -30,7 +30,7 @@ def q_utf8_bytes(spark, sf):
 @query(
     "utf8_token_table",
     sql="""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS hx FROM documents)
-SELECT doc_id, count(*) AS n_tokens, sum(CAST(('0x' || hx) AS INTEGER)) AS byte_sum FROM t GROUP BY doc_id""",
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(('0x' || hx) AS INTEGER)) AS BIGINT) AS byte_sum FROM t GROUP BY doc_id""",
 )
 def q_utf8_token_table(spark, sf):
     t = tokens.token_table(tokens.utf8_bytes(docs(spark, sf), "text"), "doc_id")
@@ -52,8 +52,8 @@ def half_bytes(spark, sf):
 @query(
     "decode_replace",
     sql=f"""WITH h AS (SELECT lang, {SQL_HALF_HEX} AS hx FROM documents)
-SELECT lang, count(*) AS n_rows, count_if(try(decode(unhex(hx))) IS NULL) AS n_repaired,
-  sum(len(list_filter(regexp_extract_all(hx, '..'), lambda x: x[1] NOT IN ('8', '9', 'A', 'B')))) AS n_chars
+SELECT lang, count(*) AS n_rows, CAST(count_if(try(decode(unhex(hx))) IS NULL) AS BIGINT) AS n_repaired,
+  CAST(sum(len(list_filter(regexp_extract_all(hx, '..'), lambda x: x[1] NOT IN ('8', '9', 'A', 'B')))) AS BIGINT) AS n_chars
 FROM h GROUP BY lang""",
 )
 def q_decode_replace(spark, sf):
@@ -68,8 +68,8 @@ def q_decode_replace(spark, sf):
 @query(
     "decode_strict_or_message",
     sql=f"""WITH h AS (SELECT lang, try(decode({SQL_HALF})) AS t FROM documents)
-SELECT lang, count(*) AS n_rows, count_if(t IS NOT NULL) AS n_decoded,
-  sum(length(coalesce(t, 'Error: Unable to decode generated response.'))) AS n_chars
+SELECT lang, count(*) AS n_rows, CAST(count_if(t IS NOT NULL) AS BIGINT) AS n_decoded,
+  CAST(sum(length(coalesce(t, 'Error: Unable to decode generated response.'))) AS BIGINT) AS n_chars
 FROM h GROUP BY lang""",
 )
 def q_decode_strict_or_message(spark, sf):
@@ -83,8 +83,8 @@ def q_decode_strict_or_message(spark, sf):
 
 @query(
     "encoding_audit",
-    sql="""SELECT lang, source, count(*) AS n_rows, sum(length(text)) AS n_chars, sum(octet_length(encode(text))) AS n_bytes,
-  count_if(octet_length(encode(text)) > length(text)) AS n_multibyte_rows,
+    sql="""SELECT lang, source, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes,
+  CAST(count_if(octet_length(encode(text)) > length(text)) AS BIGINT) AS n_multibyte_rows,
   round(1.0::DOUBLE - sum(length(text))::DOUBLE / sum(octet_length(encode(text)))::DOUBLE, 6) AS multibyte_share,
   CAST(0 AS BIGINT) AS n_invalid
 FROM documents GROUP BY lang, source""",
@@ -101,7 +101,7 @@ ds AS (SELECT doc_id, text, CASE WHEN pos < n - n_hold THEN 'train'
 
 @query(
     "corpus_byte_totals",
-    sql=SQL_DOC_SPLIT + "\nSELECT coalesce(split, 'total') AS split, sum(octet_length(encode(text))) AS n_bytes FROM ds GROUP BY ROLLUP (split)",
+    sql=SQL_DOC_SPLIT + "\nSELECT coalesce(split, 'total') AS split, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM ds GROUP BY ROLLUP (split)",
 )
 def q_corpus_byte_totals(spark, sf):
     d = split.split_three_way(docs(spark, sf), "doc_id", 0.2, 0.5, SEED)
@@ -111,8 +111,8 @@ def q_corpus_byte_totals(spark, sf):
 @query(
     "stream_offsets",
     sql="""SELECT doc_id, octet_length(encode(text)) AS n_bytes,
-  coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_off,
-  sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_off
+  CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_off,
+  CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS end_off
 FROM documents""",
 )
 def q_stream_offsets(spark, sf):
@@ -196,7 +196,7 @@ def q_next_byte_target(spark, sf):
 
 @query(
     "padding_mask_stats",
-    sql=SQL_WIN + " SELECT pair_id, len(list_filter(regexp_extract_all(substr(x_hex, 3) || '00', '..'), lambda b: b <> '00')) AS n_valid FROM w",
+    sql=SQL_WIN + " SELECT pair_id, CAST(len(list_filter(regexp_extract_all(substr(x_hex, 3) || '00', '..'), lambda b: b <> '00')) AS INTEGER) AS n_valid FROM w",
 )
 def q_padding_mask_stats(spark, sf):
     y = blocks.next_byte_target(windows(spark, sf), "x", "y")
