@@ -47,6 +47,17 @@ def test_query_matches_oracle(spark, con, key):
     assert _rows(df.columns, got) == _rows(ocols, cur.fetchall())
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("key", ["token_weights", "corpus_profile", "encoding_audit", "reward_dataset", "doc_perplexity", "scale_sweep"])
+def test_output_types_agree(spark, con, key):
+    df = E.queries()[key](spark, SF_SMALL)
+    cur = con.execute(f"SELECT * FROM ({E.oracle_sql()[key]}) LIMIT 0")
+    duck = {d[0]: str(d[1]) for d in cur.description}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 256 and df.columns == ["byte", "cnt", "freq", "weight"]
