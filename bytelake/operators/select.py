@@ -1,7 +1,9 @@
 """Candidate selection: accept/reject, rerank, reward-weighted probabilities, scale sweep.
 
-Groups are prompts; a prompt has a bounded number of candidates (candidates x scales), so the
-per-prompt windows here are small by construction.
+Groups are prompts.  No operator orders or gathers a whole prompt in one task: per-prompt
+totals come from partial aggregations joined back (adaptive skew joins split hot prompts), and
+the top-k is taken per (prompt, salt) first so the final per-prompt ordering sees at most
+``k * salts`` rows.
 """
 
 from __future__ import annotations
@@ -27,18 +29,26 @@ def accept_rate(flagged: DataFrame, key: str = "pair_id") -> DataFrame:
     )
 
 
-def rerank_top_k(scored: DataFrame, k: int, key: str = "pair_id", score: str = "score", tie: str = "cand") -> DataFrame:
-    """Keep the ``k`` best candidates per prompt by ``score`` (ties: ``tie`` ascending)."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def rerank_top_k(scored: DataFrame, k: int, key: str = "pair_id", score: str = "score", tie: str = "cand", salts: int = 16) -> DataFrame:
+    """Keep the ``k`` best candidates per prompt by ``score`` (ties: ``tie`` ascending).
+
+    Two stages: top-k within ``(prompt, hash(tie) % salts)``, then top-k of those survivors.
+    """
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    salted = scored.withColumn("__salt", F.pmod(F.xxhash64(F.col(tie)), F.lit(salts)))
+    first = salted.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*order)))
+    first = first.where(F.col("__r") <= k).drop("__r", "__salt")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def reward_weighted_probs(scored: DataFrame, key: str = "pair_id", logp: str = "model_score", reward: str = "total_reward") -> DataFrame:
-    """``p * exp(reward)`` renormalised per prompt, computed as a max-shifted softmax of ``logp + reward``."""
-    w = Window.partitionBy(key)
-    z = F.col(logp) + F.col(reward)
-    x = scored.withColumn("__z", z - F.max(z).over(w))
-    return x.withColumn("prob", F.exp("__z") / F.sum(F.exp("__z")).over(w)).drop("__z")
+    """``p * exp(reward)`` renormalised per prompt: a max-shifted softmax of ``logp + reward`` whose
+    per-prompt max and normaliser come from aggregations joined back."""
+    x = scored.withColumn("__z", F.col(logp) + F.col(reward))
+    mx = x.groupBy(key).agg(F.max("__z").alias("__m"))
+    x = x.join(mx, key).withColumn("__e", F.exp(F.col("__z") - F.col("__m")))
+    tot = x.groupBy(key).agg(F.sum("__e").alias("__s"))
+    return x.join(tot, key).withColumn("prob", F.col("__e") / F.col("__s")).drop("__z", "__m", "__e", "__s")
 
 
 def scale_sweep(scored: DataFrame, scales, key: str = "pair_id", cfg: RewardConfig = RewardConfig()) -> DataFrame:
