@@ -103,3 +103,40 @@ def with_exclusive_sum(
 ) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows strictly before this one in ``order_cols`` order."""
     return _exclusive_prefix(df, order_cols, value, out, buckets, uniform_col)
+
+
+def with_running_min_by_group(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list[str],
+    value: str,
+    out: str,
+    buckets: int = 64,
+) -> DataFrame:
+    """Add ``out`` = minimum of ``value`` over the rows strictly before this one within its group
+    (``order_cols`` ascending, unique within a group); null for a group's first row.
+
+    A group never lands in one task: each group is cut into ``buckets`` ranges by approximate
+    quantiles of its first order column (one row of bounds per group, joined back), bucket minima
+    are aggregated, turned into exclusive running minima over at most ``buckets`` rows per group,
+    and combined with the running minimum inside each bucket.
+    """
+    first = order_cols[0]
+    fracs = [i / buckets for i in range(1, buckets)]
+    bounds = df.groupBy(*group_cols).agg(F.percentile_approx(F.col(first), fracs, max(10000, 4 * buckets)).alias("__bounds"))
+    tagged = (
+        df.join(bounds, group_cols)
+        .withColumn("__bkt", _binary_search_bucket(F.col(first), F.col("__bounds"), buckets - 1))
+        .drop("__bounds")
+    )
+    mins = tagged.groupBy(*group_cols, "__bkt").agg(F.min(value).alias("__m"))
+    wb = Window.partitionBy(*group_cols).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = mins.select(*group_cols, "__bkt", F.min("__m").over(wb).alias("__before"))
+    wi = Window.partitionBy(*group_cols, "__bkt").orderBy(*[F.col(c) for c in order_cols]).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return (
+        tagged.join(offs, group_cols + ["__bkt"])
+        .withColumn(out, F.least(F.col("__before"), F.min(value).over(wi)))
+        .drop("__bkt", "__before")
+    )

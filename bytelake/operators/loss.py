@@ -77,9 +77,13 @@ def eval_loss_robust(losses: DataFrame, split_col: str = "split", loss_col: str
 
 
 def best_so_far(history: DataFrame, run: str, step: str, value: str) -> DataFrame:
-    """Running strict minimum per run; ``new_best`` when the value beats every earlier one."""
-    prev = F.min(value).over(Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
-    return history.withColumn("__prev", prev).select(
+    """Running strict minimum per run; ``new_best`` when the value beats every earlier one.
+
+    The minimum of earlier steps is a bucketed prefix aggregate, so a long run is not one task.
+    """
+    from ..functions.rank import with_running_min_by_group
+
+    return with_running_min_by_group(history, [run], [step], value, "__prev").select(
         *history.columns,
         (F.col("__prev").isNull() | (F.col(value) < F.col("__prev"))).alias("new_best"),
         F.when(F.col("__prev").isNull(), F.col(value)).otherwise(F.least(F.col(value), F.col("__prev"))).alias("best"),

@@ -131,3 +131,18 @@ def test_decode_replace_matches_python(spark):
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "i int, bytes binary")
     got = {r.i: r.text for r in tokens.decode_replace(df, "bytes").collect()}
     assert all(got[i] == b.decode("utf-8", errors="replace") for i, b in enumerate(blobs))
+
+
+def test_running_min_by_group_matches_python(spark):
+    from bytelake.functions.rank import with_running_min_by_group
+
+    rnd = random.Random(11)
+    rows = [(g, s, rnd.random()) for g in ("a", "b") for s in range(400)]
+    df = spark.createDataFrame(rows, "run string, step int, v double").repartition(5)
+    got = {(r.run, r.step): r.prev for r in with_running_min_by_group(df, ["run"], ["step"], "v", "prev", buckets=8).collect()}
+    for g in ("a", "b"):
+        m = None
+        for s in range(400):
+            assert got[(g, s)] == m
+            v = next(x[2] for x in rows if x[0] == g and x[1] == s)
+            m = v if m is None else min(m, v)
