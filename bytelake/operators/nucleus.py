@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import u01
+from ..session import cut_lineage
 
 ZERO_BUCKET = 1 << 30
 
@@ -25,6 +26,8 @@ def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, re
     Cumulative sums are taken in weight units and compared with ``p * group_total``, so integer
     weights (counts) give exact decisions at the cut.
     """
+    # the input is read by several branches below: checkpoint it once (shared folder) if configured
+    df = cut_lineage(df)
     totals = df.groupBy(group).agg(F.sum(weight).alias("__tot"))
     x = df.join(totals, group).withColumn("__w", F.col(weight)).withColumn("__share", F.col(weight) / F.col("__tot"))
     b = F.when(F.col("__share") > 0, F.floor(-F.log2(F.col("__share")) * resolution)).otherwise(F.lit(ZERO_BUCKET)).cast("long")

@@ -16,9 +16,9 @@ from .splits import SQL_PAIRS, pairs
 SEED = 42
 
 
-def completions(spark, sf):
-    """``(pair_id, prompt, reference, completion, includes_prompt)``."""
-    p = pairs(spark, sf)
+def completions(spark, sf, p=None):
+    """``(pair_id, prompt, reference, completion, includes_prompt)`` (from ``p`` when given)."""
+    p = pairs(spark, sf) if p is None else p
     u = u01(SEED, F.lit("gen"), F.col("pair_id"))
     tagged = F.concat(
         F.lit(THINK_TAG), F.col("prompt"), F.lit(THINK_END_TAG + "\n" + ANSWER_TAG), F.col("response"), F.lit(ANSWER_END_TAG)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u01, u01_sql
 from ..operators import loss, ngram, split, stats
-from .registry import query, table, text_table
+from .registry import materialize, query, table, text_table
 
 SEED = 42
 N_BATCHES = 20
@@ -25,7 +25,9 @@ def train_counts(spark, sf):
 
 
 def model(spark, sf, lam=1.0):
-    return ngram.ngram_probs(train_counts(spark, sf), lam, dense=True)
+    """The dense k=1 model (at most 65,536 rows), checkpointed once: loss, KL, top-p and log-prob
+    plans read it from several branches."""
+    return materialize(ngram.ngram_probs(train_counts(spark, sf), lam, dense=True))
 
 
 # DuckDB: split documents, all bigrams (ctx hex, next) per document

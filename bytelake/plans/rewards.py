@@ -76,11 +76,11 @@ def variants(spark, sf):
 
 
 def scored(spark, sf, pair_filter=None):
-    p = pairs(spark, sf)
-    c = completions(spark, sf)
+    # pairs feed the completions, the variants and the references: derive them once
+    p = materialize(pairs(spark, sf))
     if pair_filter is not None:
         p = materialize(pair_filter(p))
-        c = c.join(p.select("pair_id"), "pair_id", "left_semi")
+    c = completions(spark, sf, p)
     cands = rw.candidates(c, rw.synthetic_variants(p, "pair_id", "response", SEED))
     return rw.scored_candidates(cands, p.withColumnRenamed("response", "reference"), "pair_id", "reference")
 
