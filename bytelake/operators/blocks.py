@@ -103,13 +103,16 @@ def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: st
     return out.select(F.col("__id").alias(id_col), F.col("lo0").alias(start_col), "data")
 
 
-def stream_blocks_random(offs: DataFrame, block: int = 1024, k: int = 2, seed: int = 42) -> DataFrame:
+def stream_blocks_random(offs: DataFrame, block: int = 1024, k: int = 2, seed: int = 42, total=None) -> DataFrame:
     """``k`` blocks at starts drawn uniformly from ``[0, L - block)``; ``y`` is the true next byte.
 
+    ``total`` (the stream length L, a scalar column) can be supplied from a cheaper source than the
+    offsets (e.g. a byte-length sum over the documents) so the offsets are derived only once.
     Fails (raises at execution) when the stream holds no more than ``block`` bytes.
     """
     spark = offs.sparkSession
-    total = offs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).scalar()
+    if total is None:
+        total = offs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).scalar()
     starts = spark.range(k).select(
         F.col("id").alias("draw"),
         F.when(total > block, F.floor(u01(seed, "id") * (total - block)))

@@ -151,8 +151,10 @@ st AS (SELECT draw, CAST(floor({u01_sql(SEED, 'draw')} * (n - {BLOCK})) AS BIGIN
 SELECT draw, start_off, substr(h, 2 * start_off + 1, {2 * BLOCK}) AS x_hex, substr(h, 2 * start_off + 3, {2 * BLOCK}) AS y_hex FROM st""",
 )
 def q_stream_blocks_random(spark, sf):
-    offs = blocks.stream_offsets(docs(spark, sf), "doc_id", "text")
-    b = blocks.stream_blocks_random(offs, BLOCK, 512, SEED)
+    d = docs(spark, sf)
+    offs = blocks.stream_offsets(d, "doc_id", "text")
+    total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).scalar()
+    b = blocks.stream_blocks_random(offs, BLOCK, 512, SEED, total=total)
     return b.select("draw", "start_off", F.hex("x").alias("x_hex"), F.hex("y").alias("y_hex"))
 
 
