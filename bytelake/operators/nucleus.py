@@ -18,36 +18,50 @@ from ..session import cut_lineage
 ZERO_BUCKET = 1 << 30
 
 
-def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, resolution: int = 64) -> DataFrame:
+def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, resolutions=(64, 65536)) -> DataFrame:
     """Per group, sort by weight desc (ties: item asc) and keep items whose *preceding* cumulative
     share is <= ``p`` (so at least one); ``prob`` is the share renormalised over the kept items
     (input columns named ``share``/``prob`` are replaced).
 
     Cumulative sums are taken in weight units and compared with ``p * group_total``, so integer
-    weights (counts) give exact decisions at the cut.
+    weights (counts) give exact decisions at the cut.  Each level of ``resolutions`` (log-scale
+    buckets per octave, each level nested in the previous) keeps whole buckets before the cut,
+    drops buckets after it, and passes only the boundary bucket on; only the last boundary bucket
+    (items within ``2^(1/resolutions[-1])`` of each other) is ordered row by row.
     """
     # the input is read by several branches below: checkpoint it once (shared folder) if configured
     df = cut_lineage(df)
     totals = df.groupBy(group).agg(F.sum(weight).alias("__tot"))
-    x = df.join(totals, group).withColumn("__w", F.col(weight)).withColumn("__share", F.col(weight) / F.col("__tot"))
-    b = F.when(F.col("__share") > 0, F.floor(-F.log2(F.col("__share")) * resolution)).otherwise(F.lit(ZERO_BUCKET)).cast("long")
-    x = x.withColumn("__b", b)
-    bt = x.groupBy(group, "__b").agg(F.sum("__w").alias("__bm"))
-    wb = Window.partitionBy(group).orderBy("__b")  # at most ~64 * resolution buckets per group
-    bt = bt.select(
-        group, "__b",
-        F.coalesce(F.sum("__bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"),
-        F.sum("__bm").over(wb.rowsBetween(Window.unboundedPreceding, 0)).alias("__end"),
+    cand = (
+        df.join(totals, group)
+        .withColumn("__w", F.col(weight))
+        .withColumn("__share", F.col(weight) / F.col("__tot"))
+        .withColumn("__base", F.lit(0).cast(df.schema[weight].dataType))
     )
     cut = F.lit(float(p)) * F.col("__tot")
-    y = x.join(bt, [group, "__b"]).where(F.col("__start") <= cut)
-    keep_all = y.where(F.col("__end") <= cut)
-    edge = y.where(F.col("__end") > cut)
+    kept_parts = []
+    for res in resolutions:
+        b = F.when(F.col("__share") > 0, F.floor(-F.log2(F.col("__share")) * res)).otherwise(F.lit(ZERO_BUCKET)).cast("long")
+        cand = cand.withColumn("__b", b)
+        bt = cand.groupBy(group, "__b").agg(F.sum("__w").alias("__bm"))
+        wb = Window.partitionBy(group).orderBy("__b")  # bounded: buckets of one group at this level
+        bt = bt.select(
+            group, "__b",
+            F.coalesce(F.sum("__bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__rel"),
+            F.col("__bm"),
+        )
+        y = cand.join(bt, [group, "__b"]).withColumn("__start", F.col("__base") + F.col("__rel"))
+        y = y.withColumn("__end", F.col("__start") + F.col("__bm")).where(F.col("__start") <= cut)
+        kept_parts.append(y.where(F.col("__end") <= cut).select(*df.columns, "__tot", "__w", "__share"))
+        cand = y.where(F.col("__end") > cut).withColumn("__base", F.col("__start")).drop("__b", "__rel", "__bm", "__start", "__end")
     wi = Window.partitionBy(group, "__b").orderBy(F.col("__w").desc(), F.col(item).asc())
-    edge = edge.withColumn(
-        "__prec", F.col("__start") + F.coalesce(F.sum("__w").over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).where(F.col("__prec") <= cut).drop("__prec")
-    kept = keep_all.unionByName(edge)
+    edge = cand.withColumn("__b", b).withColumn(
+        "__prec", F.col("__base") + F.coalesce(F.sum("__w").over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).where(F.col("__prec") <= cut)
+    kept_parts.append(edge.select(*df.columns, "__tot", "__w", "__share"))
+    kept = kept_parts[0]
+    for part in kept_parts[1:]:
+        kept = kept.unionByName(part)
     mass = kept.groupBy(group).agg(F.sum("__w").alias("__kept"))
     return kept.join(mass, group).select(
         *[c for c in df.columns if c not in ("share", "prob")],

@@ -146,3 +146,26 @@ def test_running_min_by_group_matches_python(spark):
             assert got[(g, s)] == m
             v = next(x[2] for x in rows if x[0] == g and x[1] == s)
             m = v if m is None else min(m, v)
+
+
+@pytest.mark.parametrize("p", [0.3, 0.8])
+def test_top_p_hot_group_brute_force(spark, p):
+    """One group holds most rows, with near-equal and exactly equal weights at the cut."""
+    rnd = random.Random(5)
+    rows = [("hot", i, 1_000_000 + rnd.randrange(50)) for i in range(3000)]
+    rows += [("hot", 5000 + i, 999_990) for i in range(300)]
+    rows += [("cold", i, rnd.randrange(1, 100)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, i long, w long").repartition(6)
+    got = {(r.g, r.i): r.prob for r in nucleus.top_p_filter(df, "g", "i", "w", p).collect()}
+    want = {}
+    for g in ("hot", "cold"):
+        items = sorted([(w, i) for gg, i, w in rows if gg == g], key=lambda t: (-t[0], t[1]))
+        tot, prec, kept = sum(w for w, _ in items), 0, []
+        for w, i in items:
+            if prec <= p * tot:
+                kept.append((w, i))
+            prec += w
+        km = sum(w for w, _ in kept)
+        want.update({(g, i): w / km for w, i in kept})
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
