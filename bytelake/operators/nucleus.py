@@ -39,30 +39,41 @@ def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, re
         .withColumn("__base", F.lit(0).cast(df.schema[weight].dataType))
     )
     cut = F.lit(float(p)) * F.col("__tot")
-    kept_parts = []
-    for res in resolutions:
+    kept_parts, mass_parts = [], []
+    for level, res in enumerate(resolutions):
         b = F.when(F.col("__share") > 0, F.floor(-F.log2(F.col("__share")) * res)).otherwise(F.lit(ZERO_BUCKET)).cast("long")
         cand = cand.withColumn("__b", b)
-        bt = cand.groupBy(group, "__b").agg(F.sum("__w").alias("__bm"))
+        bt = cand.groupBy(group, "__b").agg(F.sum("__w").alias("__bm"), F.first("__base").alias("__b0"), F.first("__tot").alias("__t"))
         wb = Window.partitionBy(group).orderBy("__b")  # bounded: buckets of one group at this level
-        bt = bt.select(
-            group, "__b",
-            F.coalesce(F.sum("__bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__rel"),
-            F.col("__bm"),
+        bt = bt.withColumn(
+            "__start", F.col("__b0") + F.coalesce(F.sum("__bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ).withColumn("__end", F.col("__start") + F.col("__bm"))
+        bcut = F.lit(float(p)) * F.col("__t")
+        # whole buckets kept at this level contribute their mass without touching their rows
+        mass_parts.append(bt.where(F.col("__end") <= bcut).select(group, F.col("__bm").alias("__m")))
+        sel = bt.select(group, "__b", "__start", "__end")
+        y = cand.join(sel, [group, "__b"])
+        kept_parts.append(y.where(F.col("__end") <= cut).select(*df.columns, "__w", "__share"))
+        # boundary rows only go on to the next level
+        cand = (
+            y.where((F.col("__start") <= cut) & (F.col("__end") > cut))
+            .withColumn("__base", F.col("__start"))
+            .drop("__b", "__start", "__end")
         )
-        y = cand.join(bt, [group, "__b"]).withColumn("__start", F.col("__base") + F.col("__rel"))
-        y = y.withColumn("__end", F.col("__start") + F.col("__bm")).where(F.col("__start") <= cut)
-        kept_parts.append(y.where(F.col("__end") <= cut).select(*df.columns, "__tot", "__w", "__share"))
-        cand = y.where(F.col("__end") > cut).withColumn("__base", F.col("__start")).drop("__b", "__rel", "__bm", "__start", "__end")
     wi = Window.partitionBy(group, "__b").orderBy(F.col("__w").desc(), F.col(item).asc())
     edge = cand.withColumn("__b", b).withColumn(
         "__prec", F.col("__base") + F.coalesce(F.sum("__w").over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).where(F.col("__prec") <= cut)
-    kept_parts.append(edge.select(*df.columns, "__tot", "__w", "__share"))
+    edge = cut_lineage(edge.select(*df.columns, "__w", "__share"))
+    kept_parts.append(edge)
+    mass_parts.append(edge.select(group, F.col("__w").alias("__m")))
+    mass = mass_parts[0]
+    for part in mass_parts[1:]:
+        mass = mass.unionByName(part)
+    mass = mass.groupBy(group).agg(F.sum("__m").alias("__kept"))
     kept = kept_parts[0]
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
-    mass = kept.groupBy(group).agg(F.sum("__w").alias("__kept"))
     return kept.join(mass, group).select(
         *[c for c in df.columns if c not in ("share", "prob")],
         F.col("__share").alias("share"),

@@ -49,12 +49,27 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return fallback
 
 
+def _is_stored(df: DataFrame) -> bool:
+    """True when the plan is just a (projected/filtered) scan of stored files: nothing to cut."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD") and node.children().size() == 0
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder when one is configured.
+    """Write ``df`` once as a parquet table under the shared checkpoint folder and read it back.
 
-    Without one the plan is returned unchanged: every operator here is deterministic, so a
-    recomputed stage after an executor loss yields the same rows.
+    (A reliable ``checkpoint()`` of an unpersisted plan computes it twice: once for the action and
+    once more while writing; a written table computes it once.)  Without a configured folder the
+    plan is returned unchanged: every operator here is deterministic, so a recomputed stage after an
+    executor loss yields the same rows.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+    import uuid
+
+    d = checkpoint_dir(df.sparkSession)
+    if not d or _is_stored(df):
+        return df
+    path = f"{d.rstrip('/')}/bytelake-tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
