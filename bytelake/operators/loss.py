@@ -21,13 +21,18 @@ def _model_side(model: DataFrame, k: int) -> DataFrame:
     return F.broadcast(m) if VOCAB ** (k + 1) <= MAX_BROADCAST_ROWS else m
 
 
-def score_transitions(data: DataFrame, model: DataFrame, k: int = 1, unseen_ctx_prob: float = 1.0 / VOCAB) -> DataFrame:
+def score_transitions(data: DataFrame, model: DataFrame, k: int = 1, unseen_ctx_prob: float = 1.0 / VOCAB, dense: bool = True) -> DataFrame:
     """Attach ``nll = -ln p(next | ctx)`` to aggregated transitions; masked targets (next == 0) dropped.
 
-    ``p = 0`` gives ``+inf``; a context absent from the model gets ``unseen_ctx_prob``.
+    ``p = 0`` gives ``+inf``; a context absent from the model gets ``unseen_ctx_prob``.  A dense
+    model (every seen context lists all 256 next bytes) is read once: a missing row can only mean
+    an unseen context.  A sparse model needs its context list as a second input.
     """
     d = data.where(F.col("next") != PAD)
     j = d.join(_model_side(model, k), ["ctx", "next"], "left")
+    if dense:
+        p = F.coalesce(F.col("__p"), F.lit(float(unseen_ctx_prob)))
+        return j.withColumn("nll", F.when(p > 0, -F.log(p)).otherwise(F.lit(INF))).drop("__p")
     ctx_seen = model.select("ctx").distinct().withColumn("__seen", F.lit(True))
     ctx_side = F.broadcast(ctx_seen) if VOCAB**k <= MAX_BROADCAST_ROWS else ctx_seen
     j = j.join(ctx_side, "ctx", "left")

@@ -24,10 +24,11 @@ def train_counts(spark, sf):
     return ngram.ngram_counts(split_docs(spark, sf).where(F.col("split") == "train"), "text", 1)
 
 
-def model(spark, sf, lam=1.0):
-    """The dense k=1 model (at most 65,536 rows), checkpointed once: loss, KL, top-p and log-prob
-    plans read it from several branches."""
-    return materialize(ngram.ngram_probs(train_counts(spark, sf), lam, dense=True))
+def model(spark, sf, lam=1.0, shared=False):
+    """The dense k=1 model (at most 65,536 rows).  ``shared=True`` writes it once to the shared
+    folder for plans that read it from several branches; single-use plans keep it inline."""
+    m = ngram.ngram_probs(train_counts(spark, sf), lam, dense=True)
+    return materialize(m) if shared else m
 
 
 # DuckDB: split documents, all bigrams (ctx hex, next) per document

@@ -75,7 +75,7 @@ def q_sample_top_p(spark, sf):
     + " SELECT dr.ctx, dr.next, round(ln(m1.prob), 9) AS logp FROM dr LEFT JOIN m1 ON m1.ctx = dr.ctx AND m1.next = dr.next",
 )
 def q_token_logprob(spark, sf):
-    m = model(spark, sf)
+    m = model(spark, sf, shared=True)  # read by the draw and by the log-prob join
     chosen = nucleus.sample_categorical(m, "ctx", "next", "prob", SEED)
     lp = nucleus.token_logprob(chosen, m)
     return lp.select("ctx", "next", F.round("logp", 9).alias("logp"))
