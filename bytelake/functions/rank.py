@@ -105,22 +105,24 @@ def with_exclusive_sum(
     return _exclusive_prefix(df, order_cols, value, out, buckets, uniform_col)
 
 
-def with_running_min_by_group(
+def with_running_agg_by_group(
     df: DataFrame,
     group_cols: list[str],
     order_cols: list[str],
     value: str,
     out: str,
+    agg: str = "min",
     buckets: int = 64,
 ) -> DataFrame:
-    """Add ``out`` = minimum of ``value`` over the rows strictly before this one within its group
-    (``order_cols`` ascending, unique within a group); null for a group's first row.
+    """Add ``out`` = ``agg`` (``min`` or ``sum``) of ``value`` over the rows strictly before this one
+    within its group (``order_cols`` ascending, unique within a group); null for a group's first row.
 
     A group never lands in one task: each group is cut into ``buckets`` ranges by approximate
-    quantiles of its first order column (one row of bounds per group, joined back), bucket minima
-    are aggregated, turned into exclusive running minima over at most ``buckets`` rows per group,
-    and combined with the running minimum inside each bucket.
+    quantiles of its first order column (one row of bounds per group, joined back), bucket
+    aggregates are turned into exclusive running values over at most ``buckets`` rows per group,
+    and combined with the running value inside each bucket.
     """
+    fn = {"min": F.min, "sum": F.sum}[agg]
     first = order_cols[0]
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*group_cols).agg(F.percentile_approx(F.col(first), fracs, max(10000, 4 * buckets)).alias("__bounds"))
@@ -129,14 +131,22 @@ def with_running_min_by_group(
         .withColumn("__bkt", _binary_search_bucket(F.col(first), F.col("__bounds"), buckets - 1))
         .drop("__bounds")
     )
-    mins = tagged.groupBy(*group_cols, "__bkt").agg(F.min(value).alias("__m"))
+    parts = tagged.groupBy(*group_cols, "__bkt").agg(fn(value).alias("__rk_m"))
     wb = Window.partitionBy(*group_cols).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = mins.select(*group_cols, "__bkt", F.min("__m").over(wb).alias("__before"))
+    offs = parts.select(*group_cols, "__bkt", fn("__rk_m").over(wb).alias("__rk_before"))
     wi = Window.partitionBy(*group_cols, "__bkt").orderBy(*[F.col(c) for c in order_cols]).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return (
-        tagged.join(offs, group_cols + ["__bkt"])
-        .withColumn(out, F.least(F.col("__before"), F.min(value).over(wi)))
-        .drop("__bkt", "__before")
-    )
+    inner = fn(value).over(wi)
+    if agg == "min":
+        combined = F.least(F.col("__rk_before"), inner)
+    else:
+        combined = F.when(F.col("__rk_before").isNull() & inner.isNull(), F.lit(None)).otherwise(
+            F.coalesce(F.col("__rk_before"), F.lit(0)) + F.coalesce(inner, F.lit(0))
+        )
+    return tagged.join(offs, group_cols + ["__bkt"]).withColumn(out, combined).drop("__bkt", "__rk_before")
+
+
+def with_running_min_by_group(df: DataFrame, group_cols: list[str], order_cols: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+    """Running minimum of earlier rows per group (see :func:`with_running_agg_by_group`)."""
+    return with_running_agg_by_group(df, group_cols, order_cols, value, out, "min", buckets)
