@@ -169,3 +169,24 @@ def test_top_p_hot_group_brute_force(spark, p):
         want.update({(g, i): w / km for w, i in kept})
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_cut_lineage_writes_once_and_keeps_rows(spark):
+    from bytelake.session import cut_lineage
+
+    d = docs(spark).groupBy(F.length("text") % 7).count()
+    c = cut_lineage(d)
+    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # read back from the shared folder, lineage cut
+    plain = docs(spark)
+    assert cut_lineage(plain) is plain  # a plain scan is not copied
+
+
+def test_spread_only_narrow_inputs(spark):
+    from bytelake.functions.spread import spread
+
+    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    wide = one.repartition(spark.sparkContext.defaultParallelism + 3)
+    assert spread(wide) is wide
