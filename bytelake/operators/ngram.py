@@ -98,9 +98,17 @@ def ngram_probs(counts: DataFrame, lam: float = 1.0, dense: bool = True) -> Data
 
 
 def softmax_rows(logits: DataFrame, group: str = "ctx", logit: str = "logit") -> DataFrame:
-    """Softmax and log-softmax per group, shifted by the group max."""
-    w = Window.partitionBy(group)
-    z = F.col(logit) - F.max(logit).over(w)
-    tmp = logits.withColumn("__z", z)
-    lse = F.log(F.sum(F.exp("__z")).over(w))
-    return tmp.withColumn("logp", F.col("__z") - lse).withColumn("prob", F.exp("logp")).drop("__z")
+    """Softmax and log-softmax per group, shifted by the group max.
+
+    The per-group max and normaliser come from aggregations joined back, so a large group is
+    never ordered or buffered in one task.
+    """
+    mx = logits.groupBy(group).agg(F.max(logit).alias("__mx"))
+    x = logits.join(mx, group).withColumn("__z", F.col(logit) - F.col("__mx"))
+    norm = x.groupBy(group).agg(F.log(F.sum(F.exp("__z"))).alias("__lse"))
+    return (
+        x.join(norm, group)
+        .withColumn("logp", F.col("__z") - F.col("__lse"))
+        .withColumn("prob", F.exp("logp"))
+        .drop("__mx", "__z", "__lse")
+    )
