@@ -1,4 +1,4 @@
 """Import every operator module so the registry is complete."""
 
-from . import bm25_decontamination, exact_dedup, golay_simhash, packing, ring_sharding, weak_pii  # noqa: F401
+from . import bm25_decontamination, entropy_secrets, exact_dedup, golay_simhash, packing, ring_sharding, weak_pii  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
