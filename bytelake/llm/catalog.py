@@ -1,4 +1,4 @@
 """Import every operator module so the registry is complete."""
 
-from . import bm25_decontamination, crf_language, entropy_secrets, exact_dedup, golay_simhash, host_extraction, packing, ring_sharding, weak_pii  # noqa: F401
+from . import bm25_decontamination, crf_language, entropy_secrets, exact_dedup, golay_simhash, host_extraction, packing, ring_sharding, suffix_dedup, weak_pii  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
