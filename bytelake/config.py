@@ -14,10 +14,6 @@ THINK_END_TAG = "</think>"
 ANSWER_TAG = "<answer>"
 ANSWER_END_TAG = "</answer>"
 SHORT_SYSTEM_PROMPT = "just think before answer."
-RL_SYSTEM_PROMPT = (
-    "You are a reasoning engine that must break down problems into clear phases, show explicit "
-    "logical steps, and provide structured responses with thinking and answer sections."
-)
 AUGMENT_THINKING = "Let me think about this carefully... This requires analyzing the logical structure."
 AUGMENT_ANSWER = "This statement exhibits the post hoc fallacy, assuming correlation implies causation."
 PLACEHOLDER_TEXT = "This is a placeholder text."
@@ -40,13 +36,6 @@ class WeightConfig:
     kl_lambda: float = 0.1
 
 
-@dataclass(frozen=True)
-class BlockConfig:
-    block: int = 1024
-    batch: int = 2
-    accum: int = 8
-
-
 @dataclass(frozen=True)
 class RewardConfig:
     base_reward: float = 1.0
@@ -57,9 +46,3 @@ class RewardConfig:
     accumulation: int = 4
     scales: tuple = REWARD_SCALES
 
-
-@dataclass(frozen=True)
-class SplitConfig:
-    seed: int = 42
-    holdout: float = 0.2
-    test_of_holdout: float = 0.5

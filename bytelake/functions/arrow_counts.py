@@ -43,3 +43,13 @@ def ngram_codes(data: np.ndarray, offsets: np.ndarray, k: int, with_owner: bool
     owner = np.searchsorted(offsets, pos, side="right") - 1
     ok = pos - k >= starts[owner]
     return (code[ok], owner[ok]) if with_owner else code[ok]
+
+
+def compare_bytes(gen: pa.Array, ref: pa.Array):
+    """``(row, pos, equal)`` over the common prefixes of two binary columns; nulls are empty."""
+    g, go = value_bytes(gen)
+    r, ro = value_bytes(ref)
+    n = np.minimum(np.diff(go), np.diff(ro))
+    row = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, pos, g[go[row] + pos] == r[ro[row] + pos], n

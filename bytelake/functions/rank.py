@@ -8,8 +8,10 @@ bucket table (bounded by ``buckets`` rows) is broadcast; rows are never gathered
 Bucket assignment:
 * ``uniform_col`` given (a column known to be uniform on [0, 1) and first in the order, such as
   :func:`bytelake.functions.rng.u01`): ``floor(u * buckets)`` — no sampling at all;
-* otherwise: approximate quantiles of the first order column (one scalar subquery) and a
-  binary search over them inside the row (O(log buckets) per row).
+* otherwise: boundary keys of the first order column in its own type and ordering (numbers, strings,
+  timestamps), taken from a sample of about 64 keys per bucket.  The boundaries are read to the driver
+  once and put into the plan as constants, so all branches and retries see the same ones; they only decide how even the
+  buckets are, never the result.
 """
 
 from __future__ import annotations
@@ -49,15 +51,21 @@ def _bucketed(df: DataFrame, order_cols: list[str], buckets: int | None, uniform
         if uniform_col != order_cols[0]:
             raise ValueError("uniform_col must be the first order column")
         return df.withColumn("__bkt", F.least(F.floor(F.col(uniform_col) * nb).cast("int"), F.lit(nb - 1)))
-    first = order_cols[0]
-    fracs = [i / nb for i in range(1, nb)]
-    bounds = df.agg(F.percentile_approx(F.col(first), fracs, max(10000, 4 * nb)).alias("b")).scalar()
-    # the scalar subquery runs once; the search inside the row reads it as a column
-    return (
-        df.withColumn("__bounds", bounds)
-        .withColumn("__bkt", _binary_search_bucket(F.col(first), F.col("__bounds"), nb - 1))
-        .drop("__bounds")
-    )
+    return _by_bounds(df, order_cols[0], nb)
+
+
+def _by_bounds(df: DataFrame, first: str, nb: int) -> DataFrame:
+    """Adds ``__bkt``, monotone in ``first`` (nulls first, as in an ascending sort)."""
+    keys = df.select(first).where(F.col(first).isNotNull())
+    n = keys.count()
+    kept = keys.sample(False, min(1.0, 64.0 * nb / max(n, 1)), 7).orderBy(first).collect()
+    cuts = sorted({i * len(kept) // nb for i in range(1, nb)} - {0})
+    bounds = [kept[i][0] for i in cuts if i < len(kept)]
+    if not bounds:
+        return df.withColumn("__bkt", F.lit(0))
+    kind = df.schema[first].dataType
+    array = F.array(*[F.lit(v).cast(kind) for v in bounds])
+    return df.withColumn("__bkt", _binary_search_bucket(F.col(first), array, len(bounds)))
 
 
 def _exclusive_prefix(
@@ -117,20 +125,12 @@ def with_running_agg_by_group(
     """Add ``out`` = ``agg`` (``min`` or ``sum``) of ``value`` over the rows strictly before this one
     within its group (``order_cols`` ascending, unique within a group); null for a group's first row.
 
-    A group never lands in one task: each group is cut into ``buckets`` ranges by approximate
-    quantiles of its first order column (one row of bounds per group, joined back), bucket
-    aggregates are turned into exclusive running values over at most ``buckets`` rows per group,
-    and combined with the running value inside each bucket.
+    A group never lands in one task: rows are cut into ``buckets`` ranges of the first order column (one
+    set of boundaries, in which a hot group weighs by its rows), bucket aggregates are turned into exclusive running
+    values over at most ``buckets`` rows per group, and combined with the running value inside each bucket.
     """
     fn = {"min": F.min, "sum": F.sum}[agg]
-    first = order_cols[0]
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*group_cols).agg(F.percentile_approx(F.col(first), fracs, max(10000, 4 * buckets)).alias("__bounds"))
-    tagged = (
-        df.join(bounds, group_cols)
-        .withColumn("__bkt", _binary_search_bucket(F.col(first), F.col("__bounds"), buckets - 1))
-        .drop("__bounds")
-    )
+    tagged = _by_bounds(df, order_cols[0], buckets)
     parts = tagged.groupBy(*group_cols, "__bkt").agg(fn(value).alias("__rk_m"))
     wb = Window.partitionBy(*group_cols).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.select(*group_cols, "__bkt", fn("__rk_m").over(wb).alias("__rk_before"))

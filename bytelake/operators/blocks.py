@@ -16,19 +16,17 @@ from ..functions.binary import byte_lit, col_, utf8
 from ..functions.rank import with_exclusive_sum
 from ..functions.rng import u01
 
-# Draw tables (positions / window starts) are sized by a parameter; up to this many rows they are
-# broadcast so the corpus side of the chunk join is streamed, never shuffled.
-MAX_BROADCAST_DRAWS = 2_000_000
+
+def _bytes_of(df: DataFrame, col: str):
+    return utf8(col) if dict(df.dtypes)[col] == "string" else F.col(col)
 
 
 def stream_offsets(df: DataFrame, key: str, col: str = "text", buckets: int | None = None) -> DataFrame:
-    """``(key, n_bytes, start_off, end_off, bytes)``: where each document sits in the concatenated stream."""
-    src = df.select(F.col(key), (utf8(col) if dict(df.dtypes)[col] == "string" else F.col(col)).alias("bytes"))
-    src = src.withColumn("n_bytes", F.octet_length("bytes").cast("long"))
+    """``(key, n_bytes, start_off, end_off)``: where each document sits in the concatenated stream.  Only keys
+    and lengths are shuffled; ``key`` must be unique (any orderable type)."""
+    src = df.select(F.col(key), F.octet_length(_bytes_of(df, col)).cast("long").alias("n_bytes"))
     out = with_exclusive_sum(src, [key], F.col("n_bytes"), "start_off", buckets=buckets)
-    return out.withColumn("end_off", F.col("start_off") + F.col("n_bytes")).select(
-        key, "n_bytes", "start_off", "end_off", "bytes"
-    )
+    return out.withColumn("end_off", F.col("start_off") + F.col("n_bytes")).select(key, "n_bytes", "start_off", "end_off")
 
 
 def _reassemble(pieces: DataFrame, group_col: str) -> DataFrame:
@@ -43,12 +41,14 @@ def _reassemble(pieces: DataFrame, group_col: str) -> DataFrame:
     )
 
 
-def _pieces(offs: DataFrame, span: int, stride: int) -> DataFrame:
-    """Cut documents into the pieces that fall in windows ``[g*stride, g*stride + span)``."""
+def _pieces(df: DataFrame, offs: DataFrame, key: str, col: str, span: int, stride: int) -> DataFrame:
+    """Cut documents into the pieces that fall in windows ``[g*stride, g*stride + span)``: the offsets meet the
+    texts in one join, and the pieces are cut in the same stage."""
     s, e = F.col("start_off"), F.col("end_off")
     g_lo = F.greatest(F.floor((s - span) / stride) + 1, F.lit(0)).cast("long")
     g_hi = F.floor((e - 1) / stride).cast("long")
-    x = offs.where(F.col("n_bytes") > 0).select(
+    texts = df.select(F.col(key), _bytes_of(df, col).alias("bytes"))
+    x = texts.join(offs.where(F.col("n_bytes") > 0), key).select(
         "start_off", "end_off", "bytes", F.explode(F.sequence(g_lo, g_hi)).alias("g")
     )
     lo = F.greatest(s, F.col("g") * stride)
@@ -58,14 +58,14 @@ def _pieces(offs: DataFrame, span: int, stride: int) -> DataFrame:
     )
 
 
-def stream_blocks_packed(offs: DataFrame, block: int = 1024, stride: int | None = None) -> DataFrame:
+def stream_blocks_packed(df: DataFrame, offs: DataFrame, key: str, col: str = "text", block: int = 1024, stride: int | None = None) -> DataFrame:
     """Every block ``x = stream[g*stride, +block)``, ``y = stream[g*stride+1, +block)`` that fits.
 
     Each window carries one extra byte (the next block's first) so the targets need no second join.
     """
     stride = stride or block
     span = block + 1
-    win = _reassemble(_pieces(offs, span, stride), "g")
+    win = _reassemble(_pieces(df, offs, key, col, span, stride), "g")
     # a window inside the stream has exactly `span` bytes; only tail windows are shorter
     full = win.where(F.octet_length("data") == span)
     return full.select(
@@ -76,34 +76,33 @@ def stream_blocks_packed(offs: DataFrame, block: int = 1024, stride: int | None
     )
 
 
-def locate_ranges(offs: DataFrame, wanted: DataFrame, id_col: str, start_col: str, length: int, chunk: int, n_wanted: int | None = None) -> DataFrame:
+def _chunks_of(offs: DataFrame, chunk: int) -> DataFrame:
+    """The narrow offsets, one row per chunk ``c`` of the stream a document covers."""
+    ids = F.sequence(F.floor(F.col("start_off") / chunk).cast("long"), F.floor((F.col("end_off") - 1) / chunk).cast("long"))
+    return offs.where(F.col("n_bytes") > 0).withColumn("c", F.explode(ids))
+
+
+def locate_ranges(df: DataFrame, offs: DataFrame, key: str, col: str, wanted: DataFrame, id_col: str, start_col: str, length: int, chunk: int) -> DataFrame:
     """Fetch ``stream[start, start+length)`` for each wanted row (``length`` <= ``chunk``).
 
-    Wanted rows are exploded to the (at most two) chunk ids they touch and equi-joined with the
-    chunk ids each document touches; only matching documents are cut and regrouped.
+    Wanted rows meet the narrow offsets on the (at most two) chunk ids they touch, which gives document, place and
+    length of each piece; only then are the texts read, cut and regrouped.
     """
     w = wanted.select(F.col(id_col).alias("__id"), F.col(start_col).alias("__s"))
     wc = w.select("__id", "__s", F.explode(F.array_distinct(F.array(
         F.floor(F.col("__s") / chunk).cast("long"), F.floor((F.col("__s") + length - 1) / chunk).cast("long")))).alias("c"))
+    j = _chunks_of(offs, chunk).join(wc, "c")
     s, e = F.col("start_off"), F.col("end_off")
-    dc = offs.where(F.col("n_bytes") > 0).select(
-        "start_off", "end_off", "bytes",
-        F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
-    )
-    if n_wanted is not None and n_wanted <= MAX_BROADCAST_DRAWS:
-        wc = F.broadcast(wc)
-    j = dc.join(wc, "c")
     lo = F.greatest(s, F.col("__s"), F.col("c") * chunk)
     hi = F.least(e, F.col("__s") + length, (F.col("c") + 1) * chunk)
-    pieces = j.where(lo < hi).select(
-        F.col("__id"), F.col("__s"), lo.alias("lo"),
-        F.substring(F.col("bytes"), (lo - s + 1).cast("int"), (hi - lo).cast("int")).alias("piece"),
-    )
+    places = j.where(lo < hi).select(key, "__id", lo.alias("lo"), (lo - s + 1).cast("int").alias("__at"), (hi - lo).cast("int").alias("__n"))
+    texts = df.select(F.col(key), _bytes_of(df, col).alias("bytes"))
+    pieces = texts.join(places, key).select("__id", "lo", F.substring(F.col("bytes"), F.col("__at"), F.col("__n")).alias("piece"))
     out = _reassemble(pieces, "__id")
     return out.select(F.col("__id").alias(id_col), F.col("lo0").alias(start_col), "data")
 
 
-def stream_blocks_random(offs: DataFrame, block: int = 1024, k: int = 2, seed: int = 42, total=None) -> DataFrame:
+def stream_blocks_random(df: DataFrame, offs: DataFrame, key: str, col: str = "text", block: int = 1024, k: int = 2, seed: int = 42, total=None) -> DataFrame:
     """``k`` blocks at starts drawn uniformly from ``[0, L - block)``; ``y`` is the true next byte.
 
     ``total`` (the stream length L, a scalar column) can be supplied from a cheaper source than the
@@ -115,31 +114,27 @@ def stream_blocks_random(offs: DataFrame, block: int = 1024, k: int = 2, seed: i
         total = offs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).scalar()
     starts = spark.range(k).select(
         F.col("id").alias("draw"),
-        F.when(total > block, F.floor(u01(seed, "id") * (total - block)))
+        F.when(total > block, F.floor(u01(seed, F.lit("blocks"), "id") * (total - block)))
         .otherwise(F.raise_error(F.lit(f"stream must hold more than {block} bytes")))
         .cast("long")
         .alias("start_off"),
     )
-    got = locate_ranges(offs, starts, "draw", "start_off", block + 1, block + 1, n_wanted=k)
+    got = locate_ranges(df, offs, key, col, starts, "draw", "start_off", block + 1, block + 1)
     return got.select(
         "draw", "start_off", F.substring("data", 1, block).alias("x"), F.substring("data", 2, block).alias("y")
     )
 
 
-def locate_positions(offs: DataFrame, draws: DataFrame, pos_col: str = "pos", chunk: int = 1 << 16, n_draws: int | None = None) -> DataFrame:
+def locate_positions(df: DataFrame, offs: DataFrame, key: str, col: str, draws: DataFrame, pos_col: str = "pos", chunk: int = 1 << 16) -> DataFrame:
     """Byte value at each stream position in ``draws`` (duplicates kept: one output row per draw)."""
-    s, e = F.col("start_off"), F.col("end_off")
-    dc = offs.where(F.col("n_bytes") > 0).select(
-        "start_off", "end_off", "bytes",
-        F.explode(F.sequence(F.floor(s / chunk).cast("long"), F.floor((e - 1) / chunk).cast("long"))).alias("c"),
-    )
     d = draws.withColumn("c", F.floor(F.col(pos_col) / chunk).cast("long"))
-    if n_draws is not None and n_draws <= MAX_BROADCAST_DRAWS:
-        d = F.broadcast(d)
-    j = dc.join(d, "c").where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
-    return j.select(
+    s, e = F.col("start_off"), F.col("end_off")
+    j = _chunks_of(offs, chunk).join(d, "c").where((F.col(pos_col) >= s) & (F.col(pos_col) < e))
+    places = j.select(key, *draws.columns, (F.col(pos_col) - s + 1).cast("int").alias("__at"))
+    texts = df.select(F.col(key), _bytes_of(df, col).alias("bytes"))
+    return texts.join(places, key).select(
         *[F.col(c) for c in draws.columns],
-        F.conv(F.hex(F.substring(F.col("bytes"), (F.col(pos_col) - s + 1).cast("int"), 1)), 16, 10).cast("int").alias("byte"),
+        F.conv(F.hex(F.substring(F.col("bytes"), F.col("__at"), 1)), 16, 10).cast("int").alias("byte"),
     )
 
 
@@ -147,7 +142,7 @@ def window_crop_or_pad(df: DataFrame, key: str, col: str, block: int = 1024, see
     """Records longer than ``block`` -> random crop with start in ``[0, len-block)``; others right-padded with 0."""
     b = F.col(col)
     n = F.octet_length(b)
-    start = F.floor(u01(seed, key) * (n - block)).cast("int")
+    start = F.floor(u01(seed, F.lit("crop"), key) * (n - block)).cast("int")
     return df.withColumn(
         out,
         F.when(n > block, F.substring(b, start + 1, block)).otherwise(F.rpad(b, block, byte_lit(PAD))),

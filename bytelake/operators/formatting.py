@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AUGMENT_ANSWER, AUGMENT_THINKING, BOS, EOS, SHORT_SYSTEM_PROMPT, THINK_END_TAG, THINK_TAG, ANSWER_END_TAG, ANSWER_TAG
 from ..functions.binary import bos_bin, eos_bin, utf8
 from ..functions.rng import u01
 
-TURN_SLOTS = 1 << 16  # pair_id = conv_id * TURN_SLOTS + turn (turn numbers below 65,536)
+TURNS_PER_BUCKET = 4096
 
 
-def pair_turns(conv: DataFrame) -> DataFrame:
-    """``(pair_id, prompt, response)``: each user turn followed directly (turn + 1) by an assistant turn.
+def next_turns(conv: DataFrame) -> DataFrame:
+    """Each turn with the following one of its conversation as ``next`` (turn, role, text; null after the last).
 
-    An equi-join on ``(conv_id, turn)`` instead of ``lead`` over a conversation: the join key is
-    unique per row, so a conversation with a huge number of turns does not become one task.
+    Turns are looked up inside buckets of turn numbers; the first turn of each bucket (a table smaller by the bucket size)
+    serves the last turn of the bucket before it, so a very long conversation is not one task.
     """
-    u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = conv.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
-    )
-    return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * TURN_SLOTS + F.col("turn")).cast("long").alias("pair_id"), "prompt", "response"
-    )
+    x = conv.where(F.col("turn").isNotNull()).select("conv_id", "turn", "role", "text")
+    x = x.withColumn("__b", F.floor(F.col("turn") / TURNS_PER_BUCKET)).withColumn("__t", F.struct("turn", "role", "text"))
+    inside = Window.partitionBy("conv_id", "__b").orderBy("turn")
+    heads = x.groupBy("conv_id", "__b").agg(F.min("__t").alias("__head"))
+    heads = heads.select("conv_id", "__b", F.lead("__head").over(Window.partitionBy("conv_id").orderBy("__b")).alias("__after"))
+    x = x.withColumn("__in", F.lead("__t").over(inside)).join(heads, ["conv_id", "__b"], "left")
+    return x.withColumn("next", F.coalesce("__in", "__after")).drop("__b", "__t", "__in", "__after")
+
+
+def pair_key() -> Column:
+    """``conv_id:turn``: one key per turn, whatever the numbers."""
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
+def pair_turns(conv: DataFrame) -> DataFrame:
+    """``(pair_id, prompt, response)``: each user turn whose next turn (numbers may have gaps) is the assistant's."""
+    x = next_turns(conv).where((F.col("role") == "user") & (F.col("next.role") == "assistant"))
+    return x.select(pair_key().alias("pair_id"), F.col("text").alias("prompt"), F.col("next.text").alias("response"))
 
 
 def question_prompt(col: str = "prompt", system: str = SHORT_SYSTEM_PROMPT):
@@ -59,4 +70,4 @@ def augment_prompt_mix(df: DataFrame, key: str, col: str = "text", p: float = 0.
         F.col(col),
         F.lit("\n\n" + chr(BOS) + THINK_TAG + AUGMENT_THINKING + THINK_END_TAG + ANSWER_TAG + AUGMENT_ANSWER + ANSWER_END_TAG + chr(EOS)),
     )
-    return df.withColumn(out or col, F.when(u01(seed, key) < p, templ).otherwise(F.col(col)))
+    return df.withColumn(out or col, F.when(u01(seed, F.lit("augment"), key) < p, templ).otherwise(F.col(col)))

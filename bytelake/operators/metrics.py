@@ -27,7 +27,7 @@ def metrics_history(plan: DataFrame, feats: DataFrame, base_tokens: DataFrame, l
     f = feats.select(*keys, "gen_len", "ref_len").join(per, keys, "left")
     f = f.withColumn("__n", F.least("gen_len", "ref_len")).drop("cand")
     g, r = F.col("gen_len"), F.col("ref_len")
-    h = plan.join(F.broadcast(f), key)  # one row per selected pair
+    h = plan.join(f, key)
     pen = F.when(g < r, F.lit(cfg.base_penalty) * F.col("penalty_scale") * (r - g) / r).otherwise(F.lit(0.0))
     h = h.withColumn("__pen", pen)
     has = F.col("__n") > 0

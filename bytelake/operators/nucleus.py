@@ -85,14 +85,14 @@ def sample_categorical(df: DataFrame, group: str, item: str, prob: str, seed: in
     """One seeded draw per group by inverse CDF over items in ascending order.
 
     The cumulative mass is a bucketed running sum per group (no group is ordered in one task);
-    the drawn item is the first whose cumulative mass exceeds ``u01(seed, group) * total``.
+    the drawn item is the first whose cumulative mass exceeds ``u01(seed, "categorical", group) * total``.
     """
     from ..functions.rank import with_running_agg_by_group
 
     tot = df.groupBy(group).agg(F.sum(prob).alias("__tot"))
     x = with_running_agg_by_group(df, [group], [item], prob, "__prev_mass", "sum")
     x = x.withColumn("__cum", F.coalesce(F.col("__prev_mass"), F.lit(0.0)) + F.col(prob)).join(tot, group)
-    hit = x.where(F.col("__cum") > u01(seed, group) * F.col("__tot"))
+    hit = x.where(F.col("__cum") > u01(seed, F.lit("categorical"), group) * F.col("__tot"))
     return hit.groupBy(group).agg(F.min_by(item, "__cum").alias(item))
 
 

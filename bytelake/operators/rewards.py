@@ -10,11 +10,15 @@ candidate (one pass inside the row) and scales are applied afterwards.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import REWARD_SCALES, RewardConfig
-from ..functions.binary import col_, hex_pairs, utf8, valid_utf8_text
+from ..functions.arrow_counts import compare_bytes, value_bytes
+from ..functions.binary import col_, utf8, valid_utf8_text
 from ..functions.rng import u01
 
 CFG = RewardConfig()
@@ -27,27 +31,28 @@ def penalty_scale(episode, total_episodes, max_scale: float = CFG.max_penalty_sc
     return F.lit(1.0) + e / F.greatest(F.lit(1), E - 1) * F.lit(max_scale - 1.0)
 
 
+_SLICE = 512  # rows compared at once
+
+
 def match_features(df: DataFrame, gen: str, ref: str) -> DataFrame:
-    """Adds ``gen_len``, ``ref_len``, ``matches`` (M) and ``match_pos_sum`` (S) from one in-row pass."""
-    eq = F.zip_with(hex_pairs(gen), hex_pairs(ref), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    init = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("s"))
-    acc = F.aggregate(
-        eq,
-        init,
-        lambda a, x: F.struct(
-            (a["i"] + 1).alias("i"),
-            (a["m"] + F.when(x, 1).otherwise(0)).alias("m"),
-            (a["s"] + F.when(x, a["i"]).otherwise(0)).alias("s"),
-        ),
-    )
-    return (
-        df.withColumn("gen_len", F.octet_length(gen))
-        .withColumn("ref_len", F.octet_length(ref))
-        .withColumn("__acc", acc)
-        .withColumn("matches", F.col("__acc")["m"])
-        .withColumn("match_pos_sum", F.col("__acc")["s"])
-        .drop("__acc")
-    )
+    """Adds ``gen_len``, ``ref_len``, ``matches`` (M) and ``match_pos_sum`` (S): one comparison of the Arrow
+    byte buffers per batch."""
+    names = df.columns
+    gi, ri = names.index(gen), names.index(ref)
+    extra = [T.StructField("matches", T.LongType()), T.StructField("match_pos_sum", T.LongType())]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                row, pos, eq, _ = compare_bytes(part.column(gi), part.column(ri))
+                m = np.bincount(row[eq], minlength=part.num_rows)
+                s = np.bincount(row[eq], pos[eq], minlength=part.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m, pa.int64()), pa.array(s, pa.int64())], names=[*names, "matches", "match_pos_sum"])
+
+    lens = df.withColumn("gen_len", F.octet_length(gen)).withColumn("ref_len", F.octet_length(ref))
+    names = lens.columns
+    return lens.mapInArrow(run, T.StructType([*lens.schema.fields, *extra]))
 
 
 def end_only_penalty(scale, cfg: RewardConfig = CFG) -> Column:
@@ -70,33 +75,28 @@ def total_reward(df: DataFrame, scale: str = "scale", cfg: RewardConfig = CFG) -
     )
 
 
-def _base_rewards(gen: str, ref: str, cfg: RewardConfig) -> Column:
-    """Match rewards on the common prefix; the per-row step ``0.9 / gen_len`` reaches the
-    element-wise lambda through ``array_repeat`` (evaluated once per row)."""
-    step = F.lit(0.9) / F.greatest(F.octet_length(gen), F.lit(1))
-    eq = F.zip_with(hex_pairs(gen), hex_pairs(ref), lambda a, b: a == b)
-    common = F.filter(eq, lambda x: x.isNotNull())
-    idx = F.transform(common, lambda x, i: F.struct(x.alias("m"), i.alias("i")))
-    return F.zip_with(
-        idx,
-        F.array_repeat(step, F.size(common)),
-        lambda t, d: F.when(t["m"], F.lit(cfg.base_reward) * (F.lit(0.1) + d * t["i"])).otherwise(F.lit(0.0)),
-    )
-
-
 def with_reward_array(df: DataFrame, gen: str, ref: str, scale, out: str = "rewards", cfg: RewardConfig = CFG) -> DataFrame:
-    """Adds the per-position reward list ``out`` (``array<double>``, penalty on the last element).
-
-    The base list is its own column so the penalty step reads it once (linear in the length).
-    """
-    g, r = F.octet_length(gen), F.octet_length(ref)
-    pen = F.when(g < r, F.lit(cfg.base_penalty) * col_(scale) * (r - g) / r).otherwise(F.lit(0.0))
-    x = df.withColumn("__base", _base_rewards(gen, ref, cfg)).withColumn("__pen", pen).withColumn("__n", F.size("__base"))
-    last = F.element_at(F.col("__base"), F.greatest(F.col("__n"), F.lit(1))) + F.col("__pen")
-    with_pen = F.when(F.col("__n") == 0, F.array(F.col("__pen"))).otherwise(
-        F.concat(F.slice(F.col("__base"), F.lit(1), F.col("__n") - 1), F.array(last))
-    )
-    return x.withColumn(out, F.when(g < r, with_pen).otherwise(F.col("__base"))).drop("__base", "__pen", "__n")
+    """Adds the per-position reward list ``out`` (``array<double>``, penalty on the last element)."""
+    x = df.withColumn("__scale", col_(scale).cast("double"))
+    names = x.columns
+    gi, ri, si = names.index(gen), names.index(ref), names.index("__scale")
+    base, penalty = cfg.base_reward, cfg.base_penalty
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                row, pos, eq, n = compare_bytes(part.column(gi), part.column(ri))
+                glen, rlen = (np.diff(value_bytes(part.column(k))[1]) for k in (gi, ri))
+                value = np.where(eq, base * (0.1 + 0.9 * pos / np.maximum(glen, 1)[row]), 0.0)
+                pen = np.where(glen < rlen, penalty * part.column(si).to_numpy(zero_copy_only=False) * (rlen - glen) / np.maximum(rlen, 1), 0.0)
+                ends = np.cumsum(n)
+                some = n > 0
+                value[ends[some] - 1] += pen[some]
+                lists = [value[e - k : e] if k else (pen[i : i + 1] if short else value[:0]) for i, (e, k, short) in enumerate(zip(ends, n, glen < rlen))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.float64()))], names=[*names, out])
+
+    return x.mapInArrow(run, T.StructType([*x.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])).drop("__scale")
 
 
 def _positions(df: DataFrame, keys: list[str], upto: Column, carry: list[str]) -> DataFrame:
@@ -211,6 +211,17 @@ def candidates(completions: DataFrame, variants: DataFrame, key: str = "pair_id"
     return model.unionByName(variants.withColumn("includes_prompt", F.lit(False)))
 
 
+def candidates_in_row(completions: DataFrame, key: str = "pair_id", ref: str = "reference", seed: int = 42, carry: tuple = ()) -> DataFrame:
+    """The model completion and the synthetic variants of its reference, exploded inside the row (no join):
+    ``(key, reference, cand, completion, includes_prompt)`` and the columns of ``carry``."""
+    x = completions.withColumn("__rb", utf8(ref))
+    kinds = [F.struct(F.lit("model").alias("cand"), F.col("completion"), F.col("includes_prompt"))]
+    raw = [("corrupt", corrupted_bytes("__rb", key, seed))]
+    raw += [(name, F.expr(f"substring(__rb, 1, CAST(floor(octet_length(__rb) * {f}D) AS INT))")) for name, f in VARIANT_FRACTIONS]
+    kinds += [F.struct(F.lit(n).alias("cand"), valid_utf8_text(b).alias("completion"), F.lit(False).alias("includes_prompt")) for n, b in raw]
+    return x.select(key, ref, *carry, F.explode(F.array(*kinds)).alias("v")).select(key, ref, *carry, "v.*")
+
+
 def scored_candidates(cands: DataFrame, refs: DataFrame, key: str = "pair_id", ref: str = "reference") -> DataFrame:
     """Attach the reference and the match features (text -> UTF-8 bytes on both sides)."""
     x = cands.join(refs.select(key, ref), key)
@@ -247,20 +258,21 @@ def hybrid_reward(rule: DataFrame, scored: DataFrame, seq: DataFrame, keys: list
 
 
 def policy_loss(logprobs: DataFrame, rewards: DataFrame, keys: list[str], kl: DataFrame | None = None, accumulation: int = CFG.accumulation, kl_coef: float = CFG.kl_coef) -> DataFrame:
-    """REINFORCE loss per key on the common prefix: ``-sum(logp * reward)`` (0.0 when empty),
-    the accumulation-scaled form, mean reward and an optional ``kl_coef * sum(kl)`` term."""
+    """REINFORCE loss per key on the common prefix: ``-sum(logp * reward)`` (0.0 when empty)
+    plus ``kl_coef * sum(kl)``; their total divided by the accumulation steps; the mean reward."""
     j = logprobs.join(rewards, keys + ["pos"])
     out = j.groupBy(*keys).agg(
         (-F.sum(F.col("logp") * F.col("reward"))).alias("policy_loss"),
         F.avg("reward").alias("avg_reward"),
         F.count(F.lit(1)).alias("n_tokens"),
     )
-    out = out.withColumn("scaled_loss", F.col("policy_loss") / accumulation)
     if kl is not None:
         ks = kl.groupBy(*keys).agg(F.sum("kl").alias("__kl"))
-        out = out.join(ks, keys, "left").withColumn("kl_term", F.lit(kl_coef) * F.coalesce("__kl", F.lit(0.0))).drop("__kl")
-        out = out.withColumn("total_loss", F.col("policy_loss") + F.col("kl_term"))
-    return out
+        out = out.join(ks, keys, "left").withColumn("kl_loss", F.lit(kl_coef) * F.coalesce("__kl", F.lit(0.0))).drop("__kl")
+    else:
+        out = out.withColumn("kl_loss", F.lit(0.0))
+    out = out.withColumn("total_loss", F.col("policy_loss") + F.col("kl_loss"))
+    return out.withColumn("scaled_loss", F.col("total_loss") / accumulation)
 
 
 def reward_fit_error(pred: DataFrame, target: DataFrame, pred_seq: DataFrame, target_seq: DataFrame, keys: list[str], batch_col: str) -> DataFrame:

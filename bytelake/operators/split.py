@@ -1,6 +1,6 @@
 """Seeded, partition-independent splits and samples.
 
-All draws use ``u01(seed, key)``; exact-size splits rank rows by that draw with the distributed
+All draws use ``u01(seed, <operator>, key)``, so draws of different operators are independent; exact-size splits rank rows by that draw with the distributed
 row index (no single-partition window), so sizes are exact and every row lands in one split.
 """
 
@@ -13,9 +13,9 @@ from ..functions.rank import with_row_index
 from ..functions.rng import u01
 
 
-def shuffle_rows(df: DataFrame, key: str, seed: int = 42, out: str = "pos") -> DataFrame:
-    """Seeded permutation: ``out`` is the 0-based position of each row."""
-    return with_row_index(df.withColumn("__u", u01(seed, key)), ["__u", key], out, uniform_col="__u").drop("__u")
+def shuffle_rows(df: DataFrame, key: str, seed: int = 42, out: str = "pos", purpose: str = "shuffle") -> DataFrame:
+    """Seeded permutation: ``out`` is the 0-based position of each row; ``purpose`` names the draw."""
+    return with_row_index(df.withColumn("__u", u01(seed, F.lit(purpose), key)), ["__u", key], out, uniform_col="__u").drop("__u")
 
 
 def _n_rows(df: DataFrame):
@@ -30,7 +30,7 @@ def split_three_way(df: DataFrame, key: str, holdout: float = 0.2, test_of_holdo
     n_test = F.ceil(F.lit(float(test_of_holdout)) * n_hold)
     n_val = n_hold - n_test
     p = F.col("__pos")
-    ranked = shuffle_rows(df, key, seed, "__pos")
+    ranked = shuffle_rows(df, key, seed, "__pos", "split3")
     return ranked.withColumn(
         "split", F.when(p < n_train, "train").when(p < n_train + n_val, "val").otherwise("test")
     ).drop("__pos")
@@ -40,14 +40,14 @@ def split_two_way(df: DataFrame, key: str, frac: float = 0.1, seed: int = 42) ->
     """Exact train/val with ``ceil(frac*n)`` validation rows."""
     n = _n_rows(df)
     n_val = F.ceil(F.lit(float(frac)) * n)
-    ranked = shuffle_rows(df, key, seed, "__pos")
+    ranked = shuffle_rows(df, key, seed, "__pos", "split2")
     return ranked.withColumn("split", F.when(F.col("__pos") < n - n_val, "train").otherwise("val")).drop("__pos")
 
 
 def split_hash(df: DataFrame, key: str, weights=(0.8, 0.1, 0.1), names=("train", "val", "test"), seed: int = 42) -> DataFrame:
     """Threshold split on ``u01``: no shuffle, stable under appends, usable on streams; sizes approximate."""
     total = float(sum(weights))
-    u = u01(seed, key)
+    u = u01(seed, F.lit("split_hash"), key)
     expr, acc = None, 0.0
     for w, name in zip(weights[:-1], names[:-1]):
         acc += w / total
@@ -62,8 +62,8 @@ def split_fraction_independent(df: DataFrame, key: str, frac_a: float = 0.9, fra
     drawing both samples from the same frame with one seed gives; pass ``seed_b`` for independent draws.
     """
     seed_b = seed_a if seed_b is None else seed_b
-    a = df.where(u01(seed_a, key) < frac_a)
-    b = df.where(u01(seed_b, key) < frac_b)
+    a = df.where(u01(seed_a, F.lit("fraction"), key) < frac_a)
+    b = df.where(u01(seed_b, F.lit("fraction"), key) < frac_b)
     return a, b
 
 
@@ -99,7 +99,7 @@ def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, oversample:
     rows) are counted; when at least ``n`` fall below ``t`` the answer lies among them and only they
     are ordered, otherwise every row is.
     """
-    x = df.withColumn("__u", u01(seed, key))
+    x = df.withColumn("__u", u01(seed, F.lit("sample"), key))
     total = _n_rows(df)
     t = F.least(F.lit(1.0), F.lit(float(n * oversample + 64)) / F.greatest(total, F.lit(1)))
     below = x.where(F.col("__u") < t).agg(F.count(F.lit(1))).scalar()
@@ -108,7 +108,7 @@ def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, oversample:
 
 
 def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out: str = "draw") -> DataFrame:
-    """``m`` draws with replacement (a training batch): draw j picks row ``floor(u01(seed, j) * N)``.
+    """``m`` draws with replacement (a training batch): draw j picks row ``floor(u01(seed, "draw", j) * N)``.
 
     Rows get a dense index (distributed rank by key); draws join to it on the index, so a row
     drawn many times is matched by hash join without gathering anything.
@@ -116,10 +116,8 @@ def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out:
     n = _n_rows(df)
     indexed = with_row_index(df, [key], "__idx")
     draws = df.sparkSession.range(m).select(
-        F.col("id").alias(out), F.floor(u01(seed, "id") * n).cast("long").alias("__idx")
+        F.col("id").alias(out), F.floor(u01(seed, F.lit("draw"), "id") * n).cast("long").alias("__idx")
     )
-    if m <= 2_000_000:  # parameter-sized: broadcast, the indexed table is streamed
-        draws = F.broadcast(draws)
     return indexed.join(draws, "__idx").select(out, *df.columns)
 
 
@@ -139,7 +137,7 @@ def episode_plan(
     The sampled set is bounded by ``n_pairs`` rows, so it is broadcast.
     """
     chosen = sample_fixed_n(pairs, key, n_pairs, seed)
-    chosen = with_row_index(chosen.withColumn("__u", u01(seed, key)), ["__u", key], "slot", buckets=1, uniform_col="__u").drop("__u")
+    chosen = with_row_index(chosen.withColumn("__u", u01(seed, F.lit("sample"), key)), ["__u", key], "slot", buckets=1, uniform_col="__u").drop("__u")
     k = _n_rows(chosen)
     e = F.col("id")
     plan = pairs.sparkSession.range(episodes).select(

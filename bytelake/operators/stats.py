@@ -38,34 +38,21 @@ def byte_histogram(df: DataFrame, col: str = "text") -> DataFrame:
     )
 
 
-def byte_histogram_exploded(df: DataFrame, col: str = "text") -> DataFrame:
-    """Pure-SQL form of :func:`byte_histogram` (one row per byte; kept for small inputs/tests)."""
-    b = df.select(F.explode(F.regexp_extract_all(F.hex(utf8(col) if dict(df.dtypes)[col] == "string" else F.col(col)), F.lit("(..)"), 1)).alias("h"))
-    agg = b.groupBy("h").count().select(F.conv("h", 16, 10).cast("int").alias("byte"), F.col("count").alias("cnt"))
-    ids = df.sparkSession.range(VOCAB).select(F.col("id").cast("int").alias("byte"))
-    return ids.join(F.broadcast(agg), "byte", "left").select("byte", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
-
-
-def byte_histogram_sampled(df: DataFrame, key: str, col: str = "text", cap: int = 1_000_000, seed: int = 42) -> DataFrame:
-    """Histogram over ``cap`` byte positions drawn with replacement from the concatenated stream.
-
-    When the stream holds at most ``cap`` bytes the exact histogram is returned (as the reference does).
-    Draws are located in the stream through :func:`bytelake.operators.blocks.locate_positions`.
+def byte_histogram_sampled(df: DataFrame, key: str, col: str = "text", draws: int = 1_000_000, seed: int = 42) -> DataFrame:
+    """Histogram over ``draws`` byte positions drawn with replacement from the concatenated stream (all zero
+    for an empty stream).  Draws are located in the stream through :func:`bytelake.operators.blocks.locate_positions`.
     """
     from .blocks import locate_positions, stream_offsets
 
     offs = stream_offsets(df, key, col)
     total = df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).scalar()
     spark = df.sparkSession
-    draws = spark.range(cap).select(
-        F.col("id").alias("draw"), F.floor(u01(seed, "id") * total).cast("long").alias("pos")
-    ).where(total > cap)
-    picked = locate_positions(offs, draws, "pos", n_draws=cap)
-    sampled = picked.groupBy("byte").agg(F.count(F.lit(1)).alias("cnt"))
-    exact = byte_histogram(df.where(total <= cap), col)
+    drawn = spark.range(draws).select(
+        F.col("id").alias("draw"), F.floor(u01(seed, F.lit("histogram"), "id") * total).cast("long").alias("pos")
+    )
+    sampled = locate_positions(df, offs, key, col, drawn, "pos").groupBy("byte").agg(F.count(F.lit(1)).alias("cnt"))
     ids = spark.range(VOCAB).select(F.col("id").cast("int").alias("byte"))
-    s = ids.join(F.broadcast(sampled), "byte", "left").select("byte", F.coalesce("cnt", F.lit(0)).alias("s"))
-    return s.join(exact, "byte").select("byte", (F.col("s") + F.col("cnt")).cast("long").alias("cnt"))
+    return ids.join(F.broadcast(sampled), "byte", "left").select("byte", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def token_frequencies(hist: DataFrame, min_freq: float = WeightConfig.min_freq) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +53,9 @@ def encoding_audit(df: DataFrame, col: str = "text", group=("lang",)) -> DataFra
 
 
 def corpus_byte_totals(df: DataFrame, col: str = "text", split_col: str = "split") -> DataFrame:
-    """UTF-8 bytes per split plus a ``total`` row (rollup)."""
-    return df.rollup(split_col).agg(F.sum(F.octet_length(col)).cast("long").alias("n_bytes")).select(
-        F.coalesce(F.col(split_col), F.lit("total")).alias(split_col), "n_bytes"
+    """UTF-8 bytes per split (a null split stays null) plus a ``total`` row (rollup)."""
+    return df.rollup(split_col).agg(F.sum(F.octet_length(col)).cast("long").alias("n_bytes"), F.grouping(split_col).alias("__all")).select(
+        F.when(F.col("__all") == 1, "total").otherwise(F.col(split_col)).alias(split_col), "n_bytes"
     )
 
 
@@ -71,39 +72,46 @@ def strip_special(df: DataFrame, col: str = "bytes", out: str | None = None) ->
     return df.withColumn(out or col, F.unhex(F.array_join(arr, "")))
 
 
-def _byte_pos(text, char_pos):
-    """1-based byte offset of 1-based character position ``char_pos`` in ``text``."""
-    return F.octet_length(F.substring(text, F.lit(1), char_pos - 1)) + 1
+STOP_WINDOW = 30  # the answer tag must lie within this many last bytes
+
+
+def _first_stop(context: bytes, generated: bytes, limit: int) -> tuple[str, int]:
+    """``(reason, kept bytes)`` of a finished byte generation (see :func:`stop_reason`)."""
+    c, n = len(context), min(len(generated), limit)
+    eos = generated.find(bytes([EOS]), 0, n) + 1
+    best = ("eos", eos) if eos else ("max_length", n) if n == limit else ("complete", n)
+    raw = context + generated[:n]
+    at = [i for i, b in enumerate(raw) if b] if 0 in raw else range(len(raw))  # zero bytes don't count as text
+    text = bytes(raw[i] for i in at) if 0 in raw else raw
+    think = text.find(THINK_END_TAG.encode())
+    tag = ANSWER_END_TAG.encode()
+    found = text.find(tag) if think >= 0 else -1
+    while found >= 0:
+        start, end = at[found], at[found + len(tag) - 1]
+        stop = max(1, end - c + 1, at[think + len(THINK_END_TAG) - 1] - c + 1)
+        if stop <= n and start >= c + stop - STOP_WINDOW:
+            if stop < best[1] or stop == best[1] and best[0] != "eos":
+                best = ("answer_end", stop)
+            break
+        found = text.find(tag, found + 1)
+    return best
 
 
 def stop_reason(df: DataFrame, completion: str = "completion", ref_len: str = "ref_len", context: str | None = None, cap: int = 4096) -> DataFrame:
-    """Where generation would have stopped in a finished completion, and why.
+    """Where generation would have stopped in a finished completion (text or bytes), and why.
 
-    Candidates (byte lengths of the kept output): the first EOS byte (inclusive); the end of the
-    first ``</answer>`` when ``</think>`` already appears in context + completion up to there; the
-    length limit ``min(cap, 2 * ref_len)``.  The smallest wins; ``complete`` when none applies.
+    The least of: the first EOS byte (inclusive); the first position whose last 30 bytes of context and output, without zero
+    bytes, hold ``</answer>`` while ``</think>`` has occurred in context or output; the length limit
+    ``min(cap, 2 * ref_len)``.  ``complete`` when none applies.
     """
-    g = F.col(completion)
-    gb = utf8(completion)
-    n = F.octet_length(gb)
-    eos = F.array_position(hex_pairs(gb), f"{EOS:02X}")
-    a = F.instr(g, ANSWER_END_TAG)
-    upto = F.substring(g, F.lit(1), a + len(ANSWER_END_TAG) - 1)
-    ctx = F.concat(F.col(context), upto) if context else upto
-    ans_ok = (a > 0) & (F.instr(ctx, THINK_END_TAG) > 0)
-    ans_end = _byte_pos(g, a) + len(ANSWER_END_TAG) - 1
-    lim = F.least(F.lit(cap), 2 * F.col(ref_len))
-    big = F.lit(1 << 62)
-    c_eos = F.when(eos > 0, eos).otherwise(big)
-    c_ans = F.when(ans_ok, ans_end).otherwise(big)
-    c_lim = F.when(n >= lim, lim).otherwise(big)
-    best = F.least(c_eos, c_ans, c_lim)
-    reason = (
-        F.when(best == big, "complete")
-        .when(best == c_eos, "eos")
-        .when(best == c_ans, "answer_end")
-        .otherwise("max_length")
-    )
-    return df.withColumn("stop_reason", reason).withColumn(
-        "stop_len", F.when(best == big, n).otherwise(best).cast("long")
-    )
+    kinds = dict(df.dtypes)
+    gen = F.col(completion) if kinds[completion] == "binary" else utf8(completion)
+    ctx = F.unhex(F.lit("")) if context is None else (F.col(context) if kinds[context] == "binary" else utf8(context))
+
+    @F.pandas_udf("stop_reason string, stop_len long")
+    def stops(c: pd.Series, g: pd.Series, limit: pd.Series) -> pd.DataFrame:
+        rows = [_first_stop(bytes(a or b""), bytes(b or b""), int(n)) for a, b, n in zip(c, g, limit, strict=True)]
+        return pd.DataFrame(rows, columns=["stop_reason", "stop_len"])
+
+    limit = F.least(F.lit(cap), 2 * F.coalesce(F.col(ref_len), F.lit(0))).cast("long")
+    return df.withColumn("__stop", stops(ctx, gen, limit)).select("*", "__stop.*").drop("__stop")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import WeightConfig
 from ..operators import clean, stats
 from ..sources import parquet as src
-from .registry import query, table, text_table
+from .registry import query, table
 
 R9, R6 = 9, 6
 
@@ -29,7 +29,7 @@ w AS (SELECT byte, cnt, freq, least(pow(1.0::DOUBLE / freq, 0.5::DOUBLE), 10.0::
 
 def corpus(spark, sf):
     """documents -> (doc_id, text) with the content column detected by name."""
-    return src.select_content(text_table(spark, sf, "documents"), key="doc_id")
+    return src.select_content(table(spark, sf, "documents"), key="doc_id")
 
 
 def weights_table(spark, sf, cfg: WeightConfig = WeightConfig()):
@@ -123,14 +123,19 @@ def q_string_guard(spark, sf):
 
 @query(
     "placeholder_if_empty",
-    sql="""WITH kept AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND n_chars > 1000000000)
-SELECT doc_id, text FROM kept
-UNION ALL SELECT NULL::BIGINT, 'This is a placeholder text.' WHERE (SELECT count(*) FROM kept) = 0""",
+    sql="""WITH k AS (SELECT 'all' AS corpus, doc_id, text FROM documents WHERE text IS NOT NULL),
+e AS (SELECT 'none' AS corpus, doc_id, text FROM documents WHERE text IS NOT NULL AND n_chars > 1000000000)
+SELECT corpus, doc_id, text FROM k UNION ALL SELECT 'all', NULL::BIGINT, 'This is a placeholder text.' WHERE (SELECT count(*) FROM k) = 0
+UNION ALL SELECT corpus, doc_id, text FROM e UNION ALL SELECT 'none', NULL::BIGINT, 'This is a placeholder text.' WHERE (SELECT count(*) FROM e) = 0""",
 )
 def q_placeholder_if_empty(spark, sf):
-    """Documents over a billion characters (none in the fixtures), else the placeholder row."""
-    d = table(spark, sf, "documents").where(F.col("n_chars") > 1_000_000_000).select("doc_id", "text")
-    return clean.placeholder_if_empty(clean.string_guard(d, "text"), "text")
+    """The corpus, which passes through, and an emptied one (documents over a billion characters: none here), which
+    becomes the placeholder row."""
+    docs = table(spark, sf, "documents")
+    kept = clean.placeholder_if_empty(clean.string_guard(docs.select("doc_id", "text"), "text"), "text")
+    none = docs.where(F.col("n_chars") > 1_000_000_000).select("doc_id", "text")
+    none = clean.placeholder_if_empty(clean.string_guard(none, "text"), "text")
+    return kept.withColumn("corpus", F.lit("all")).unionByName(none.withColumn("corpus", F.lit("none")))
 
 
 @query("take_prefix", sql="SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")

@@ -17,7 +17,7 @@ SEED = 42
 
 
 def completions(spark, sf, p=None):
-    """``(pair_id, prompt, reference, completion, includes_prompt)`` (from ``p`` when given)."""
+    """``(pair_id, prompt, reference, completion, includes_prompt)`` (from ``p`` when given; also of a stream)."""
     p = pairs(spark, sf) if p is None else p
     u = u01(SEED, F.lit("gen"), F.col("pair_id"))
     tagged = F.concat(

@@ -57,7 +57,7 @@ def q_format_sft_record_byte(spark, sf):
 
 @query(
     "augment_prompt_mix",
-    sql=f"""SELECT doc_id, CASE WHEN {u01_sql(42, 'doc_id')} < 0.2::DOUBLE
+    sql=f"""SELECT doc_id, CASE WHEN {u01_sql(42, "'augment'", 'doc_id')} < 0.2::DOUBLE
   THEN {SQL_Q} || text || chr(10) || chr(10) || chr(254) || '<think>{AUGMENT_THINKING}</think><answer>{AUGMENT_ANSWER}</answer>' || chr(255)
   ELSE text END AS text FROM documents""",
 )

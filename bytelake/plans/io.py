@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..config import MOCK_RESPONSE
+from ..config import MOCK_RESPONSE, REWARD_SCALES
 from ..sources import mock, parquet, sinks
 from .registry import ensure_scratch, query, table
-from .rewards import SQL_CANDS50, q_reward_dataset, sql_totals
+from .rewards import SQL_REWARD_DATASET, q_reward_dataset
 from .training import SQL_HISTORY_BASE, history
 
-DATASET_VERSION = "v1"
+DATASET_VERSION = "v2"
 
 
 @query("source_fallback", sql="SELECT doc_id, lang FROM documents")
@@ -44,23 +44,14 @@ def q_mock_pairs(spark, sf):
 def q_write_history(spark, sf):
     """Append the episode history to a fresh folder (snapshot partitions of 20 episodes), read it back."""
     root = ensure_scratch(spark)
-    path = f"{root.rstrip('/')}/bytelake-history/{uuid.uuid4().hex}"
+    path = f"{root}/bytelake-history/{uuid.uuid4().hex}"
     h = history(spark, sf).select("episode", *[F.round(c, 6).alias(c) for c in ("penalty_scale", "policy_loss", "avg_reward")], "gen_len", "ref_len")
     sinks.write_history(h, path, every=20)
     return spark.read.parquet(path).select("episode", "penalty_scale", "policy_loss", "avg_reward", "gen_len", "ref_len", F.col("snapshot").cast("int"))
 
 
-@query(
-    "reuse_or_build",
-    sql=SQL_CANDS50
-    + f""", sx AS (SELECT sc.*, s.scale FROM sc, (VALUES (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE), (2.5::DOUBLE)) s(scale)),
-t AS ({sql_totals('scale')} FROM sx)
-SELECT pair_id, cand, scale, gen_len, ref_len, matches, match_pos_sum, CAST(n_rewards AS INTEGER) AS n_rewards,
-  round(base + penalty, 9) AS total_reward FROM t""",
-)
+@query("reuse_or_build", sql=SQL_REWARD_DATASET)
 def q_reuse_or_build(spark, sf):
-    """The reward dataset, built once per input folder and reused from the shared folder afterwards."""
-    root = ensure_scratch(spark)
-    tag = sf.rstrip("/").replace("/", "_")
-    path = f"{root.rstrip('/')}/bytelake-datasets/reward_dataset_{DATASET_VERSION}{tag}"
-    return sinks.reuse_or_build(spark, path, lambda: q_reward_dataset(spark, sf))
+    """The reward dataset, built once for these conversations and parameters and reused from the shared folder afterwards."""
+    mark = sinks.fingerprint([table(spark, sf, "conversations")], "reward_dataset", DATASET_VERSION, REWARD_SCALES)
+    return sinks.reuse_or_build(spark, f"{ensure_scratch(spark)}/bytelake-datasets/{mark}", lambda: q_reward_dataset(spark, sf))

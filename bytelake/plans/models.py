@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u01, u01_sql
 from ..operators import loss, ngram, split, stats
-from .registry import materialize, query, table, text_table
+from .registry import materialize, query, table
 
 SEED = 42
 N_BATCHES = 20
-U_DOC = u01_sql(SEED, "doc_id")
+U_DOC = u01_sql(SEED, "'split_hash'", "doc_id")
 U_BATCH = u01_sql(SEED, "'batch'", "doc_id")
 
 
 def split_docs(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     d = split.split_hash(d, "doc_id", (0.8, 0.1, 0.1), seed=SEED)
     return d.withColumn("batch_id", F.floor(u01(SEED, F.lit("batch"), F.col("doc_id")) * N_BATCHES).cast("long"))
 

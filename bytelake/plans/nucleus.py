@@ -52,7 +52,7 @@ def q_top_p_business(spark, sf):
 def _sql_draw(src: str, prob: str) -> str:
     return f""", cu AS (SELECT ctx, next, sum({prob}) OVER (PARTITION BY ctx ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
     sum({prob}) OVER (PARTITION BY ctx) AS tot FROM {src}),
-dr AS (SELECT ctx, arg_min(next, cum) AS next FROM cu WHERE cum > {u01_sql(SEED, 'ctx')} * tot GROUP BY ctx)"""
+dr AS (SELECT ctx, arg_min(next, cum) AS next FROM cu WHERE cum > {u01_sql(SEED, "'categorical'", 'ctx')} * tot GROUP BY ctx)"""
 
 
 @query("sample_categorical", sql=SQL_BASE + _sql_draw("m1", "prob") + " SELECT ctx, next FROM dr")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage, shared_dir, ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,29 +25,15 @@ def query(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows carry long texts: spread across the cluster when the scan is narrow."""
-    from ..functions.spread import spread
-
-    return spread(table(spark, sf_dir, name))
-
-
 def ensure_scratch(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a fresh local one only where none is configured."""
-    import tempfile
-
-    from ..session import checkpoint_dir, ensure_checkpoint_dir
-
-    return checkpoint_dir(spark) or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="bytelake-ckpt-"))
+    """The session's shared folder."""
+    return shared_dir(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a small derived frame (sampled pairs) into the shared folder so the branches
-    that read it do not each recompute its sampling subqueries."""
-    from ..session import cut_lineage
-
-    ensure_scratch(df.sparkSession)
+    """Write a derived frame once, for plans that read it from several branches."""
     return cut_lineage(df)

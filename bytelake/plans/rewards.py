@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.binary import utf8
-from ..functions.rng import u01, u01_sql
+from ..functions.rng import u01_sql
 from ..operators import rewards as rw
 from ..operators import split
 from .fixtures import SQL_COMPLETIONS, completions
-from .registry import materialize, query
+from .registry import query
 from .splits import SQL_PAIRS, pairs
 
 SEED = 42
@@ -75,14 +75,11 @@ def variants(spark, sf):
     return rw.synthetic_variants(pairs(spark, sf), "pair_id", "response", SEED)
 
 
-def scored(spark, sf, pair_filter=None):
-    # pairs feed the completions, the variants and the references: derive them once
-    p = materialize(pairs(spark, sf))
-    if pair_filter is not None:
-        p = materialize(pair_filter(p))
-    c = completions(spark, sf, p)
-    cands = rw.candidates(c, rw.synthetic_variants(p, "pair_id", "response", SEED))
-    return rw.scored_candidates(cands, p.withColumnRenamed("response", "reference"), "pair_id", "reference")
+def scored(spark, sf):
+    """Every pair's five candidates with their match features, in one pass over the pairs."""
+    cands = rw.candidates_in_row(completions(spark, sf), "pair_id", "reference", SEED, ("prompt",))
+    x = cands.withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
+    return rw.match_features(x, "__g", "__r").drop("__g", "__r")
 
 
 @query("synthetic_variants", sql=f"WITH pp AS ({SQL_PAIRS}), {SQL_VARIANTS} SELECT pair_id, cand, gh AS completion_hex FROM var")
@@ -144,7 +141,7 @@ def q_token_penalty_baseline(spark, sf):
 
 @query(
     "penalty_scale",
-    sql=f"""WITH p AS ({SQL_PAIRS}), e AS (SELECT pair_id, row_number() OVER (ORDER BY {u01_sql(SEED, 'pair_id')}, pair_id) - 1 AS episode,
+    sql=f"""WITH p AS ({SQL_PAIRS}), e AS (SELECT pair_id, row_number() OVER (ORDER BY {u01_sql(SEED, "'shuffle'", 'pair_id')}, pair_id) - 1 AS episode,
   count(*) OVER () AS n FROM p)
 SELECT pair_id, CAST(episode AS INTEGER) AS episode, round(1.0 + episode::DOUBLE / greatest(1, n - 1) * 1.5, 9) AS penalty_scale FROM e""",
 )
@@ -155,40 +152,45 @@ def q_penalty_scale(spark, sf):
     return p.select("pair_id", F.col("episode").cast("int").alias("episode"), F.round(rw.penalty_scale("episode", n, 2.5), 9).alias("penalty_scale"))
 
 
-def sample50(p):
-    return split.sample_fixed_n(p, "pair_id", 50, SEED)
+SQL_REWARD_LIST = """CASE WHEN least(gen_len, ref_len) = 0 THEN CASE WHEN gen_len < ref_len THEN [penalty] ELSE []::DOUBLE[] END
+  ELSE list_transform(list_slice(z, 1, least(gen_len, ref_len)), lambda q, i:
+    CASE WHEN q[1] = q[2] THEN 1.0::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * (i - 1)::DOUBLE / greatest(gen_len, 1)::DOUBLE) ELSE 0.0::DOUBLE END
+    + CASE WHEN i = least(gen_len, ref_len) THEN penalty ELSE 0.0::DOUBLE END) END"""
 
-
-SQL_CANDS50 = SQL_CANDS.replace(
-    f"WITH pp AS ({SQL_PAIRS}),", f"WITH pp AS (SELECT * FROM ({SQL_PAIRS}) ORDER BY {u01_sql(SEED, 'pair_id')}, pair_id LIMIT 50),"
-).replace("cm AS (" + SQL_COMPLETIONS + ")", "cm AS (SELECT * FROM (" + SQL_COMPLETIONS + ") WHERE pair_id IN (SELECT pair_id FROM pp))")
-
-
-@query(
-    "reward_dataset",
-    sql=SQL_CANDS50
+SQL_REWARD_DATASET = (
+    SQL_CANDS
     + f""", sx AS (SELECT sc.*, s.scale FROM sc, (VALUES (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE), (2.5::DOUBLE)) s(scale)),
-t AS ({sql_totals('scale')} FROM sx)
-SELECT pair_id, cand, scale, gen_len, ref_len, matches, match_pos_sum, CAST(n_rewards AS INTEGER) AS n_rewards,
-  round(base + penalty, 9) AS total_reward FROM t""",
+t AS ({sql_totals('scale')} FROM sx),
+tr AS (SELECT *, {SQL_REWARD_LIST} AS rewards FROM t)
+SELECT t.pair_id, cand, scale, pp.prompt, pp.response AS reference, gh AS completion_hex, rh AS reference_hex, gen_len, ref_len, matches, match_pos_sum,
+  CAST(n_rewards AS INTEGER) AS n_rewards, round(base + penalty, 9) AS total_reward,
+  md5(array_to_string(list_transform(rewards, lambda v: CAST(CAST(round(v * 1000000.0::DOUBLE) AS BIGINT) AS VARCHAR)), ',')) AS rewards_md5
+FROM tr t JOIN pp USING (pair_id)"""
 )
+
+
+@query("reward_dataset", sql=SQL_REWARD_DATASET)
 def q_reward_dataset(spark, sf):
-    """50 sampled pairs x 5 candidates x 4 penalty scales = 1,000 rows."""
-    d = rw.reward_dataset(scored(spark, sf, sample50))
+    """All pairs x 5 candidates x 4 penalty scales: texts, their bytes, the reward list (as a digest here) and totals."""
+    x = rw.reward_dataset(scored(spark, sf)).withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
+    d = rw.with_reward_array(x, "__g", "__r", F.col("scale"))
+    digest = F.md5(F.array_join(F.transform("rewards", lambda v: F.round(v * 1000000.0).cast("long").cast("string")), ","))
     return d.select(
-        "pair_id", "cand", "scale", F.col("gen_len").cast("long").alias("gen_len"), F.col("ref_len").cast("long").alias("ref_len"),
-        "matches", "match_pos_sum", "n_rewards", F.round("total_reward", 9).alias("total_reward"),
+        "pair_id", "cand", "scale", "prompt", "reference", F.hex("__g").alias("completion_hex"), F.hex("__r").alias("reference_hex"),
+        F.col("gen_len").cast("long").alias("gen_len"), F.col("ref_len").cast("long").alias("ref_len"),
+        "matches", "match_pos_sum", "n_rewards", F.round("total_reward", 9).alias("total_reward"), digest.alias("rewards_md5"),
     )
 
 
 @query(
     "scale_bucket",
-    sql="""SELECT s AS scale, greatest(least(CAST(trunc((s - 1.0) * 10.0) AS INTEGER), 24), 0) AS bucket, count(*) AS n_rows
-FROM (SELECT 1.0::DOUBLE + e::DOUBLE / 99 * 1.5::DOUBLE AS s FROM range(100) r(e)) GROUP BY s""",
+    sql=f"""WITH p AS ({SQL_PAIRS}), e AS (SELECT row_number() OVER (ORDER BY {u01_sql(SEED, "'shuffle'", 'pair_id')}, pair_id) - 1 AS episode, count(*) OVER () AS n FROM p),
+s AS (SELECT 1.0::DOUBLE + episode::DOUBLE / greatest(1, n - 1) * 1.5::DOUBLE AS s FROM e)
+SELECT greatest(least(CAST(trunc((s - 1.0) * 10.0) AS INTEGER), 24), 0) AS bucket, count(*) AS n_rows FROM s GROUP BY 1""",
 )
 def q_scale_bucket(spark, sf):
-    from .splits import pairs as _pairs
-
-    plan = split.episode_plan(_pairs(spark, sf), "pair_id", 100, 5, 5, 20, 2.5, SEED)
-    b = plan.select(F.col("penalty_scale").alias("scale")).withColumn("bucket", rw.scale_bucket("scale"))
-    return b.groupBy("scale", "bucket").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Pairs per bucket of the penalty scale, over one pass of the pairs in shuffled order."""
+    p = split.shuffle_rows(pairs(spark, sf), "pair_id", SEED, "episode")
+    n = p.agg(F.count(F.lit(1))).scalar()
+    b = p.select(rw.scale_bucket(rw.penalty_scale("episode", n, 2.5)).alias("bucket"))
+    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -15,7 +15,7 @@ from ..operators import split
 from .fixtures import SQL_COMPLETIONS, completions
 from .models import SQL_BASE, model
 from .registry import query
-from .rewards import SQL_CANDS50, sample50, scored, sql_totals
+from .rewards import SQL_CANDS, scored, sql_totals
 from .splits import SQL_PAIRS, pairs
 from .training import SQL_LOGP, _sql_tokens
 
@@ -23,7 +23,7 @@ SEED = 42
 KEYS = ["pair_id", "cand"]
 
 SQL_SCORED = (
-    SQL_CANDS50 + ", " + SQL_BASE[len("WITH ") :] + SQL_LOGP
+    SQL_CANDS + ", " + SQL_BASE[len("WITH ") :] + SQL_LOGP
     + f""", ms AS (SELECT pair_id, cand, avg(logp) AS model_score FROM lp GROUP BY pair_id, cand),
 t1 AS ({sql_totals('1.0')} FROM sc),
 ss AS (SELECT t1.pair_id, t1.cand, t1.gen_len, t1.ref_len, t1.base + t1.penalty AS total_reward, t1.base, t1.matches, t1.match_pos_sum,
@@ -32,8 +32,8 @@ ss AS (SELECT t1.pair_id, t1.cand, t1.gen_len, t1.ref_len, t1.base + t1.penalty
 
 
 def scored_with_model(spark, sf):
-    """Sampled candidates with totals at scale 1.0 and ``model_score`` = mean log-prob per byte."""
-    s = scored(spark, sf, sample50)
+    """Candidates with totals at scale 1.0 and ``model_score`` = mean log-prob per byte."""
+    s = scored(spark, sf)
     t = rw.total_reward(s.withColumn("scale", F.lit(1.0)), "scale")
     g = s.withColumn("__g", utf8("completion"))
     lp = rw.token_logprobs(g, KEYS, "__g", model(spark, sf)).groupBy(*KEYS).agg(F.avg("logp").alias("model_score"))
@@ -90,7 +90,7 @@ pb AS (SELECT scale, CAST(count_if(best = 'model') AS BIGINT) AS n_best_model FR
 SELECT scale, n_accepted, round(avg_total, 6) AS avg_total, n_best_model FROM pa JOIN pb USING (scale)""",
 )
 def q_scale_sweep(spark, sf):
-    s = scored(spark, sf, sample50)
+    s = scored(spark, sf)
     w = sel.scale_sweep(s, SWEEP)
     return w.select("scale", "n_accepted", F.round("avg_total", 6).alias("avg_total"), "n_best_model")
 
@@ -131,35 +131,34 @@ def q_tag_spans(spark, sf):
 
 
 SQL_EVAL = f"""WITH pp AS ({SQL_PAIRS}),
-r AS (SELECT pair_id, prompt, response, row_number() OVER (ORDER BY {u01_sql(SEED, 'pair_id')}, pair_id) - 1 AS pos, count(*) OVER () AS n FROM pp),
+r AS (SELECT pair_id, prompt, response, row_number() OVER (ORDER BY {u01_sql(SEED, "'split3'", 'pair_id')}, pair_id) - 1 AS pos, count(*) OVER () AS n FROM pp),
 tst AS (SELECT pair_id, prompt, response AS reference FROM r WHERE pos >= n - ceil(0.2::DOUBLE * n) + (ceil(0.2::DOUBLE * n) - ceil(0.5::DOUBLE * ceil(0.2::DOUBLE * n)))),
 c AS ({SQL_COMPLETIONS}),
-smp AS (SELECT pair_id FROM pp ORDER BY {u01_sql(SEED, 'pair_id')}, pair_id LIMIT 50),
-res AS (SELECT t.pair_id, c.completion AS generated, 0.0::DOUBLE AS generation_time,
-          CASE WHEN t.pair_id IN (SELECT pair_id FROM smp) THEN octet_length(encode(c.completion))::DOUBLE / greatest(octet_length(encode(t.reference)), 1) END AS reward_score
+res AS (SELECT t.pair_id, t.prompt, t.reference, c.completion AS generated, octet_length(encode(c.completion))::DOUBLE / 1000.0 AS generation_time,
+          octet_length(encode(c.completion))::DOUBLE / greatest(octet_length(encode(t.reference)), 1) AS reward_score
         FROM tst t JOIN c USING (pair_id)),
 ef AS (SELECT *, strpos(generated, '<think>') >= 1 AND strpos(generated, '</think>') > strpos(generated, '<think>') AS has_thinking,
          strpos(generated, '<answer>') >= 1 AND strpos(generated, '</answer>') > strpos(generated, '<answer>') AS has_answer FROM res)"""
 
 
 def eval_results(spark, sf):
-    """Test split prompts; completions; a stand-in score (length ratio) only for the 50 sampled pairs."""
+    """Test split prompts with their completions, a stand-in score (length ratio) for each and a stand-in
+    generation time (1,000 bytes a second)."""
     p = pairs(spark, sf)
     test = split.split_three_way(p, "pair_id", 0.2, 0.5, SEED).where(F.col("split") == "test").select(
         "pair_id", "prompt", F.col("response").alias("reference")
     )
-    c = completions(spark, sf).select("pair_id", F.col("completion").alias("generated"), F.lit(0.0).alias("generation_time"))
-    smp = sample50(p).select("pair_id")
-    sc = c.join(smp, "pair_id", "left_semi").join(p.select("pair_id", "response"), "pair_id").select(
-        "pair_id", (F.octet_length("generated") / F.greatest(F.octet_length("response"), F.lit(1))).cast("double").alias("reward_score")
-    )
+    size = F.octet_length("completion")
+    done = completions(spark, sf)
+    c = done.select("pair_id", F.col("completion").alias("generated"), (size / F.lit(1000.0)).alias("generation_time"))
+    sc = done.select("pair_id", (size / F.greatest(F.octet_length("reference"), F.lit(1))).cast("double").alias("reward_score"))
     return ev.evaluation_table(test, c, sc)
 
 
-@query("evaluation_table", sql=SQL_EVAL + " SELECT pair_id, generated, has_thinking, has_answer, generation_time, round(reward_score, 6) AS reward_score FROM ef")
+@query("evaluation_table", sql=SQL_EVAL + " SELECT pair_id, prompt, reference, generated, has_thinking, has_answer, round(generation_time, 6) AS generation_time, round(reward_score, 6) AS reward_score FROM ef")
 def q_evaluation_table(spark, sf):
     e = eval_results(spark, sf)
-    return e.select("pair_id", "generated", "has_thinking", "has_answer", "generation_time", F.round("reward_score", 6).alias("reward_score"))
+    return e.select("pair_id", "prompt", "reference", "generated", "has_thinking", "has_answer", F.round("generation_time", 6).alias("generation_time"), F.round("reward_score", 6).alias("reward_score"))
 
 
 @query(

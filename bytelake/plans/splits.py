@@ -10,9 +10,10 @@ from .registry import query, table
 
 SEED = 42
 
-SQL_PAIRS = """SELECT u.conv_id * 65536 + u.turn AS pair_id, u.text AS prompt, a.text AS response
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'"""
+SQL_PAIRS = """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS pair_id, text AS prompt, next_text AS response
+FROM (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) nt
+WHERE role = 'user' AND next_role = 'assistant'"""
 
 
 def pairs(spark, sf):
@@ -23,14 +24,18 @@ def docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
-U_PAIR = u01_sql(SEED, "pair_id")
-U_DOC = u01_sql(SEED, "doc_id")
+
+
+def u_sql(purpose, key, seed=SEED):
+    """DuckDB twin of the draw an operator makes for a row."""
+    return u01_sql(seed, f"'{purpose}'", key)
+
 
 
 @query(
     "split_three_way",
     sql=f"""WITH p AS ({SQL_PAIRS}),
-r AS (SELECT pair_id, row_number() OVER (ORDER BY {U_PAIR}, pair_id) - 1 AS pos, count(*) OVER () AS n FROM p),
+r AS (SELECT pair_id, row_number() OVER (ORDER BY {u_sql("split3", "pair_id")}, pair_id) - 1 AS pos, count(*) OVER () AS n FROM p),
 c AS (SELECT pair_id, pos, n, ceil(0.2::DOUBLE * n) AS n_hold FROM r)
 SELECT pair_id, CASE WHEN pos < n - n_hold THEN 'train'
                      WHEN pos < n - n_hold + (n_hold - ceil(0.5::DOUBLE * n_hold)) THEN 'val' ELSE 'test' END AS split
@@ -42,7 +47,7 @@ def q_split_three_way(spark, sf):
 
 @query(
     "split_two_way",
-    sql=f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {U_DOC}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+    sql=f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {u_sql("split2", "doc_id")}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN pos < n - ceil(0.1::DOUBLE * n) THEN 'train' ELSE 'val' END AS split FROM r""",
 )
 def q_split_two_way(spark, sf):
@@ -51,7 +56,7 @@ def q_split_two_way(spark, sf):
 
 @query(
     "split_hash",
-    sql=f"""SELECT doc_id, CASE WHEN {U_DOC} < 0.8::DOUBLE THEN 'train' WHEN {U_DOC} < 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split
+    sql=f"""SELECT doc_id, CASE WHEN {u_sql("split_hash", "doc_id")} < 0.8::DOUBLE THEN 'train' WHEN {u_sql("split_hash", "doc_id")} < 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split
 FROM documents""",
 )
 def q_split_hash(spark, sf):
@@ -60,21 +65,20 @@ def q_split_hash(spark, sf):
 
 @query(
     "split_fraction_independent",
-    sql=f"""SELECT doc_id, 'a' AS sample FROM documents WHERE {U_DOC} < 0.9::DOUBLE
-UNION ALL SELECT doc_id, 'b' AS sample FROM documents WHERE {U_DOC} < 0.1::DOUBLE""",
+    sql=f"""SELECT doc_id, 'a' AS sample FROM documents WHERE {u_sql("fraction", "doc_id")} < 0.9::DOUBLE
+UNION ALL SELECT doc_id, 'b' AS sample FROM documents WHERE {u_sql("fraction", "doc_id")} < 0.1::DOUBLE""",
 )
 def q_split_fraction_independent(spark, sf):
     a, b = split.split_fraction_independent(docs(spark, sf), "doc_id", 0.9, 0.1, SEED)
     return a.select("doc_id", F.lit("a").alias("sample")).unionByName(b.select("doc_id", F.lit("b").alias("sample")))
 
 
-U_DOC_7 = u01_sql(7, "doc_id")
 
 
 @query(
     "split_leak_check",
-    sql=f"""WITH a AS (SELECT doc_id, text FROM documents WHERE {U_DOC} < 0.9::DOUBLE),
-b AS (SELECT doc_id, text FROM documents WHERE {U_DOC_7} < 0.1::DOUBLE)
+    sql=f"""WITH a AS (SELECT doc_id, text FROM documents WHERE {u_sql("fraction", "doc_id")} < 0.9::DOUBLE),
+b AS (SELECT doc_id, text FROM documents WHERE {u_sql("fraction", "doc_id", 7)} < 0.1::DOUBLE)
 SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b,
   (SELECT count(*) FROM b WHERE doc_id IN (SELECT doc_id FROM a)) AS key_overlap,
   (SELECT count(*) FROM b WHERE text IN (SELECT text FROM a)) AS text_overlap,
@@ -88,7 +92,7 @@ def q_split_leak_check(spark, sf):
 
 @query(
     "split_sizes",
-    sql=f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {U_DOC}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+    sql=f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {u_sql("split3", "doc_id")}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
 c AS (SELECT pos, n, ceil(0.2::DOUBLE * n) AS n_hold FROM r),
 s AS (SELECT CASE WHEN pos < n - n_hold THEN 'train'
                   WHEN pos < n - n_hold + (n_hold - ceil(0.5::DOUBLE * n_hold)) THEN 'val' ELSE 'test' END AS split FROM c)
@@ -100,7 +104,7 @@ def q_split_sizes(spark, sf):
 
 @query(
     "sample_fixed_n",
-    sql=f"WITH p AS ({SQL_PAIRS}) SELECT pair_id, prompt FROM p ORDER BY {U_PAIR}, pair_id LIMIT 50",
+    sql=f"WITH p AS ({SQL_PAIRS}) SELECT pair_id, prompt FROM p ORDER BY {u_sql("sample", "pair_id")}, pair_id LIMIT 50",
 )
 def q_sample_fixed_n(spark, sf):
     return split.sample_fixed_n(pairs(spark, sf), "pair_id", 50, SEED).select("pair_id", "prompt")
@@ -110,7 +114,7 @@ def q_sample_fixed_n(spark, sf):
     "draw_with_replacement",
     sql=f"""WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents),
 n AS (SELECT count(*) AS n FROM documents)
-SELECT d.id AS draw, x.doc_id FROM range(2048) d(id), n JOIN x ON x.idx = floor({u01_sql(SEED, 'd.id')} * n.n)""",
+SELECT d.id AS draw, x.doc_id FROM range(2048) d(id), n JOIN x ON x.idx = floor({u_sql('draw', 'd.id')} * n.n)""",
 )
 def q_draw_with_replacement(spark, sf):
     """A batch of 2,048 documents drawn with replacement."""
@@ -119,7 +123,7 @@ def q_draw_with_replacement(spark, sf):
 
 @query(
     "shuffle_rows",
-    sql=f"SELECT doc_id, row_number() OVER (ORDER BY {U_DOC}, doc_id) - 1 AS pos FROM documents",
+    sql=f"SELECT doc_id, row_number() OVER (ORDER BY {u_sql("shuffle", "doc_id")}, doc_id) - 1 AS pos FROM documents",
 )
 def q_shuffle_rows(spark, sf):
     return split.shuffle_rows(docs(spark, sf), "doc_id", SEED).select("doc_id", "pos")
@@ -127,7 +131,7 @@ def q_shuffle_rows(spark, sf):
 
 # DuckDB: 100 episodes over 5 sampled pairs (CTE names prefixed ep_ so they can be chained)
 SQL_EPISODES = f"""ep_p AS ({SQL_PAIRS}),
-ep_c AS (SELECT pair_id, row_number() OVER (ORDER BY {U_PAIR}, pair_id) - 1 AS slot FROM (SELECT * FROM ep_p ORDER BY {U_PAIR}, pair_id LIMIT 5)),
+ep_c AS (SELECT pair_id, row_number() OVER (ORDER BY {u_sql('sample', 'pair_id')}, pair_id) - 1 AS slot FROM (SELECT * FROM ep_p ORDER BY {u_sql('sample', 'pair_id')}, pair_id LIMIT 5)),
 ep_k AS (SELECT count(*) AS k FROM ep_c),
 ep_e AS (SELECT range AS e FROM range(100)),
 ep AS (SELECT CAST(e AS INTEGER) AS episode, ep_c.pair_id, 1.0::DOUBLE + e::DOUBLE / greatest(1, 99) * 1.5::DOUBLE AS penalty_scale,

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import ANSWER_END_TAG, ANSWER_TAG, THINK_END_TAG, THINK_TAG
-from ..functions.rng import u01
+from ..operators.formatting import pair_key
 from ..streaming import streams as st
 from .corpus import SQL_HIST
-from .fixtures import SQL_COMPLETIONS
+from .fixtures import SQL_COMPLETIONS, completions
 from .registry import ensure_scratch, query, table
 from .rewards import sql_totals
-
-SEED = 42
+from .splits import pairs
 
 
 def _stream(spark, sf, name):
@@ -38,16 +36,11 @@ t AS ({sql_totals('1.0')} FROM sc)
 SELECT pair_id, matches, match_pos_sum, round(base + penalty, 9) AS total_reward FROM t""",
 )
 def q_stream_score_rewards(spark, sf):
-    """Assistant turns arrive as a stream; a stream–static join attaches the user prompt each one
-    answers; the fixture completion is formed and scored against that reply (scale 1.0)."""
-    conv = _stream(spark, sf, "conversations").where(F.col("role") == "assistant")
-    arrived = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
-    users = table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    j = arrived.join(users, ["conv_id", "turn"]).withColumn("pair_id", (F.col("conv_id") * 65536 + F.col("turn")).cast("long"))
-    u = u01(SEED, F.lit("gen"), F.col("pair_id"))
-    tagged = F.concat(F.lit(THINK_TAG), F.col("prompt"), F.lit(THINK_END_TAG + "\n" + ANSWER_TAG), F.col("reference"), F.lit(ANSWER_END_TAG))
-    comp = F.when(u < 1.0 / 3, tagged).when(u < 2.0 / 3, F.col("reference")).otherwise(F.col("prompt"))
-    sc = st.score_stream(j.select("pair_id", "reference", comp.alias("completion")), 1.0)
+    """User turns arrive as a stream; a stream-static join attaches the reply to each (the reference), the
+    fixture completion is formed and scored against it (scale 1.0)."""
+    users = _stream(spark, sf, "conversations").where(F.col("role") == "user").select(pair_key().alias("pair_id"), F.col("text").alias("prompt"))
+    refs = pairs(spark, sf).select("pair_id", "response")
+    sc = st.stream_score_rewards(users, refs, ["pair_id"], 1.0, lambda j: completions(spark, sf, j))
     out = st.run_append(sc.select("pair_id", "matches", "match_pos_sum", "total_reward"), "score_rewards")
     return out.select("pair_id", "matches", "match_pos_sum", F.round("total_reward", 9).alias("total_reward"))
 

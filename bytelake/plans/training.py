@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.binary import utf8
@@ -9,10 +11,11 @@ from ..functions.rng import u01, u01_sql
 from ..operators import metrics
 from ..operators import rewards as rw
 from ..operators import split
+from .fixtures import completions
 from .models import SQL_BASE, model
-from .registry import materialize, query
-from .rewards import SQL_CANDS, SQL_CANDS50, sample50, scored
-from .splits import SQL_EPISODES, SQL_PAIRS, pairs
+from .registry import query
+from .rewards import SQL_CANDS, scored
+from .splits import SQL_PAIRS, pairs
 
 SEED = 42
 KEYS = ["pair_id", "cand"]
@@ -38,7 +41,7 @@ seq AS (SELECT pair_id, cand, avg(reward) AS score, max(pos) AS lastp FROM scd G
 
 
 def _rule_and_scored(spark, sf, scale):
-    s = _with_bytes(scored(spark, sf, sample50))
+    s = _with_bytes(scored(spark, sf))
     rule = rw.token_rewards(s, KEYS, "__g", "__r", F.lit(scale))
     m = rw.token_matches(s, KEYS, "__g", "__r")
     sc = m.select(*KEYS, "pos", F.when(F.col("match"), 1.0).otherwise(-0.5).alias("reward"))
@@ -48,7 +51,7 @@ def _rule_and_scored(spark, sf, scale):
 
 @query(
     "hybrid_reward",
-    sql=SQL_CANDS50 + _sql_tokens("2.5")
+    sql=SQL_CANDS + _sql_tokens("2.5")
     + """, s2 AS (SELECT scd.pair_id, scd.cand, scd.pos, scd.reward + CASE WHEN scd.pos = seq.lastp THEN 0.5 * coalesce(seq.score, 0.0) ELSE 0.0 END AS s
        FROM scd JOIN seq USING (pair_id, cand)),
 hy AS (SELECT r.pair_id, r.cand, r.pos, 0.3 * r.reward + 0.7 * s2.s AS h FROM rule r JOIN s2 USING (pair_id, cand, pos))
@@ -56,7 +59,7 @@ SELECT pair_id, cand, count(*) AS n_tokens, round(sum(h), 6) AS hybrid_total FRO
 )
 def q_hybrid_reward(spark, sf):
     """Rule rewards (scale 2.5) blended 0.3/0.7 with a stand-in scored list (+1 match / -0.5 mismatch,
-    sequence score = its mean) on the common prefix of the 50 sampled pairs' candidates."""
+    sequence score = its mean) on the common prefix of every candidate."""
     _, rule, sc, seq = _rule_and_scored(spark, sf, 2.5)
     h = rw.hybrid_reward(rule, sc, seq, KEYS, 0.7)
     return h.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("reward"), 6).alias("hybrid_total"))
@@ -68,37 +71,36 @@ lp AS (SELECT lt.pair_id, lt.cand, lt.pos, coalesce(ln(m1.prob), -ln(256.0)) AS
        FROM lt LEFT JOIN m1 ON m1.ctx = lt.t[1] AND m1.next = CAST(('0x' || lt.t[2]) AS INTEGER))"""
 
 
-def _cands50_with_model_sql() -> str:
-    return SQL_CANDS50 + ", " + SQL_BASE[len("WITH ") :]
+def _cands_with_model_sql() -> str:
+    return SQL_CANDS + ", " + SQL_BASE[len("WITH ") :]
 
 
 @query(
     "policy_loss",
-    sql=_cands50_with_model_sql() + _sql_tokens("1.0") + SQL_LOGP
+    sql=_cands_with_model_sql() + _sql_tokens("1.0") + SQL_LOGP
     + """, j AS (SELECT lp.pair_id, lp.cand, lp.logp, rule.reward FROM lp JOIN rule USING (pair_id, cand, pos)),
-a AS (SELECT pair_id, cand, count(*) AS n, -sum(logp * reward) AS loss, avg(reward) AS avg_reward FROM j GROUP BY pair_id, cand)
+a AS (SELECT pair_id, cand, count(*) AS n, -sum(logp * reward) AS loss, avg(reward) AS avg_reward FROM j GROUP BY pair_id, cand),
+kl AS (SELECT pair_id, cand, 0.1::DOUBLE * sum(logp + ln(256.0)) AS kl_loss FROM lp GROUP BY pair_id, cand)
 SELECT sc.pair_id, sc.cand, coalesce(a.n, 0) AS n_tokens, round(coalesce(a.loss, 0.0), 6) AS policy_loss,
-  round(coalesce(a.loss, 0.0) / 4, 6) AS scaled_loss, round(coalesce(a.avg_reward, 0.0), 6) AS avg_reward
-FROM sc LEFT JOIN a USING (pair_id, cand)""",
+  round(CASE WHEN a.n IS NOT NULL THEN kl.kl_loss ELSE 0.0 END, 6) AS kl_loss,
+  round((coalesce(a.loss, 0.0) + CASE WHEN a.n IS NOT NULL THEN kl.kl_loss ELSE 0.0 END) / 4, 6) AS scaled_loss, round(coalesce(a.avg_reward, 0.0), 6) AS avg_reward
+FROM sc LEFT JOIN a USING (pair_id, cand) LEFT JOIN kl USING (pair_id, cand)""",
 )
 def q_policy_loss(spark, sf):
-    """REINFORCE loss of each sampled candidate: log-probs under the counted model x rule rewards (scale 1)."""
+    """REINFORCE loss of each candidate: log-probs under the counted model x rule rewards (scale 1), plus 0.1 times the
+    summed per-byte KL estimate against the uniform reference (log-prob minus ln 1/256), divided by 4 steps."""
     s, rule, _, _ = _rule_and_scored(spark, sf, 1.0)
     lp = rw.token_logprobs(s, KEYS, "__g", model(spark, sf))
-    loss = rw.policy_loss(lp, rule, KEYS, accumulation=4)
+    kl = lp.select(*KEYS, "pos", (F.col("logp") + F.lit(math.log(256.0))).alias("kl"))
+    loss = rw.policy_loss(lp, rule, KEYS, kl, accumulation=4)
     out = s.select(*KEYS).join(loss, KEYS, "left")
-    return out.select(
-        *KEYS,
-        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.round(F.coalesce("policy_loss", F.lit(0.0)), 6).alias("policy_loss"),
-        F.round(F.coalesce("scaled_loss", F.lit(0.0)), 6).alias("scaled_loss"),
-        F.round(F.coalesce("avg_reward", F.lit(0.0)), 6).alias("avg_reward"),
-    )
+    zero = {c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("policy_loss", "kl_loss", "scaled_loss", "avg_reward")}
+    return out.select(*KEYS, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *zero.values())
 
 
 @query(
     "reward_fit_error",
-    sql=SQL_CANDS50 + _sql_tokens("1.0")
+    sql=SQL_CANDS + _sql_tokens("1.0")
     + f""", tt AS (SELECT pair_id, cand, sum(reward) AS score FROM rule GROUP BY pair_id, cand),
 tm AS (SELECT r.pair_id, r.cand, avg(pow(coalesce(s.reward, 0.0) - r.reward, 2)) AS token_mse FROM rule r LEFT JOIN scd s USING (pair_id, cand, pos) GROUP BY r.pair_id, r.cand),
 se AS (SELECT tt.pair_id, tt.cand, pow(coalesce(seq.score, 0.0) - tt.score, 2) AS seq_se FROM tt LEFT JOIN seq USING (pair_id, cand)),
@@ -116,26 +118,26 @@ def q_reward_fit_error(spark, sf):
     return e.select("batch", *[F.round(c, 6).alias(c) for c in ("token_mse", "seq_se", "loss")], "n")
 
 
-# ---- metric history over the 100-episode plan ---------------------------------------------------
+# ---- metric history: one episode per pair, in shuffled order -------------------------------------
+
+SQL_PASS = f"""ep_n AS (SELECT pair_id, row_number() OVER (ORDER BY {u01_sql(SEED, "'shuffle'", 'pair_id')}, pair_id) - 1 AS e, count(*) OVER () AS n
+  FROM ({SQL_PAIRS})),
+ep AS (SELECT CAST(e AS INTEGER) AS episode, pair_id, 1.0::DOUBLE + e::DOUBLE / greatest(1, n - 1) * 1.5::DOUBLE AS penalty_scale FROM ep_n)"""
 
 
 def history(spark, sf):
-    p = pairs(spark, sf)
-    plan = materialize(split.episode_plan(p, "pair_id", 100, 5, 5, 20, 2.5, SEED))
-    chosen = plan.select("pair_id").distinct()
-    pf = lambda x: x.join(chosen, "pair_id", "left_semi")
-    s = _with_bytes(scored(spark, sf, pf).where(F.col("cand") == "model"))
+    p = split.shuffle_rows(pairs(spark, sf).select("pair_id"), "pair_id", SEED, "episode")
+    n = p.agg(F.count(F.lit(1))).scalar()
+    plan = p.select("pair_id", F.col("episode").cast("int").alias("episode"), rw.penalty_scale("episode", n, 2.5).alias("penalty_scale"))
+    c = completions(spark, sf).withColumn("cand", F.lit("model")).withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
+    s = c.withColumn("gen_len", F.octet_length("__g")).withColumn("ref_len", F.octet_length("__r"))
     base = rw.token_rewards(s, KEYS, "__g", "__r", F.lit(0.0))
     lp = rw.token_logprobs(s, KEYS, "__g", model(spark, sf))
     return metrics.metrics_history(plan, s, base, lp)
 
 
 SQL_HISTORY_BASE = (
-    "WITH " + SQL_EPISODES + ", "
-    + SQL_CANDS[len("WITH ") :].replace(
-        f"pp AS ({SQL_PAIRS})", f"pp AS (SELECT * FROM ({SQL_PAIRS}) WHERE pair_id IN (SELECT pair_id FROM ep_c))", 1
-    )
-    + ", " + SQL_BASE[len("WITH ") :]
+    "WITH " + SQL_PASS + ", " + SQL_CANDS[len("WITH ") :] + ", " + SQL_BASE[len("WITH ") :]
     + _sql_tokens("0.0") + SQL_LOGP
     + """, ps AS (SELECT pe.pair_id, pe.gen_len, pe.ref_len, pe.mlen AS n,
           coalesce(sum(lp.logp * rule.reward), 0.0) AS a, arg_max(lp.logp, lp.pos) AS l, coalesce(sum(rule.reward), 0.0) AS bt
@@ -156,7 +158,7 @@ hist AS (SELECT episode, penalty_scale, CASE WHEN n > 0 THEN -(a + l * pen) ELSE
     + " SELECT episode, round(penalty_scale, 6) AS penalty_scale, round(policy_loss, 6) AS policy_loss, round(avg_reward, 6) AS avg_reward, gen_len, ref_len FROM hist",
 )
 def q_metrics_history(spark, sf):
-    """One row per episode of the 100-episode plan: scale, REINFORCE loss and mean reward of the
+    """One row per episode (one per pair, in shuffled order): scale, REINFORCE loss and mean reward of the
     selected pair's model completion, generated and reference length."""
     h = history(spark, sf)
     return h.select("episode", *[F.round(c, 6).alias(c) for c in ("penalty_scale", "policy_loss", "avg_reward")], "gen_len", "ref_len")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,43 +36,56 @@ def get_session(master: str | None = None, app: str = "bytelake", shuffle_partit
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir`` (None if unset)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d.rstrip("/") if d else None
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the session's checkpoint folder; set ``fallback`` only where none is configured (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.  Where none is configured, a plain local session gets a
+    temporary one; on a cluster that is an error, as executors don't see each other's local folders."""
     d = checkpoint_dir(spark)
     if d:
         return d
-    os.makedirs(fallback, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    d = tempfile.mkdtemp(prefix="bytelake-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", d)
+    return d
 
 
-def _is_stored(df: DataFrame) -> bool:
-    """True when the plan is just a (projected/filtered) scan of stored files: nothing to cut."""
-    node = df._jdf.queryExecution().optimizedPlan()
-    while node.getClass().getSimpleName() in ("Project", "Filter") and node.children().size() == 1:
-        node = node.children().apply(0)
-    return node.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD") and node.children().size() == 0
+_written: list[str] = []
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a parquet table under the shared checkpoint folder and read it back.
-
-    (A reliable ``checkpoint()`` of an unpersisted plan computes it twice: once for the action and
-    once more while writing; a written table computes it once.)  Without a configured folder the
-    plan is returned unchanged: every operator here is deterministic, so a recomputed stage after an
-    executor loss yields the same rows.
-    """
-    import uuid
-
-    d = checkpoint_dir(df.sparkSession)
-    if not d or _is_stored(df):
-        return df
-    path = f"{d.rstrip('/')}/bytelake-tables/{uuid.uuid4().hex}"
+    """Write ``df`` once as a parquet table in the shared folder and read it back, so that branches share one
+    computation and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/bytelake-tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables :func:`cut_lineage` wrote; call it when no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application: functions that run inside tasks are pickled by
+    reference, so workers must be able to import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bytelake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="bytelake-ship-"), "bytelake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("bytelake", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._bytelake_shipped = True

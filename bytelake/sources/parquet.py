@@ -63,8 +63,3 @@ def corpus_profile(df: DataFrame) -> DataFrame:
 def head_sample(df: DataFrame, order_col: str, n: int = 5) -> DataFrame:
     """The first ``n`` rows in key order (source order is not stable in Spark)."""
     return df.orderBy(order_col).limit(n)
-
-
-def partition_count(df: DataFrame) -> int:
-    """Driver-side report only (number of input splits)."""
-    return df.rdd.getNumPartitions()

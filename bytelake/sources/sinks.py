@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,17 @@ def write_history(df: DataFrame, path: str, every: int = 20, episode_col: str =
 
 
 def reuse_or_build(spark: SparkSession, path: str, build_fn) -> DataFrame:
-    """Read ``path`` if a finished dataset (``_SUCCESS``) is there; else build, write once, read back."""
+    """Read ``path`` if a finished dataset (``_SUCCESS``) is there; else build it (over what an interrupted build
+    may have left) and read it back.  The path should hold :func:`fingerprint` of all inputs and parameters."""
     if not _fs_exists(spark, path.rstrip("/") + "/_SUCCESS"):
-        build_fn().write.mode("errorifexists").parquet(path)
+        build_fn().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def fingerprint(inputs: list[DataFrame], *parameters) -> str:
+    """Digest of the contents of the inputs (row count and sum of row hashes, one scan each) and the parameters."""
+    parts = [repr(p) for p in parameters]
+    for df in inputs:
+        row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        parts.append(f"{df.schema.simpleString()}:{row[0]}:{row[1]}")
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]

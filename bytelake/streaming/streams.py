@@ -14,15 +14,12 @@ from ..config import VOCAB, RewardConfig
 from ..functions.binary import utf8
 from ..operators.rewards import match_features, total_reward
 from ..operators.stats import _hist_task
-from ..session import checkpoint_dir
+from ..session import shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint directory."""
-    root = checkpoint_dir(spark)
-    if not root:
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder for streaming state and output")
-    return f"{root.rstrip('/')}/bytelake-streams/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/bytelake-streams/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -48,9 +45,11 @@ def score_stream(stream: DataFrame, scale: float = 1.0, cfg: RewardConfig = Rewa
     return total_reward(f, "scale", cfg)
 
 
-def stream_score_rewards(stream: DataFrame, refs: DataFrame, keys: list[str], scale: float = 1.0, cfg: RewardConfig = RewardConfig()) -> DataFrame:
-    """Score arriving completions against a static reference table (stream–static join, stateless)."""
-    return score_stream(stream.join(refs, keys), scale, cfg)
+def stream_score_rewards(stream: DataFrame, refs: DataFrame, keys: list[str], scale: float = 1.0, complete=None, cfg: RewardConfig = RewardConfig()) -> DataFrame:
+    """Score arriving rows against a static reference table (stream-static join, stateless); ``complete`` turns the joined
+    rows into ones with ``completion`` and ``reference`` where the stream doesn't carry them."""
+    joined = stream.join(refs, keys)
+    return score_stream(complete(joined) if complete else joined, scale, cfg)
 
 
 def ntz_as_utc(col: str):

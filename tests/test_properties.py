@@ -61,7 +61,7 @@ def _stream_bytes(spark):
 
 def test_packed_blocks_equal_stream(spark):
     offs = blocks.stream_offsets(docs(spark), "doc_id", "text")
-    blk = sorted(blocks.stream_blocks_packed(offs, 256).collect(), key=lambda r: r.block_id)
+    blk = sorted(blocks.stream_blocks_packed(docs(spark), offs, "doc_id", "text", 256).collect(), key=lambda r: r.block_id)
     stream = _stream_bytes(spark)
     assert len(blk) == (len(stream) - 1) // 256
     assert b"".join(bytes(r.x) for r in blk) == stream[: 256 * len(blk)]
@@ -73,7 +73,7 @@ def test_packed_blocks_equal_stream(spark):
 def test_random_blocks_are_slices(spark):
     offs = blocks.stream_offsets(docs(spark), "doc_id", "text")
     stream = _stream_bytes(spark)
-    for r in blocks.stream_blocks_random(offs, 128, 40, 7).collect():
+    for r in blocks.stream_blocks_random(docs(spark), offs, "doc_id", "text", 128, 40, 7).collect():
         assert 0 <= r.start_off < len(stream) - 128
         assert bytes(r.x) == stream[r.start_off : r.start_off + 128]
         assert bytes(r.y) == stream[r.start_off + 1 : r.start_off + 129]
@@ -179,14 +179,3 @@ def test_cut_lineage_writes_once_and_keeps_rows(spark):
     assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # read back from the shared folder, lineage cut
-    plain = docs(spark)
-    assert cut_lineage(plain) is plain  # a plain scan is not copied
-
-
-def test_spread_only_narrow_inputs(spark):
-    from bytelake.functions.spread import spread
-
-    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    wide = one.repartition(spark.sparkContext.defaultParallelism + 3)
-    assert spread(wide) is wide
