@@ -73,12 +73,16 @@ def eval_loss_mean(losses: DataFrame, split_col: str = "split", loss_col: str =
 
 def eval_loss_robust(losses: DataFrame, split_col: str = "split", loss_col: str = "loss") -> DataFrame:
     """Per split: lower median of the finite batch losses; ``inf`` when none is finite."""
-    finite = F.when(F.col(loss_col) < F.lit(INF), F.col(loss_col))
-    return losses.withColumn("__f", finite).groupBy(split_col).agg(
-        F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __f)"), F.lit(INF)).alias("loss"),
-        F.count("__f").alias("n_finite"),
-        F.count(F.lit(1)).alias("n_batches"),
-    )
+    from ..functions.rank import with_running_agg_by_group
+
+    finite = F.col(loss_col) < F.lit(INF)
+    counts = losses.where(finite).groupBy(split_col, loss_col).agg(F.count(F.lit(1)).alias("__n"))
+    totals = losses.groupBy(split_col).agg(F.count(F.when(finite, 1)).alias("n_finite"), F.count(F.lit(1)).alias("n_batches"))
+    # the lower median is the first value by which half of the finite losses are counted
+    below = with_running_agg_by_group(counts, [split_col], [loss_col], "__n", "__before", "sum")
+    upto = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__n")
+    median = below.join(totals, split_col).where(2 * upto >= F.col("n_finite")).groupBy(split_col).agg(F.min(loss_col).alias("loss"))
+    return totals.join(median, split_col, "left").select(split_col, F.coalesce("loss", F.lit(INF)).alias("loss"), "n_finite", "n_batches")
 
 
 def best_so_far(history: DataFrame, run: str, step: str, value: str) -> DataFrame:

@@ -16,9 +16,12 @@ from ..config import VOCAB
 from ..functions.arrow_counts import ngram_codes, value_bytes
 
 
-def _count_task(k: int, grouped: bool):
-    import pandas as pd
+ROWS = 128  # rows counted at once
+
 
+def _count_task(k: int, grouped: bool):
+    if not 1 <= k <= 6:
+        raise ValueError("contexts of 1 to 6 bytes fit a 63-bit code")
     width = 8 * (k + 1)  # bits of one (ctx, next) code
     dense = not grouped and width <= 16  # k = 1: a 65,536-bin count vector per task
 
@@ -37,22 +40,22 @@ def _count_task(k: int, grouped: bool):
                     names=["grp", "code", "cnt"],
                 )
             return
-        parts = []
+        # a partial table per slice of rows; the groupBy merges them, so a task holds one slice at a time
         for batch in it:
-            data, offs = value_bytes(batch.column(0))
-            codes, owner = ngram_codes(data, offs, k, with_owner=True)
-            if not len(codes):
-                continue
-            g = batch.column(1).to_numpy(zero_copy_only=False)[owner].astype(np.int64) if grouped else np.zeros(len(codes), np.int64)
-            if width < 63 and g.min() >= 0 and g.max() < (1 << (63 - width)):
-                vc = pd.Series((g << width) | codes).value_counts(sort=False)
-                key = vc.index.to_numpy(np.int64)
-                parts.append(pd.DataFrame({"grp": key >> width, "code": key & ((1 << width) - 1), "cnt": vc.to_numpy(np.int64)}))
-            else:
-                parts.append(pd.DataFrame({"grp": g, "code": codes}).value_counts().rename("cnt").reset_index())
-        if parts:
-            out = pd.concat(parts).groupby(["grp", "code"], sort=False)["cnt"].sum().reset_index()
-            yield pa.RecordBatch.from_pandas(out.astype({"grp": "int64", "code": "int64", "cnt": "int64"}), preserve_index=False)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                data, offs = value_bytes(part.column(0))
+                codes, owner = ngram_codes(data, offs, k, with_owner=True)
+                if not len(codes):
+                    continue
+                g = part.column(1).to_numpy(zero_copy_only=False)[owner].astype(np.int64) if grouped else np.zeros(len(codes), np.int64)
+                if width < 63 and g.min() >= 0 and g.max() < (1 << (63 - width)):
+                    key, cnt = np.unique((g << width) | codes, return_counts=True)
+                    out = [key >> width, key & ((1 << width) - 1), cnt]
+                else:
+                    pairs, cnt = np.unique(np.stack([g, codes], 1), axis=0, return_counts=True)
+                    out = [pairs[:, 0], pairs[:, 1], cnt]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names=["grp", "code", "cnt"])
 
     return fn
 

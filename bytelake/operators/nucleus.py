@@ -2,8 +2,8 @@
 
 ``top_p_filter`` never puts a whole group in one task: group totals and per-group mass buckets
 come from partial aggregations, rows whose whole bucket lies before the cut are kept and rows
-whose bucket starts after it are dropped without ordering; only the single boundary bucket of
-each group (items whose shares lie within ``2^(1/resolution)`` of each other) is ordered exactly.
+whose bucket starts after it are dropped without ordering; in the single boundary bucket of each group
+the distinct weights are ordered, and equal weights at the cut are ranked by bucketed counts.
 Joins on group keys are shuffle joins that adaptive execution splits when a group is hot.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rank import with_running_agg_by_group
 from ..functions.rng import u01
 from ..session import cut_lineage
 
@@ -26,10 +27,10 @@ def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, re
     Cumulative sums are taken in weight units and compared with ``p * group_total``, so integer
     weights (counts) give exact decisions at the cut.  Each level of ``resolutions`` (log-scale
     buckets per octave, each level nested in the previous) keeps whole buckets before the cut,
-    drops buckets after it, and passes only the boundary bucket on; only the last boundary bucket
-    (items within ``2^(1/resolutions[-1])`` of each other) is ordered row by row.
+    drops buckets after it, and passes only the boundary bucket on; in the last one the distinct weights are
+    ordered, and a run of equal weights at the cut is ranked by bucketed counts.
     """
-    # the input is read by several branches below: checkpoint it once (shared folder) if configured
+    # the input is read by several branches below: write it once
     df = cut_lineage(df)
     totals = df.groupBy(group).agg(F.sum(weight).alias("__tot"))
     cand = (
@@ -60,10 +61,18 @@ def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, re
             .withColumn("__base", F.col("__start"))
             .drop("__b", "__start", "__end")
         )
-    wi = Window.partitionBy(group, "__b").orderBy(F.col("__w").desc(), F.col(item).asc())
-    edge = cand.withColumn("__b", b).withColumn(
-        "__prec", F.col("__base") + F.coalesce(F.sum("__w").over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).where(F.col("__prec") <= cut)
+    # boundary bucket: equal weights are one class; only the class at the cut needs its items in order
+    one = F.lit(1).cast("long")
+    classes = cand.groupBy(group, "__w").agg(F.count(F.lit(1)).alias("__n"), F.first("__base").alias("__b0"))
+    wc = Window.partitionBy(group).orderBy(F.col("__w").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum(F.col("__n") * F.col("__w")).over(wc), F.lit(0))
+    classes = classes.withColumn("__prec", F.col("__b0") + above).drop("__b0")
+    edge = cand.join(classes, [group, "__w"]).where(F.col("__prec") <= cut).withColumn("__one", one)
+    whole = F.col("__prec") + (F.col("__n") - 1) * F.col("__w") <= cut
+    tied = cut_lineage(edge.where(~whole))
+    tied = with_running_agg_by_group(tied, [group, "__w"], [item], "__one", "__rank", "sum")
+    tied = tied.where(F.col("__prec") + F.coalesce(F.col("__rank"), F.lit(0)) * F.col("__w") <= cut)
+    edge = edge.where(whole).unionByName(tied.drop("__rank"))
     edge = cut_lineage(edge.select(*df.columns, "__w", "__share"))
     kept_parts.append(edge)
     mass_parts.append(edge.select(group, F.col("__w").alias("__m")))
@@ -87,8 +96,6 @@ def sample_categorical(df: DataFrame, group: str, item: str, prob: str, seed: in
     The cumulative mass is a bucketed running sum per group (no group is ordered in one task);
     the drawn item is the first whose cumulative mass exceeds ``u01(seed, "categorical", group) * total``.
     """
-    from ..functions.rank import with_running_agg_by_group
-
     tot = df.groupBy(group).agg(F.sum(prob).alias("__tot"))
     x = with_running_agg_by_group(df, [group], [item], prob, "__prev_mass", "sum")
     x = x.withColumn("__cum", F.coalesce(F.col("__prev_mass"), F.lit(0.0)) + F.col(prob)).join(tot, group)

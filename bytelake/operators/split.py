@@ -70,22 +70,18 @@ def split_fraction_independent(df: DataFrame, key: str, frac_a: float = 0.9, fra
 def split_leak_check(a: DataFrame, b: DataFrame, key: str, text_col: str) -> DataFrame:
     """One row: sizes and how many rows of ``b`` also occur in ``a`` by key and by exact text.
 
-    Text is matched on ``(xxhash64(text), text)``; the ``a`` side is de-duplicated before the semi
-    join so a text repeated many times is one build row (hot keys are pre-aggregated).
+    Text is matched on its SHA-256, so no text is shuffled; both build sides are de-duplicated (a text repeated many
+    times is one build row), and each side is scanned once per key.
     """
-    ka = a.select(key).distinct()
-    ta = a.select(F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__t")).distinct()
-    bb = b.select(key, F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__t"))
-    key_hit = bb.join(ka, key, "left_semi").agg(F.count(F.lit(1))).scalar()
-    text_hit = bb.join(ta, ["__h", "__t"], "left_semi").agg(F.count(F.lit(1))).scalar()
-    key_new = bb.join(ka, key, "left_anti").agg(F.count(F.lit(1))).scalar()
-    return a.sparkSession.range(1).select(
-        _n_rows(a).alias("n_a"),
-        _n_rows(b).alias("n_b"),
-        key_hit.alias("key_overlap"),
-        text_hit.alias("text_overlap"),
-        key_new.alias("key_only_b"),
-    )
+    digest = F.unhex(F.sha2(F.col(text_col), 256)).alias("__d")
+    ka = a.select(key, F.lit(True).alias("__k")).distinct()
+    ta = a.select(digest, F.lit(True).alias("__t")).distinct()
+    bb = b.select(key, digest).join(ka, key, "left").join(ta, "__d", "left")
+    found = bb.agg(
+        F.count(F.lit(1)).alias("n_b"), F.count("__k").alias("key_overlap"), F.count("__t").alias("text_overlap"),
+        F.count(F.when(F.col("__k").isNull(), 1)).alias("key_only_b"),
+    )
+    return found.select(_n_rows(a).alias("n_a"), "n_b", "key_overlap", "text_overlap", "key_only_b")
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:

@@ -38,11 +38,11 @@ SQL_BASE = f"""WITH sd AS (SELECT doc_id, text,
 tr AS (SELECT doc_id, split, batch_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM sd),
 zz AS (SELECT doc_id, split, batch_id, unnest(list_zip(l[1:len(l)-1], l[2:len(l)])) AS z FROM tr),
 bg AS (SELECT doc_id, split, batch_id, z[1] AS ctx, CAST(('0x' || z[2]) AS INTEGER) AS next FROM zz),
-cnt AS (SELECT ctx, next, count(*) AS cnt FROM bg WHERE split = 'train' GROUP BY ctx, next),
+cnt AS MATERIALIZED (SELECT ctx, next, count(*) AS cnt FROM bg WHERE split = 'train' GROUP BY ctx, next),
 tot AS (SELECT ctx, sum(cnt) AS ctx_total FROM cnt GROUP BY ctx),
-grid AS (SELECT tot.ctx, CAST(r.range AS INTEGER) AS next, tot.ctx_total, coalesce(cnt.cnt, 0) AS cnt
+grid AS MATERIALIZED (SELECT tot.ctx, CAST(r.range AS INTEGER) AS next, tot.ctx_total, coalesce(cnt.cnt, 0) AS cnt
          FROM tot CROSS JOIN range(256) r LEFT JOIN cnt ON cnt.ctx = tot.ctx AND cnt.next = CAST(r.range AS INTEGER)),
-m1 AS (SELECT ctx, next, cnt, (cnt + 1.0::DOUBLE) / (ctx_total + 256.0::DOUBLE) AS prob FROM grid),
+m1 AS MATERIALIZED (SELECT ctx, next, cnt, (cnt + 1.0::DOUBLE) / (ctx_total + 256.0::DOUBLE) AS prob FROM grid),
 m0 AS (SELECT ctx, next, cnt, cnt::DOUBLE / ctx_total::DOUBLE AS prob FROM grid)"""
 
 
