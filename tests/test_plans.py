@@ -30,9 +30,11 @@ def test_no_nested_loop_or_cartesian(spark, key):
 def test_fixed_n_sample_filters_before_sorting(spark):
     p = ps.pairs(spark, SF_SMALL)
     plan = _plan(split.sample_fixed_n(p, "pair_id", 5, 42))
-    # the ordering happens only after the threshold filter on the draw
-    sort_at = plan.find("rangepartitioning")
-    assert sort_at < 0 or "Filter" in plan[sort_at:]
+    # a top-n over rows that passed the threshold on the draw, and no range shuffle of the table
+    top = plan.find("TakeOrderedAndProject")
+    assert top >= 0 and "rangepartitioning" not in plan
+    below = plan[top:]
+    assert any("Filter" in line and "< " in line and "subquery" in line.lower() for line in below.split("\n")), below
 
 
 def test_filter_pushdown_on_scan(spark):
