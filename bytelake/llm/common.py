@@ -47,6 +47,15 @@ def drop_stored(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``rows`` of them; beyond that it is joined by
+    a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str, rows_per_chunk: int = 256) -> DataFrame:
     """``mapInArrow`` over small slices: ``fn`` gets ``{column: list}`` of at most ``rows_per_chunk``
     rows and returns a tuple of equally long columns (lists or numpy arrays) in ``schema`` order."""

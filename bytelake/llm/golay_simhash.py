@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, text_or_empty
+from .common import map_rows, small, stored, text_or_empty
 from .components import components
 from .registry import query, table
 
@@ -162,10 +162,11 @@ def keep_one_per_component(
     stays = F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_h") == F.col("_best._h"))
     judged = texts.join(best, "root")
     gone = judged.filter(~stays).select(F.col("_id").alias("_gone_id"), F.col("_h").alias("_gone_h"))
+    gone = small(stored(gone, "near-copies"))
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_h"))
     same = rows["_id"].eqNullSafe(gone["_gone_id"]) & (rows["_h"] == gone["_gone_h"])
     kept = rows.join(gone, same, "left_anti")
-    again = judged.filter(stays & (F.col("_times") > 1)).select("_h", F.lit(True).alias("_again"))
+    again = small(stored(judged.filter(stays & (F.col("_times") > 1)).select("_h", F.lit(True).alias("_again")), "repeated-rows"))
     kept = kept.join(again, "_h", "left")
     once = kept.filter("_again IS NULL").select("_doc.*")
     return once.unionByName(kept.filter("_again").dropDuplicates(["_h"]).select("_doc.*"))
