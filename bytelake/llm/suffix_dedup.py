@@ -9,9 +9,9 @@ neighbours in the suffix array whose common prefix is long enough.
    residues of a difference cover, the samples of two equal strings lie at the same offset; but there are about
    2 / (length - K + 2) of all positions instead of two thirds.
 2. Names.  A sampled position is named by its K bytes.  A string whose sample has a name of its own can't
-   repeat.  A bit table of 2^bits name slots (its size is a parameter; it is the only thing broadcast) tells in
-   a second scan which strings may repeat; a shared slot costs work, never a result.  What is left is the reduced text: the
-   regions whose samples' names occur again.
+   repeat.  A bit table of 2^bits slots (a size given by a parameter), of which each name has two, tells in
+   a second scan which strings may repeat; names that share slots by chance cost work, never a result.  What is left is the
+   reduced text: the regions whose samples' names occur again.
 3. Names again.  The starts that share a sample form a run; the run's whole context (from its first start to the end of its last
    string) is named next.  A context that occurs twice settles all its starts at once.
 4. Merge.  The starts of contexts that occur once (the ends of repeats) are merged with those of one
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, text_or_empty
+from .common import map_rows, small, stored, text_or_empty
 from .registry import query, table
 
 LENGTH = 400
@@ -95,11 +95,16 @@ def sample_names(data: bytes, length: int, k: int) -> list[np.ndarray]:
     return out
 
 
+def _slots(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each name."""
+    return (names >> np.uint64(64 - bits)).astype(np.int64), (names & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def _slot_counts(cols, length, k, bits):
     names = [n for t in cols["_t"] for n in sample_names(t.encode("utf-8", "surrogatepass"), length, k)]
     if not names:
         return [], []
-    slots, n = np.unique((np.concatenate(names) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+    slots, n = np.unique(np.concatenate(_slots(np.concatenate(names), bits)), return_counts=True)
     return slots, np.minimum(n, 2)
 
 
@@ -113,6 +118,10 @@ def _bit_table(spark: SparkSession, slots: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _bits_at(table_of_bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table_of_bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+
+
 def _name128(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
@@ -122,10 +131,12 @@ def regions(data: bytes, table_of_bits: np.ndarray, length: int, k: int, bits: i
     each maximal stretch of starts that may repeat."""
     for at, part in _segments(data, length):
         h, low = _minima(part, length, k)
-        slot = (low >> np.uint64(64 - bits)).astype(np.int64)
-        may = (table_of_bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-        if not may.any():
+        new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        first, second = _slots(low[new], bits)
+        shared = _bits_at(table_of_bits, first) & _bits_at(table_of_bits, second)
+        if not shared.any():
             continue
+        may = np.repeat(shared, np.diff(np.concatenate((new, [len(low)]))))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], may, [0]))))
         for b, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             own = low[b:e]
@@ -216,6 +227,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def starts(of: DataFrame, payload: bool) -> DataFrame:
         lists = of.groupBy("_key").agg(F.collect_list(F.struct("b", "e")).alias("runs"))  # one region's own runs
+        lists = small(stored(lists, "run-lists"))
         schema = "g1 long, g2 long" + (", _key long, p int" if payload else "")
         return map_rows(reduced.select("_key", "body").join(lists, "_key"), lambda c: _start_names(c, length, payload), schema, 64)
 
