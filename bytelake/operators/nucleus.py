@@ -69,11 +69,10 @@ def top_p_filter(df: DataFrame, group: str, item: str, weight: str, p: float, re
     classes = classes.withColumn("__prec", F.col("__b0") + above).drop("__b0")
     edge = cand.join(classes, [group, "__w"]).where(F.col("__prec") <= cut).withColumn("__one", one)
     whole = F.col("__prec") + (F.col("__n") - 1) * F.col("__w") <= cut
-    tied = cut_lineage(edge.where(~whole))
-    tied = with_running_agg_by_group(tied, [group, "__w"], [item], "__one", "__rank", "sum")
+    edge = cut_lineage(edge.withColumn("__whole", whole))
+    tied = with_running_agg_by_group(edge.where("NOT __whole"), [group, "__w"], [item], "__one", "__rank", "sum")
     tied = tied.where(F.col("__prec") + F.coalesce(F.col("__rank"), F.lit(0)) * F.col("__w") <= cut)
-    edge = edge.where(whole).unionByName(tied.drop("__rank"))
-    edge = cut_lineage(edge.select(*df.columns, "__w", "__share"))
+    edge = edge.where("__whole").unionByName(tied.drop("__rank")).select(*df.columns, "__w", "__share")
     kept_parts.append(edge)
     mass_parts.append(edge.select(group, F.col("__w").alias("__m")))
     mass = mass_parts[0]
