@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from .common import filter_rows, map_rows, text_or_empty
 from .registry import query, table
 
 K1, B = 1.2, 0.75
@@ -238,8 +238,7 @@ def _finder(docs, benchmark, item_col, item_text, threshold, overlap, max_items)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns; one pass, no shuffle."""
     finder = _finder(docs, benchmark, *(options.get(k, v) for k, v in _DEFAULTS.items()))
-    clean = F.pandas_udf(lambda s: s.map(lambda t: not finder([t])[0]), "boolean")
-    return docs.filter(clean(text_or_empty(text)))
+    return filter_rows(docs, text, lambda texts: [not items for items in finder(texts)])
 
 
 _DEFAULTS = {"item_col": "item_id", "item_text": "text", "threshold": THRESHOLD, "overlap": OVERLAP, "max_items": MAX_ITEMS}

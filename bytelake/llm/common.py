@@ -74,6 +74,20 @@ def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str,
     return df.mapInArrow(run, types)
 
 
+def filter_rows(df: DataFrame, text: str, keep: Callable[[list[str]], Iterable[bool]], rows_per_chunk: int = 256) -> DataFrame:
+    """The rows whose text ``keep`` (called with the texts of at most ``rows_per_chunk`` rows, nulls as '') accepts."""
+    at_column = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_per_chunk):
+                part = batch.slice(at, rows_per_chunk)
+                texts = [t or "" for t in part.column(at_column).to_pylist()]
+                yield part.filter(pa.array(list(keep(texts)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow_type(t.elementType))

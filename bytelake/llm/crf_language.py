@@ -22,11 +22,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_or_empty
+from .common import filter_rows, map_rows, text_or_empty
 from .registry import query, table
 
 TRAIN_PER_LANG = 400
@@ -176,7 +175,7 @@ def _climb(crf: Crf, words: list[str], ids: np.ndarray, labels: np.ndarray, step
 class Labeler:
     """Applies a fitted CRF; keeps the scores of the tokens it has met in a table of bounded size."""
 
-    ROWS = 300_000
+    ROWS = 150_000
 
     def __init__(self, crf: Crf):
         self.crf = crf
@@ -306,11 +305,7 @@ def keep_identified(
     """The rows of ``docs`` whose language is identified with at least the least score, with their own columns."""
     predict = _predictor(docs, id_col, text, lang, train_per_lang)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(texts.tolist())[1])
-
-    return docs.filter(score(text_or_empty(text)) >= least)
+    return filter_rows(docs, text, lambda texts: (predict(texts)[1] >= least).tolist())
 
 
 @query("op3_crf_language")
