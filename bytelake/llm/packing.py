@@ -5,7 +5,8 @@ length: as many pieces of ``max_len`` as fit, then one piece for each bit of the
 piece is a training sequence of its own, so no sequence crosses documents and none needs padding; batches are
 drawn from one bucket (log2 of the length) at a time.  One pass over the texts, no shuffle.
 
-Ids are those of the tokenizer file (a parameter; it must be a byte-level BPE).
+Ids are those of the tokenizer file (a parameter; it must be a byte-level BPE) as loaded: where a text holds one of the
+file's added tokens, such as ``<|endoftext|>``, it has that token's id.
 
 Defined results: a null or empty text is one piece holding the end id; equal rows are packed separately; an
 empty table gives an empty result; other columns are ignored.
@@ -55,15 +56,29 @@ class Tokens:
         from tokenizers import Tokenizer
 
         byte = byte_alphabet()
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        file = Tokenizer.from_file(path)
+        vocab = file.get_vocab(with_added_tokens=False)
+        self.added = {t.content: i for i, t in file.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in file.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take in white space or need word edges are not supported")
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.splits = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items() if all(c in byte for c in token)}
-        ranks.pop(b"<|endoftext|>", None)  # a special token, not a merge: in a text it is ordinary text
+        for token in self.added:  # not merges
+            ranks.pop(token.encode(), None)
         pattern = public_tokenizers.PATTERN
         self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
 
+    def encode_as_loaded(self, text: str) -> bytes:
+        """The ids of the file as loaded, added tokens by their own ids."""
+        if self.splits is None or not any(t in text for t in self.added):
+            return self.encode(text)
+        parts = self.splits.split(text)
+        return b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else self.encode(x) for k, x in enumerate(parts))
+
     def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit numbers."""
+        """Token ids as little-endian unsigned 32-bit numbers, added tokens as ordinary text."""
         encoding = self.full if _TWO_BLANKS.search(text) else self.plain
         return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
 
@@ -99,7 +114,7 @@ def pack(
                 rows = []
                 part = batch.slice(at, 128)
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = tokens.encode(body) + end
+                    ids = tokens.encode_as_loaded(body) + end
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, max_len):
                         own = ids[4 * start : 4 * (start + length)]

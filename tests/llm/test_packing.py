@@ -54,3 +54,23 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_as_in_the_file_as_loaded(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"x{end}{end}y", f"a  {end}  \n b", end, f" {end}", "<|endoftext|", f"<{end}>", f"a  {end}\n\n", "<|ENDOFTEXT|>", "a  b "]
+    want = {i: LOADED.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, ids in want.items():
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in own for x in r.ids] == ids and {r.doc_tokens for r in own} == {len(ids)}
+
+
+LOADED = Tokenizer.from_file(default_tokenizer())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "a", "'s", "é", "1"]), max_size=12).map("".join))
+def test_ids_around_added_tokens(text):
+    assert np.frombuffer(OWN.encode_as_loaded(text), "<u4").tolist() == LOADED.encode(text, add_special_tokens=False).ids
