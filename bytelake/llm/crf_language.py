@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, text_or_empty
+from .common import map_rows, text_or_empty
 from .registry import query, table
 
 TRAIN_PER_LANG = 400
@@ -33,7 +35,7 @@ MAX_LANGS = 200
 LEXICON = 300
 CHAIN = 64
 SEQUENCES = 3000
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.4  # a ``least`` for keep_identified that asks for one clear language; not used by default
 UNDETERMINED = "und"
 
 _NOT_LETTERS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -300,12 +302,30 @@ def identify_language(
 
 
 def keep_identified(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE, train_per_lang: int = TRAIN_PER_LANG
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float | None = None, train_per_lang: int = TRAIN_PER_LANG
 ) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with at least the least score, with their own columns."""
+    """The rows of ``docs`` whose text has letters, with their own columns; a null language becomes the best one, also of an evenly
+    mixed text (it stays null if no row may be learned from).  With ``least`` only rows of that score at least."""
     predict = _predictor(docs, id_col, text, lang, train_per_lang)
-
-    return filter_rows(docs, text, lambda texts: (predict(texts)[1] >= least).tolist())
+    text_at, lang_at = docs.columns.index(text), docs.columns.index(lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(text_at).to_pylist()]
+                found, scores = predict(texts)
+                # without a model all is undetermined, but what has letters stays
+                keep = [x != UNDETERMINED or any(map(to_word, t.split())) for x, t in zip(found, texts, strict=True)]
+                if least is not None:
+                    keep = [k and score >= least for k, score in zip(keep, scores, strict=True)]
+                own = part.column(lang_at)
+                filled = [x if x is not None or y == UNDETERMINED else y for x, y in zip(own.to_pylist(), found, strict=True)]
+                columns = [*part.columns]
+                columns[lang_at] = pa.array(filled, own.type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 @query("op3_crf_language")

@@ -22,8 +22,7 @@ from bytelake.llm.registry import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts that are null or without letters go, and so do
-    texts in which no language reaches the least score."""
+    """Documents with letters, mixed texts too; a null language becomes the best one.  Texts that are null or without letters go."""
     return keep_identified(docs)
 
 

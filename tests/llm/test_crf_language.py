@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from bytelake.llm.crf_language import CHAIN, Labeler, fit, forward_backward, identify_language, keep_identified, to_word
+import corpus_pipeline
+from bytelake.llm.crf_language import CHAIN, LEAST_SCORE, Labeler, fit, forward_backward, identify_language, keep_identified, to_word
 
 SF = "/root/testdata/sf0.01"
 
@@ -83,3 +84,26 @@ def test_nothing_to_learn_from(spark):
     assert [(r.lang_pred, r.score) for r in identify_language(df).collect()] == [("und", 0.0)]
     assert identify_language(df.limit(0)).count() == 0
     assert CHAIN > 1
+
+
+def test_mixed_and_unlabelled_texts_stay(spark):
+    by_lang = {}
+    for _, t, lang in labelled(spark):
+        by_lang.setdefault(lang, []).append(t)
+    assert len(by_lang) == 4
+    train = [(100 + 4 * k + j, t, lang) for j, (lang, ts) in enumerate(sorted(by_lang.items())) for k, t in enumerate(ts[:60])]
+    mixed = " ".join(w for ws in zip(*(max(ts, key=len).split()[:120] for ts in by_lang.values())) for w in ws)
+    quarters = " ".join(w for ts in by_lang.values() for w in max(ts, key=len).split()[:120])
+    rows = [*train, (1, mixed, None), (2, quarters, None), (3, "12 | 34", None), (4, None, "en"), (5, "qqxz", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in identify_language(df).collect()}
+    assert score[2] < LEAST_SCORE
+    kept = {r.doc_id: r for r in keep_identified(df).collect()}
+    assert set(kept) == {i for i, *_ in rows} - {3, 4}
+    assert kept[1].lang in by_lang and kept[2].lang in by_lang and kept[5].lang == "zz"
+
+
+def test_pipeline_stage_without_any_label(spark):
+    rows = [(1, "a b", None), (2, "1 2", None), (3, None, None), (4, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.language_id(spark, df, SF).collect()] == [(1, "a b", None)]
