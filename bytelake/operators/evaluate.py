@@ -26,12 +26,12 @@ def tag_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def tag_spans(df: DataFrame, col: str = "generated", cap: int = 300) -> DataFrame:
-    """Section text from the opening tag through the closing tag, at most ``cap`` characters."""
+def tag_spans(df: DataFrame, col: str = "generated", cap: int | None = None) -> DataFrame:
+    """Section text from the opening tag through the closing tag; with ``cap`` at most so many characters."""
     t = F.col(col)
 
     def span(s, e, tag_len, flag):
-        stop = F.least(F.col(e) + tag_len, F.col(s) + cap)
+        stop = F.col(e) + tag_len if cap is None else F.least(F.col(e) + tag_len, F.col(s) + cap)
         return F.when(F.col(flag), F.substring(t, F.col(s) + 1, stop - F.col(s)))
 
     return df.withColumn("think_span", span("think_start", "think_end", len(THINK_END_TAG), "has_thinking")).withColumn(

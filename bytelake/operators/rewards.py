@@ -167,38 +167,51 @@ def token_penalty_baseline(df: DataFrame, alpha: float = 1.0, beta: float = -0.5
     )
 
 
-def corrupted_bytes(ref: str, key: str, seed: int = 42, max_changes: int = 20) -> Column:
-    """``min(len // 10, max_changes)`` random byte replacements (position and value drawn per change);
+def corrupted_bytes(ref: str, key: str, seed: int = 42, max_changes: int | None = None) -> Column:
+    """``len // 10`` random byte replacements (position and value drawn per change), with ``max_changes`` at most so many;
     changes are applied in order, so a later change to the same position wins."""
     b = col_(ref)
     n = F.octet_length(b)
-    k = F.least(F.floor(n / 10), F.lit(max_changes)).cast("int")
+    k = F.floor(n / 10) if max_changes is None else F.least(F.floor(n / 10), F.lit(max_changes))
+    k = k.cast("int")
     edits = F.transform(
         F.sequence(F.lit(0), k - 1),
         lambda j: F.struct(
             F.floor(u01(seed, F.lit("idx"), F.col(key), j) * n).cast("int").alias("idx"),
+            j.alias("j"),
             F.lpad(F.hex(F.floor(u01(seed, F.lit("val"), F.col(key), j) * 256).cast("int")), 2, "0").alias("val"),
         ),
     )
-    edits = F.when(k > 0, edits).otherwise(F.array().cast("array<struct<idx:int,val:string>>"))
-    # each change splices one byte into the binary (native copy), at most max_changes per row
-    return F.aggregate(
-        edits,
-        b,
-        lambda acc, e: F.concat(
-            F.substring(acc, F.lit(1), e["idx"]), F.unhex(e["val"]), F.substring(acc, e["idx"] + 2, F.octet_length(acc))
-        ),
-    )
+    # the last change of each position, in position order; each array is bound once, so the work grows with the text's length
+    last = bound(F.array_sort(edits), lambda e: F.filter(e, lambda x, i: (i == F.size(e) - 1) | (F.get(e, i + 1)["idx"] != x["idx"])))
+
+    def joined(e):
+        kept = F.transform(e, lambda x, i: F.concat(_hex_between(b, F.when(i > 0, F.get(e, i - 1)["idx"] + 1).otherwise(0), x["idx"]), x["val"]))
+        return F.unhex(F.concat(F.array_join(kept, ""), _hex_between(b, F.get(e, F.size(e) - 1)["idx"] + 1, n)))
+
+    return F.when(k > 0, bound(last, joined)).otherwise(b)
+
+
+def bound(array: Column, use) -> Column:
+    """``use(array)`` with the array computed once."""
+    return F.get(F.transform(F.array(array), use), F.lit(0))
+
+
+def _hex_between(b: Column, start: Column, stop: Column) -> Column:
+    return F.hex(F.substring(b, start + 1, stop - start))
 
 
+REFERENCE_CHANGES = 20  # the cap of the reference's corrupted copy
 VARIANT_FRACTIONS = (("p75", 0.75), ("p50", 0.5), ("p25", 0.25))
 
 
-def synthetic_variants(pairs: DataFrame, key: str = "pair_id", ref: str = "response", seed: int = 42) -> DataFrame:
+def synthetic_variants(
+    pairs: DataFrame, key: str = "pair_id", ref: str = "response", seed: int = 42, max_changes: int | None = REFERENCE_CHANGES
+) -> DataFrame:
     """Four variants per reference: corrupted copy and 75 / 50 / 25 % byte prefixes, each decoded with
     replacement (malformed sequences -> U+FFFD) as the candidate text ``completion``."""
     rb = utf8(ref)
-    kinds = [F.struct(F.lit("corrupt").alias("cand"), corrupted_bytes("__rb", key, seed).alias("raw"))]
+    kinds = [F.struct(F.lit("corrupt").alias("cand"), corrupted_bytes("__rb", key, seed, max_changes).alias("raw"))]
     for name, f in VARIANT_FRACTIONS:
         kinds.append(F.struct(F.lit(name).alias("cand"), F.expr(f"substring(__rb, 1, CAST(floor(octet_length(__rb) * {f}D) AS INT))").alias("raw")))
     x = pairs.withColumn("__rb", rb).select(key, F.explode(F.array(*kinds)).alias("v"))
@@ -211,12 +224,12 @@ def candidates(completions: DataFrame, variants: DataFrame, key: str = "pair_id"
     return model.unionByName(variants.withColumn("includes_prompt", F.lit(False)))
 
 
-def candidates_in_row(completions: DataFrame, key: str = "pair_id", ref: str = "reference", seed: int = 42, carry: tuple = ()) -> DataFrame:
+def candidates_in_row(completions: DataFrame, key: str = "pair_id", ref: str = "reference", seed: int = 42, carry: tuple = (), max_changes: int | None = None) -> DataFrame:
     """The model completion and the synthetic variants of its reference, exploded inside the row (no join):
     ``(key, reference, cand, completion, includes_prompt)`` and the columns of ``carry``."""
     x = completions.withColumn("__rb", utf8(ref))
     kinds = [F.struct(F.lit("model").alias("cand"), F.col("completion"), F.col("includes_prompt"))]
-    raw = [("corrupt", corrupted_bytes("__rb", key, seed))]
+    raw = [("corrupt", corrupted_bytes("__rb", key, seed, max_changes))]
     raw += [(name, F.expr(f"substring(__rb, 1, CAST(floor(octet_length(__rb) * {f}D) AS INT))")) for name, f in VARIANT_FRACTIONS]
     kinds += [F.struct(F.lit(n).alias("cand"), valid_utf8_text(b).alias("completion"), F.lit(False).alias("includes_prompt")) for n, b in raw]
     return x.select(key, ref, *carry, F.explode(F.array(*kinds)).alias("v")).select(key, ref, *carry, "v.*")

@@ -72,12 +72,12 @@ def sql_totals(scale: str) -> str:
 
 
 def variants(spark, sf):
-    return rw.synthetic_variants(pairs(spark, sf), "pair_id", "response", SEED)
+    return rw.synthetic_variants(pairs(spark, sf), "pair_id", "response", SEED, rw.REFERENCE_CHANGES)
 
 
 def scored(spark, sf):
     """Every pair's five candidates with their match features, in one pass over the pairs."""
-    cands = rw.candidates_in_row(completions(spark, sf), "pair_id", "reference", SEED, ("prompt",))
+    cands = rw.candidates_in_row(completions(spark, sf), "pair_id", "reference", SEED, ("prompt",), rw.REFERENCE_CHANGES)
     x = cands.withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
     return rw.match_features(x, "__g", "__r").drop("__g", "__r")
 
@@ -87,6 +87,16 @@ def q_synthetic_variants(spark, sf):
     return variants(spark, sf).select("pair_id", "cand", F.hex(utf8("completion")).alias("completion_hex"))
 
 
+@query(
+    "synthetic_variants_whole",
+    sql=f"WITH pp AS ({SQL_PAIRS}), {SQL_VARIANTS.replace('least(n // 10, 20)', 'n // 10')} SELECT pair_id, cand, gh AS completion_hex FROM var",
+)
+def q_synthetic_variants_whole(spark, sf):
+    """The variants with a tenth of the bytes drawn anew in texts of any length."""
+    v = rw.synthetic_variants(pairs(spark, sf), "pair_id", "response", SEED, None)
+    return v.select("pair_id", "cand", F.hex(utf8("completion")).alias("completion_hex"))
+
+
 @query("candidates", sql=SQL_CANDS + " SELECT pair_id, cand, includes_prompt, gen_len FROM sc")
 def q_candidates(spark, sf):
     s = scored(spark, sf)

@@ -130,6 +130,19 @@ def q_tag_spans(spark, sf):
     return ev.tag_spans(tagged(spark, sf), "generated", 300).select("pair_id", "think_span", "answer_span")
 
 
+@query(
+    "tag_spans_whole",
+    sql=SQL_TAGS
+    + """ SELECT pair_id,
+  CASE WHEN has_thinking THEN substring(generated, think_start + 1, think_end + 8 - think_start) END AS think_span,
+  CASE WHEN has_answer THEN substring(generated, answer_start + 1, answer_end + 9 - answer_start) END AS answer_span
+FROM tf""",
+)
+def q_tag_spans_whole(spark, sf):
+    """The sections through their closing tags, uncut."""
+    return ev.tag_spans(tagged(spark, sf), "generated").select("pair_id", "think_span", "answer_span")
+
+
 SQL_EVAL = f"""WITH pp AS ({SQL_PAIRS}),
 r AS (SELECT pair_id, prompt, response, row_number() OVER (ORDER BY {u01_sql(SEED, "'split3'", 'pair_id')}, pair_id) - 1 AS pos, count(*) OVER () AS n FROM pp),
 tst AS (SELECT pair_id, prompt, response AS reference FROM r WHERE pos >= n - ceil(0.2::DOUBLE * n) + (ceil(0.2::DOUBLE * n) - ceil(0.5::DOUBLE * ceil(0.2::DOUBLE * n)))),

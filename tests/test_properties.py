@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bytelake.functions.binary import utf8
 from bytelake.functions.rank import with_exclusive_sum, with_row_index
-from bytelake.operators import blocks, ngram, nucleus, rewards, split, stats, tokens
+from bytelake.operators import blocks, evaluate, ngram, nucleus, rewards, split, stats, tokens
 from bytelake.plans import splits as ps
 from bytelake.plans.registry import table
 
@@ -179,3 +179,19 @@ def test_cut_lineage_writes_once_and_keeps_rows(spark):
     assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # read back from the shared folder, lineage cut
+
+
+def test_sections_and_corrupted_copies_are_whole(spark):
+    text = "<think>" + "t" * 500 + "</think><answer>" + "a" * 700 + "</answer> end"
+    tagged = evaluate.tag_flags(evaluate.tag_positions(spark.createDataFrame([(text,)], "generated string")))
+    r = evaluate.tag_spans(tagged).collect()[0]
+    assert r.think_span == "<think>" + "t" * 500 + "</think>" and r.answer_span == "<answer>" + "a" * 700 + "</answer>"
+    rows = [(i, "xyzä" * n) for i, n in enumerate((0, 1, 2, 3, 50, 3000))]
+    df = spark.createDataFrame(rows, "pair_id int, reference string").selectExpr("cast(pair_id as string) pair_id", "reference", "reference completion", "false includes_prompt")
+    got = {r.pair_id: r.completion for r in rewards.candidates_in_row(df).filter("cand = 'corrupt'").collect()}
+    for i, ref in rows:
+        b = bytearray(ref.encode())
+        n = len(b)
+        for j in range(n // 10):
+            b[int(_py_u01(42, "idx", str(i), j) * n)] = int(_py_u01(42, "val", str(i), j) * 256)
+        assert got[str(i)] == bytes(b).decode("utf-8", errors="replace")
