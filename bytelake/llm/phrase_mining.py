@@ -295,10 +295,10 @@ def collocations(
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
     ws AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-    at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
     grams AS (
       SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
-      FROM at, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks WHERE i + k - 1 <= len(w) GROUP BY ALL),
+      FROM places, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks WHERE i + k - 1 <= len(w) GROUP BY ALL),
     n AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
     often AS (SELECT * FROM grams WHERE f >= 30),
     cand AS (SELECT lang, k AS len, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k >= 2),
