@@ -303,7 +303,7 @@ def collocations(
     often AS (SELECT * FROM grams WHERE f >= 30),
     cand AS (SELECT lang, k AS len, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k >= 2),
     cuts AS (
-      SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
+      SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
       FROM (SELECT *, unnest(range(1, len)) AS k FROM cand) AS c
       JOIN often AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
       JOIN often AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
