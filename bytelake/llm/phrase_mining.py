@@ -34,9 +34,10 @@ LEAST = 30
 COVERED = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 TOP = 2000
 BITS = 26
-CHUNK_BYTES = 8 << 20
+PART = 15  # slots are counted in parts of 2^15
+CHUNK_BYTES = 32 << 20
 SALTS = 64
-GROUPS_PER_PARTITION = 16
+GROUPS_PER_PARTITION = 4
 
 _STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 _W = ["w1", "w2", "w3", "w4"]
@@ -47,25 +48,36 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(_STOPS).replace(b".", b" . ").split()
 
 
-def word_id(word: bytes, seed: int) -> int:
-    """A word's id as a signed long; 0 stands for no word."""
-    h = xxhash.xxh64_intdigest(word, seed) or 1
+def word_id(word: bytes, salt: bytes = b"") -> int:
+    """A word's id as a signed long (Spark's ``xxhash64`` of the word and the salt); 0 stands for no word."""
+    h = xxhash.xxh64_intdigest(word + salt, 42) or 1
     return h - (1 << 64) if h >> 63 else h
 
 
 def _encoded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """``(codes, words)`` of all tokens of the texts; code of ``.`` is -1."""
-    found = pa.array(tokens(b".".join(texts)), pa.binary()).dictionary_encode()
-    words = found.dictionary.to_pylist()
-    codes = found.indices.to_numpy().astype(np.int64)
-    if b"." in words:
-        codes[codes == words.index(b".")] = -1
-    return codes, words
+    """``(codes, words)`` of all tokens of the texts; code of ``.`` is 0.  Only a few texts' tokens are objects at any time."""
+    known: dict[bytes, int] = {b".": 0}
+    out, held, size = [], [], 0
+
+    def encode():
+        found = pa.array(tokens(b".".join(held)) + [b"."], pa.binary()).dictionary_encode()
+        codes = np.array([known.setdefault(w, len(known)) for w in found.dictionary.to_pylist()], np.int32)
+        out.append(codes[found.indices.to_numpy()])
+        held.clear()
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= 1 << 20:
+            encode()
+            size = 0
+    encode()
+    return np.concatenate(out), list(known)
 
 
 def _map_languages(docs: DataFrame, fn: Callable[[str, list[bytes]], tuple], schema: str) -> DataFrame:
     """``fn(language, texts)`` over chunks of about CHUNK_BYTES of ``docs (_lang, _t binary)``; it returns columns in ``schema`` order."""
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
     def flush(held) -> Iterator[pa.RecordBatch]:
@@ -90,25 +102,31 @@ def _map_languages(docs: DataFrame, fn: Callable[[str, list[bytes]], tuple], sch
     return docs.mapInArrow(run, schema)
 
 
-def _word_counts(lang: str, texts: list[bytes], seed: int):
+def _word_counts(lang: str, texts: list[bytes]):
     codes, words = _encoded(texts)
-    n = np.bincount(codes[codes >= 0], minlength=len(words))
-    some = np.flatnonzero(n).tolist()
-    return [lang] * len(some), [words[i] for i in some], [word_id(words[i], seed) for i in some], n[some]
+    n = np.bincount(codes, minlength=len(words))
+    return [lang] * (len(words) - 1), words[1:], n[1:]
 
 
-def _word_table(docs: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """``(_lang, word, id, f)`` of all words, and the seed under which no two words share an id."""
-    while True:
-        words = _map_languages(docs, lambda lang, texts, s=seed: _word_counts(lang, texts, s), "_lang string, word binary, id long, n long")
-        words = stored(words.groupBy("_lang", "word", "id").agg(F.sum("n").alias("f")), "words")
-        if words.groupBy("id").agg(F.min("word").alias("a"), F.max("word").alias("b")).filter("a <> b").isEmpty():
-            return words, seed
-        seed += 1
+def _salted_id(salt: bytes):
+    found = F.xxhash64(F.concat(F.col("word"), F.lit(bytearray(salt))))
+    return F.when(found == 0, F.lit(1).cast("long")).otherwise(found)
+
 
+def _word_table(docs: DataFrame, salt: bytes = b"") -> tuple[DataFrame, bytes]:
+    """``(_lang, word, f, id)`` of all words, and the salt under which no two words share an id."""
+    words = _map_languages(docs, _word_counts, "_lang string, word binary, n long")
+    words = stored(words.groupBy("_lang", "word").agg(F.sum("n").alias("f")), "words")
+    return _named(words, salt)
 
-def _ids(words: list[bytes], seed: int) -> np.ndarray:
-    return np.array([word_id(w, seed) for w in words], np.int64)
+
+def _named(words: DataFrame, salt: bytes = b"", named=_salted_id) -> tuple[DataFrame, bytes]:
+    while True:
+        ids = words.withColumn("id", named(salt))
+        other = F.xxhash64(F.lit("other"), "word")
+        if ids.groupBy("id").agg(F.min(other).alias("a"), F.max(other).alias("b")).filter("a <> b").isEmpty():
+            return ids, salt
+        salt += b"."
 
 
 def _slots(lang: int, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
@@ -118,26 +136,44 @@ def _slots(lang: int, first: np.ndarray, second: np.ndarray, bits: int) -> np.nd
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _pairs(lang: str, texts: list[bytes], seed: int, bits: int):
-    """Per token: its id, and per adjacent pair: whether both are words of one piece, and its slot."""
+def _pairs(lang: str, texts: list[bytes], salt: bytes, bits: int):
+    """``(codes, id of each code, whether each adjacent pair is in one piece, its slot)``."""
     codes, words = _encoded(texts)
-    ids = _ids(words, seed)[codes] if len(words) else np.zeros(0, np.int64)
-    both = (codes[:-1] >= 0) & (codes[1:] >= 0)
-    return codes, ids, both, _slots(xxhash.xxh64_intdigest(lang), ids[:-1], ids[1:], bits)
+    ids = np.array([0, *(word_id(w, salt) for w in words[1:])], np.int64)
+    both = (codes[:-1] > 0) & (codes[1:] > 0)
+    return codes, ids, both, _slots(xxhash.xxh64_intdigest(lang), ids[codes[:-1]], ids[codes[1:]], bits)
+
 
+def _cut_by(part: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
+    """``(parts, bytes of each part's columns)`` of rows sorted by part."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
+    ends = [*first[1:].tolist(), len(part)]
+    return part[first], [[c[b:e].tobytes() for b, e in zip(first.tolist(), ends, strict=False)] for c in columns]
 
-def _slot_counts(lang, texts, seed, bits):
-    _, _, both, slots = _pairs(lang, texts, seed, bits)
-    return np.unique(slots[both], return_counts=True)
+
+def _slot_counts(lang, texts, salt, bits):
+    _, _, both, slots = _pairs(lang, texts, salt, bits)
+    slots, n = np.unique(slots[both], return_counts=True)
+    part, blocks = _cut_by(slots >> PART, [(slots & ((1 << PART) - 1)).astype(np.uint16), n.astype(np.uint32)])
+    return part, *blocks
 
 
 def _bit_table(slots: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit per slot with at least ``least`` pairs: 2^bits / 8 bytes whatever the input."""
-    often = slots.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    place = often.select(F.shiftright("slot", 15).alias("part"), F.col("slot").bitwiseAND(F.lit(32767)).alias("bit"))
-    out = np.zeros(max(1, (1 << bits) >> 15) * 4096, np.uint8)
-    for row in place.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    """One bit per slot with at least ``least`` pairs: 2^bits / 8 bytes whatever the input.  A part's counts are summed as they stream in."""
+    schema = pa.schema([("part", pa.int64()), ("bits", pa.binary())])
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(1 << PART, np.int64), None
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for at, n in zip(batch.column("slots"), batch.column("counts"), strict=True):
+                total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], schema=schema)
+
+    width = (1 << PART) // 8
+    out = np.zeros(max(1, (1 << bits) >> PART) * width, np.uint8)
+    for row in slots.groupBy("part").applyInArrow(often, "part long, bits binary").toLocalIterator():
+        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -151,32 +187,24 @@ def _combined(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], n
 
 
-def _pointers(lang, texts, seed, bits, shared):
-    """Weighted suffix pointers: pairs as ``(w1, w2, 0, 0)``, longer suffixes as ``(w1, w2, w3, w4 or 0)``."""
-    codes, ids, both, slots = _pairs(lang, texts, seed, bits)
+def _pointers(lang, texts, salt, bits, groups, shared):
+    """Weighted suffix pointers, sorted in blocks of one group: pairs as ``(w1, w2, 0, 0)``, longer suffixes as ``(w1, w2, w3, w4 or 0)``."""
+    codes, ids, both, slots = _pairs(lang, texts, salt, bits)
     often = shared.value
     live = both & ((often[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
     live = np.concatenate((live, np.zeros(LONGEST, bool)))
-    code = np.concatenate((codes + 1, np.zeros(LONGEST, np.int64)))
-    word = np.concatenate(([0], _ids_of(codes, ids)))
+    code = np.concatenate((codes, np.zeros(LONGEST, np.int32)))
     pair = np.flatnonzero(live)
     long = pair[live[pair + 1]]
     fourth = np.where(live[long + 2], code[long + 3], 0)
-    zero = np.zeros(len(pair), np.int64)
-    out, weights = [], []
-    for columns in ([code[pair], code[pair + 1], zero, zero], [code[long], code[long + 1], code[long + 2], fourth]):
-        columns, n = _combined(columns)
-        out.append([word[c] for c in columns])
-        weights.append(n)
-    w = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return [np.full(len(w[0]), word_id(lang.encode(), 0), np.int64), *w, np.concatenate(weights)]
-
-
-def _ids_of(codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Id of each code, from the tokens that carry it."""
-    out = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
-    out[codes[codes >= 0]] = ids[codes >= 0]
-    return out
+    zero = np.zeros(len(pair), np.int32)
+    found = [_combined(c) for c in ([code[pair], code[pair + 1], zero, zero], [code[long], code[long + 1], code[long + 2], fourth])]
+    w = [ids[np.concatenate(c)] for c in zip(*(columns for columns, _ in found), strict=True)]
+    weight = np.concatenate([n for _, n in found])
+    group = _slots(xxhash.xxh64_intdigest(lang), w[0] ^ (w[1] * 3), w[2], 63) % groups
+    order = np.lexsort((*w[::-1], group))
+    group, blocks = _cut_by(group[order], [c[order] for c in (*w, weight)])
+    return [word_id(lang.encode())] * len(group), group, *blocks
 
 
 def frequent_prefixes(columns: list[np.ndarray], weight: np.ndarray, least: int) -> list[tuple[int, ...]]:
@@ -204,20 +232,21 @@ def frequent_prefixes(columns: list[np.ndarray], weight: np.ndarray, least: int)
     return out
 
 
-def phrase_counts(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, salt: bytes, bits: int, least: int) -> DataFrame:
     """``(w0, w1, w2, w3, w4, f)``: language and word ids (0: none) of each phrase of two to four words with ``f >= least``."""
     spark = docs.sparkSession
-    slots = _map_languages(docs, lambda lang, texts: _slot_counts(lang, texts, seed, bits), "slot long, n long")
+    slots = _map_languages(docs, lambda lang, texts: _slot_counts(lang, texts, salt, bits), "part long, slots binary, counts binary")
     shared = spark.sparkContext.broadcast(_bit_table(slots, bits, least))
-    columns = ["w0", *_W]
-    rows = _map_languages(docs, lambda lang, texts: _pointers(lang, texts, seed, bits, shared), ", ".join(f"{c} long" for c in [*columns, "n"]))
     groups = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = rows.withColumn("_group", F.pmod(F.xxhash64("w0", "w1", "w2", "w3"), F.lit(groups)))
-    names = [*columns, "f"]
+    schema = ", ".join(["w0 long", "_group long", *(f"{c} binary" for c in _W), "n binary"])
+    routed = _map_languages(docs, lambda lang, texts: _pointers(lang, texts, salt, bits, groups, shared), schema)
+    names = ["w0", *_W, "f"]
     arrow = pa.schema([(c, pa.int64()) for c in names])
 
     def sort(part: pa.Table) -> pa.Table:
-        found = frequent_prefixes([part.column(c).to_numpy() for c in columns], part.column("n").to_numpy(), least)
+        blocks = {c: [np.frombuffer(x.as_py(), np.int64) for x in part.column(c)] for c in [*_W, "n"]}
+        langs = np.repeat(part.column("w0").to_numpy(), [len(x) for x in blocks["n"]])
+        found = frequent_prefixes([langs, *(np.concatenate(blocks[c]) for c in _W)], np.concatenate(blocks["n"]), least)
         return pa.Table.from_pydict(dict(zip(names, zip(*found, strict=True), strict=True)) if found else {c: [] for c in names}, schema=arrow)
 
     return routed.groupBy("_group").applyInArrow(sort, ", ".join(f"{c} long" for c in names))
@@ -264,14 +293,14 @@ def _first_rows(df: DataFrame, by: str, order: list, top: int, number) -> DataFr
 
 
 def collocations(
-    docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, covered: int = COVERED, top: int = TOP, bits: int = BITS, seed: int = 42
+    docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, covered: int = COVERED, top: int = TOP, bits: int = BITS
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` best phrases of each language."""
     body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"))
-    words, seed = _word_table(body, seed)
-    phrases = stored(phrase_counts(body, seed, bits, least), "phrases")
+    words, salt = _word_table(body)
+    phrases = stored(phrase_counts(body, salt, bits, least), "phrases")
     langs = words.groupBy("_lang").agg(F.sum("f").alias("n"))
-    lang_ids = F.udf(lambda name: word_id(name.encode(), 0), "long")
+    lang_ids = F.udf(lambda name: word_id(name.encode()), "long")
     langs = stored(langs.withColumn("w0", lang_ids("_lang")), "languages")
     often = words.filter(F.col("f") >= least).join(langs, "_lang")
     zero = F.lit(0).cast("long")

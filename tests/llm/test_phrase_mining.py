@@ -95,21 +95,18 @@ def test_combined_rows():
 
 def test_tokens():
     assert tokens("A,b\tC\x0bÉ.x y".encode()) == [b"a", b".", b"b", b"c", b".", "É".encode(), b".", b"x", b"y"]
-    assert word_id(b"a", 1) != word_id(b"a", 2) and -(2**63) <= word_id(b"a", 1) < 2**63
+    assert word_id(b"a") != word_id(b"a", b".") and -(2**63) <= word_id(b"a") < 2**63
 
 
-def test_words_that_share_an_id_get_another_seed(spark, monkeypatch):
-    from bytelake.llm import phrase_mining as m
+def test_words_that_share_an_id_get_another_salt(spark):
+    from bytelake.llm.phrase_mining import _named, _salted_id
 
-    seeds = []
-
-    def weak(docs, fn, schema):
-        seed = 42 + len(seeds)
-        seeds.append(seed)
-        return spark.createDataFrame([("en", b"a", 5, 1), ("en", b"b", 5 if seed < 44 else 6, 1)], schema)
-
-    monkeypatch.setattr(m, "_map_languages", weak)
-    assert m._word_table(None, 42)[1] == 44 and seeds == [42, 43, 44]
+    words = spark.createDataFrame([("en", bytearray(b"a")), ("en", bytearray(b"b")), ("fr", bytearray(b"a"))], "_lang string, word binary")
+    ids, salt = _named(words)
+    assert salt == b"" and {r.id for r in ids.collect()} == {word_id(b"a"), word_id(b"b")}
+    assert {r.id for r in words.select(_salted_id(b"..").alias("id")).collect()} == {word_id(b"a", b".."), word_id(b"b", b"..")}
+    _, salt = _named(words, named=lambda salt: F.lit(5) if len(salt) < 2 else _salted_id(salt))
+    assert salt == b".."
 
 
 def test_empty_and_all_null(spark):
