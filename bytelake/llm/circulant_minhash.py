@@ -7,9 +7,11 @@ the positions, is circularly shifted by 0, 1, 2, ...: coordinate k is the least
 2. Bands.  32 bands of six coordinates; sets that share a band meet.  A pair at similarity 0.85 is missed with probability 3e-7.
 3. Stars.  Each node is verified against the smallest node of its bands: one pair a node and band at most, so a group of near copies costs
    a pair a copy.
-4. Rest.  Links make components; within a band only pairs of different components are still open.  Bands of at most ``crowded`` nodes
-   verify them all; in larger ones a few nodes of the smallest components (twice as many each round) are verified against all others and leave, until
-   one component or a small band is left.  So no link is lost and no group's pairs are all emitted unless nothing in it links.
+4. Rest.  Links make components; only bands that hold several are still open.  In an order of all shingles (rarest first, by a table of counts
+   of fixed size) two similar sets share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, so the open nodes meet again on those shingles that another set
+   may hold, and only pairs of different components count: near copies too far from all others have none left.  Groups of at most
+   ``crowded`` nodes verify all such pairs; in larger ones a few nodes of the smallest components (twice as many each round) are verified against the others and leave, until
+   one component or a small group is left.  So no link is lost.
 5. Verification.  Both full sets meet in one task: the partners of a node in slices of a bounded number, each with the node's set.  Sizes
    are compared first, then intersections are counted exactly.
 
@@ -20,6 +22,8 @@ table: empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,9 +38,10 @@ SHINGLE = 5
 PERCENT = 85
 BANDS = 32
 ROWS = 6
-CROWDED = 128
+CROWDED = 64
 HUBS = 16
 SLICE = 256  # partners verified against a node at once
+BITS, PART = 22, 12  # slots of the table of shingle counts (a byte each), and how many of them are summed together (powers of two)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -63,10 +68,11 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
 def second_permutation(x: np.ndarray) -> np.ndarray:
     """A bijection of the 32-bit positions (xor-shifts and odd factors)."""
     x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x7FEB352D)
+    x *= np.uint32(0x7FEB352D)
     x ^= x >> np.uint32(15)
-    x = x * np.uint32(0x846CA68B)
-    return x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def signature(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -75,8 +81,11 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.full(size, np.uint32(0xFFFFFFFF))
     for at in range(0, len(place), 1 << 14):  # bounded memory for very long texts
         part = place[at : at + (1 << 14)]
-        for k in range(size):
-            out[k] = min(out[k], second_permutation(part - np.uint32(k)).min())
+        step = max(1, (1 << 15) // len(part))  # shifts done at once: what the cache holds
+        for k in range(0, size, step):
+            shifts = np.arange(k, min(size, k + step), dtype=np.uint32)
+            least = second_permutation(part[None, :] - shifts[:, None]).min(axis=1)
+            np.minimum(out[k : k + step], least, out=out[k : k + step])
     return out
 
 
@@ -129,6 +138,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.groupBy("u", "slice").applyInArrow(compare, "u long, v long"), "links")
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def _slot_counts(cols):
+    slots, n = np.unique(np.concatenate([_slots(np.frombuffer(g, np.uint64)) for g in cols["grams"]]), return_counts=True)
+    edge = np.flatnonzero(np.diff(slots >> PART, prepend=-1)).tolist()
+    ends = [*edge[1:], len(slots)]
+    low, n = (slots & ((1 << PART) - 1)).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
+    return slots[edge] >> PART, [low[b:e].tobytes() for b, e in zip(edge, ends, strict=True)], [n[b:e].tobytes() for b, e in zip(edge, ends, strict=True)]
+
+
+def _count_table(sets: DataFrame) -> np.ndarray:
+    """How many sets' shingles fall on each slot, 255 at most: 2^BITS bytes whatever the input."""
+    schema = pa.schema([("part", pa.int64()), ("counts", pa.binary())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(1 << PART, np.int64), None
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for at, n in zip(batch.column("slots"), batch.column("counts"), strict=True):
+                total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])], schema=schema)
+
+    parts = map_rows(sets.select("grams"), _slot_counts, "part long, slots binary, counts binary", 1024)
+    out = np.zeros(1 << BITS, np.uint8)
+    for row in parts.groupBy("part").applyInArrow(add, "part long, counts binary").toLocalIterator():
+        out[row["part"] << PART : (row["part"] + 1) << PART] = np.frombuffer(row["counts"], np.uint8)
+    return out
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, rarest first, one of which any similar set has among its own first ones; without those no other set holds."""
+    n = counts[_slots(hashes)]
+    first = np.lexsort((hashes, n))[: len(hashes) + percent * len(hashes) // -100 + 1]
+    return hashes[first[n[first] > 1]].view(np.int64)
+
+
+def _prefix_rows(cols, shared, percent):
+    found = [prefix(np.frombuffer(g, np.uint64), shared.value, percent) for g in cols["grams"]]
+    sizes = [len(f) for f in found]
+    n = [len(g) // 8 for g in cols["grams"]]
+    return np.concatenate(found), np.repeat(np.array(cols["node"], np.int64), sizes), np.repeat(np.array(n, np.int64), sizes)
+
+
 def _open_bands(members: DataFrame, links: DataFrame) -> DataFrame:
     """Band members ``(key, node, n)`` with their component ``root``, of the bands that hold more than one component."""
     roots = components(links)
@@ -151,9 +205,11 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, crowded: int, hubs
     first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
     stars = members.join(first, "key").filter("node <> hub.node")
     links = _verified(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("nu"), F.col("n").alias("nv")), sets, percent)
-    # the hub of a band is through with it
-    left = members.join(first.select("key", F.col("hub.node").alias("_hub")), "key").filter("node <> _hub").drop("_hub")
-    left = _open_bands(left, links)
+    nodes = _open_bands(members, links).select("node").distinct()
+    unsettled = sets.join(nodes, "node", "left_semi")
+    shared = sets.sparkSession.sparkContext.broadcast(_count_table(unsettled))
+    left = map_rows(unsettled, lambda c: _prefix_rows(c, shared, percent), "key long, node long, n long")
+    left = _open_bands(stored(left, "prefixes"), links)
     while not left.isEmpty():
         few = left.filter(F.col("size") <= crowded)
         many = left.filter(F.col("size") > crowded)

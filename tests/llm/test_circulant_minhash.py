@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bytelake.llm.circulant_minhash import band_keys, minhash_components, second_permutation, shingle_set, signature
+from bytelake.llm.circulant_minhash import band_keys, minhash_components, prefix, second_permutation, shingle_set, signature
 
 
 def grams(text):
@@ -104,6 +104,18 @@ def test_agreement_estimates_similarity():
     assert len(band_keys(a)) == 32
 
 
+def test_similar_sets_share_a_prefix():
+    rnd = random.Random(6)
+    counts = np.array([rnd.choice([2, 3, 9]) for _ in range(1 << 22)], np.uint8)
+    for _ in range(300):
+        n = rnd.randrange(1, 60)
+        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.unique(np.concatenate((a[rnd.randrange(3) :], np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(8))], np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            assert np.intersect1d(prefix(a, counts, 85), prefix(b, counts, 85)).size
+
+
 @pytest.mark.parametrize("text, n", [("", 0), (" \x0b", 0), ("a", 1), ("a b c d", 1), ("a b c d e", 1), ("a b c d e f", 2), ("a a a a a a a a", 1)])
 def test_set_sizes(text, n):
     assert len(shingle_set(text)) == n
