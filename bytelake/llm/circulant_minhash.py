@@ -5,11 +5,11 @@ the positions, is circularly shifted by 0, 1, 2, ...: coordinate k is the least
 
 1. Sets.  Each text's set of 5-word shingles is hashed (64 bits each).  Texts with one set are one node, whatever their number.
 2. Bands.  32 bands of six coordinates; sets that share a band meet.  A pair at similarity 0.85 is missed with probability 3e-7.
-3. Stars.  Each node is verified against the smallest node of its bands: one pair a node and band at most, so a group of near copies costs
-   a pair a copy.
+3. Stars.  Each node is verified against one node of each of its bands, the one with the fewest shingles of its own (of near copies the text they were
+   made from): one pair a node and band at most, so a group of near copies costs a pair a copy.
 4. Rest.  Links make components; only bands that hold several are still open.  In an order of all shingles (rarest first, by a table of counts
-   of fixed size) two similar sets share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, so the open nodes meet again on those shingles that another set
-   may hold, and only pairs of different components count: near copies too far from all others have none left.  Groups of at most
+   of fixed size) two similar sets share a shingle that leaves enough behind it in both, so the open nodes meet again on such shingles, and only
+   pairs of different components count: copies too far from all others have none.  Groups of at most
    ``crowded`` nodes verify all such pairs; in larger ones a few nodes of the smallest components (twice as many each round) are verified against the others and leave, until
    one component or a small group is left.  So no link is lost.
 5. Verification.  Both full sets meet in one task: the partners of a node in slices of a bounded number, each with the node's set.  Sizes
@@ -169,32 +169,53 @@ def _count_table(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set, rarest first, one of which any similar set has among its own first ones; without those no other set holds."""
+def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(shingles, places)`` of a set's first shingles, rarest first, one of which any similar set has among its own first ones; those no other set
+    holds are left out."""
     n = counts[_slots(hashes)]
     first = np.lexsort((hashes, n))[: len(hashes) + percent * len(hashes) // -100 + 1]
-    return hashes[first[n[first] > 1]].view(np.int64)
+    at = np.flatnonzero(n[first] > 1)
+    return hashes[first[at]].view(np.int64), at
 
 
 def _prefix_rows(cols, shared, percent):
     found = [prefix(np.frombuffer(g, np.uint64), shared.value, percent) for g in cols["grams"]]
-    sizes = [len(f) for f in found]
+    sizes = [len(at) for _, at in found]
     n = [len(g) // 8 for g in cols["grams"]]
-    return np.concatenate(found), np.repeat(np.array(cols["node"], np.int64), sizes), np.repeat(np.array(n, np.int64), sizes)
+    keys, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    return keys, np.repeat(np.array(cols["node"], np.int64), sizes), np.repeat(np.array(n, np.int64), sizes), at
+
+
+def _own_shingles(cols, shared):
+    return cols["node"], [int((shared.value[_slots(np.frombuffer(g, np.uint64))] < 2).sum()) for g in cols["grams"]]
+
+
+def _needed(n, m, percent: int):
+    """The least intersection of similar sets of n and m shingles."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
+
+
+def _reachable(rows: DataFrame, percent: int) -> DataFrame:
+    """Without the rows whose shingle leaves too few behind it for any set it may meet."""
+    least = rows.groupBy("key").agg(F.min("n").alias("_m"))
+    other = F.greatest(F.col("_m"), F.ceil(F.col("n") * percent / 100))
+    return rows.join(least, "key").filter(F.col("n") - F.col("at") >= _needed(F.col("n"), other, percent)).drop("_m")
 
 
 def _open_bands(members: DataFrame, links: DataFrame) -> DataFrame:
     """Band members ``(key, node, n)`` with their component ``root``, of the bands that hold more than one component."""
     roots = components(links)
-    named = members.join(roots, members["node"] == roots["node"], "left").select("key", members["node"], "n", F.coalesce("root", members["node"]).alias("root"))
+    named = members.join(roots, members["node"] == roots["node"], "left").select("key", members["node"], "n", "at", F.coalesce("root", members["node"]).alias("root"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
     return stored(named.join(several.select("key", "size"), "key"), "open-bands")
 
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band."""
+def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle with enough behind it in both sets."""
     a, b = a.alias("a"), b.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("b.node")))
+    behind = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    near = behind >= _needed(F.col("a.n"), F.col("b.n"), percent)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & near)
     u, v = F.struct("a.node", "a.n"), F.struct("b.node", "b.n")
     met = met.select(F.least(u, v).alias("x"), F.greatest(u, v).alias("y"))
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
@@ -202,27 +223,28 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, sets: DataFrame, percent: int, crowded: int, hubs: int) -> DataFrame:
     """Links between nodes whose components are those of all pairs similar enough that share a band."""
-    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    counts = sets.sparkSession.sparkContext.broadcast(_count_table(sets))
+    own = stored(map_rows(sets, lambda c: _own_shingles(c, counts), "node long, own long"), "own-shingles")
+    first = members.join(own, "node").groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("hub"))
     stars = members.join(first, "key").filter("node <> hub.node")
     links = _verified(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("nu"), F.col("n").alias("nv")), sets, percent)
-    nodes = _open_bands(members, links).select("node").distinct()
+    nodes = _open_bands(members.withColumn("at", F.lit(0)), links).select("node").distinct()
     unsettled = sets.join(nodes, "node", "left_semi")
-    shared = sets.sparkSession.sparkContext.broadcast(_count_table(unsettled))
-    left = map_rows(unsettled, lambda c: _prefix_rows(c, shared, percent), "key long, node long, n long")
-    left = _open_bands(stored(left, "prefixes"), links)
+    left = map_rows(unsettled, lambda c: _prefix_rows(c, counts, percent), "key long, node long, n long, at long")
+    left = _open_bands(_reachable(stored(left, "prefixes"), percent), links)
     while not left.isEmpty():
         few = left.filter(F.col("size") <= crowded)
         many = left.filter(F.col("size") > crowded)
         weight = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("w"))
-        # a band's hubs are members of its smallest components; salted parts are cut first, so no task orders a whole band
+        # a group's hubs are members of its smallest components; salted parts are cut first, so no task orders a whole group
         chosen = many.join(weight, ["key", "root"]).withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(64)))
         for keys in (["key", "_salt"], ["key"]):
             order = Window.partitionBy(*keys).orderBy("w", "root", "node")
             chosen = chosen.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= hubs)
-        chosen = stored(chosen.select("key", "root", "node", "n"), "hubs")
-        more = _verified(_pairs(few, few).unionByName(_pairs(chosen, many)), sets, percent)
+        chosen = stored(chosen.select("key", "root", "node", "n", "at"), "hubs")
+        more = _verified(_pairs(few, few, percent).unionByName(_pairs(chosen, many, percent)), sets, percent)
         links = stored(links.unionByName(more), "links")
-        left = many.select("key", "node", "n").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        left = many.select("key", "node", "n", "at").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
         left = _open_bands(left, links)
         hubs *= 2
     return links
