@@ -265,8 +265,8 @@ def minhash_components(
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     met = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("few"), F.max("n").alias("many")).filter("size > 1")
-    members = stored(met.join(shared.select("key"), "key").select("key", "node", "n"), "band-members")
+    shared = small(stored(met.groupBy("key").count().filter("count > 1").select("key"), "shared-bands"))
+    members = stored(met.join(shared, "key").select("key", "node", "n"), "band-members")
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep._id", "rep._h")
     involved = small(stored(involved.withColumnsRenamed({"_id": "_rid", "_h": "_rh"}), "candidate-nodes"))
     texts = named.join(involved, named["_id"].eqNullSafe(involved["_rid"]) & (named["_h"] == involved["_rh"])).select("node", "_t")
