@@ -10,34 +10,24 @@ from ..config import RewardConfig
 CFG = RewardConfig()
 
 
-def metrics_history(plan: DataFrame, feats: DataFrame, base_tokens: DataFrame, logprobs: DataFrame, key: str = "pair_id", cfg: RewardConfig = CFG) -> DataFrame:
+def metrics_history(plan: DataFrame, sums: DataFrame, key: str = "pair_id", cfg: RewardConfig = CFG) -> DataFrame:
     """Per episode: scale, ``-sum(logp * reward)`` and mean reward on the common prefix, lengths.
 
-    Everything that does not depend on the scale is aggregated once per pair (log-prob weighted
-    base rewards, the last position's log-prob, the base total); each episode then only adds the
-    end penalty: ``loss = -(A + logp_last * penalty)``, ``avg = (base_total + penalty) / n``.
+    ``sums`` (:func:`bytelake.operators.aligned.episode_sums`) holds one narrow row a sequence with all that does not depend on the scale;
+    each episode only adds the end penalty: ``loss = -(weighted + last_logp * penalty)``, ``avg = (base_total + penalty) / n``.
     """
-    keys = [c for c in ("pair_id", "cand") if c in base_tokens.columns]
-    j = base_tokens.join(logprobs, keys + ["pos"], "left")
-    per = j.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.col("logp") * F.col("reward")), F.lit(0.0)).alias("__a"),
-        F.max_by("logp", "pos").alias("__l"),
-        F.coalesce(F.sum("reward"), F.lit(0.0)).alias("__bt"),
-    )
-    f = feats.select(*keys, "gen_len", "ref_len").join(per, keys, "left")
-    f = f.withColumn("__n", F.least("gen_len", "ref_len")).drop("cand")
-    g, r = F.col("gen_len"), F.col("ref_len")
+    f = sums.select(key, "gen_len", "ref_len", "weighted", "last_logp", "base_total")
     h = plan.join(f, key)
+    g, r = F.col("gen_len"), F.col("ref_len")
+    n = F.least(g, r)
     pen = F.when(g < r, F.lit(cfg.base_penalty) * F.col("penalty_scale") * (r - g) / r).otherwise(F.lit(0.0))
-    h = h.withColumn("__pen", pen)
-    has = F.col("__n") > 0
     return h.select(
         (F.col("episode") + 1).alias("episode"),
         "penalty_scale",
-        F.when(has, -(F.col("__a") + F.col("__l") * F.col("__pen"))).otherwise(F.lit(0.0)).alias("policy_loss"),
-        F.when(has, (F.col("__bt") + F.col("__pen")) / F.col("__n")).otherwise(F.lit(0.0)).alias("avg_reward"),
-        F.col("gen_len").cast("long").alias("gen_len"),
-        F.col("ref_len").cast("long").alias("ref_len"),
+        F.when(n > 0, -(F.col("weighted") + F.col("last_logp") * pen)).otherwise(F.lit(0.0)).alias("policy_loss"),
+        F.when(n > 0, (F.col("base_total") + pen) / n).otherwise(F.lit(0.0)).alias("avg_reward"),
+        g.cast("long").alias("gen_len"),
+        r.cast("long").alias("ref_len"),
     )
 
 

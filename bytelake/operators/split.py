@@ -1,7 +1,7 @@
 """Seeded, partition-independent splits and samples.
 
-All draws use ``u01(seed, <operator>, key)``, so draws of different operators are independent; exact-size splits rank rows by that draw with the distributed
-row index (no single-partition window), so sizes are exact and every row lands in one split.
+All draws use ``u01(seed, <operator>, key)``, so draws of different operators are independent.  Exact-size splits find the order statistics of that
+draw at the cuts by selection and compare each row with them: sizes are exact, and no row is shuffled or ordered.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rank import with_row_index
 from ..functions.rng import u01
+from ..functions.selection import with_cuts
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42, out: str = "pos", purpose: str = "shuffle") -> DataFrame:
@@ -24,24 +25,19 @@ def _n_rows(df: DataFrame):
 
 def split_three_way(df: DataFrame, key: str, holdout: float = 0.2, test_of_holdout: float = 0.5, seed: int = 42) -> DataFrame:
     """Exact train/val/test: ``ceil(holdout*n)`` held out, of which ``ceil(test_of_holdout*h)`` are test."""
-    n = _n_rows(df)
-    n_hold = F.ceil(F.lit(float(holdout)) * n)
-    n_train = n - n_hold
-    n_test = F.ceil(F.lit(float(test_of_holdout)) * n_hold)
-    n_val = n_hold - n_test
-    p = F.col("__pos")
-    ranked = shuffle_rows(df, key, seed, "__pos", "split3")
-    return ranked.withColumn(
-        "split", F.when(p < n_train, "train").when(p < n_train + n_val, "val").otherwise("test")
-    ).drop("__pos")
+    def cuts(n):
+        n_hold = F.ceil(F.lit(float(holdout)) * n)
+        return [n - n_hold, n - F.ceil(F.lit(float(test_of_holdout)) * n_hold)]
+
+    u = u01(seed, F.lit("split3"), key)
+    return with_cuts(df, u, key, cuts, lambda before: F.when(before(0), "train").when(before(1), "val").otherwise("test"), "split")
 
 
 def split_two_way(df: DataFrame, key: str, frac: float = 0.1, seed: int = 42) -> DataFrame:
     """Exact train/val with ``ceil(frac*n)`` validation rows."""
-    n = _n_rows(df)
-    n_val = F.ceil(F.lit(float(frac)) * n)
-    ranked = shuffle_rows(df, key, seed, "__pos", "split2")
-    return ranked.withColumn("split", F.when(F.col("__pos") < n - n_val, "train").otherwise("val")).drop("__pos")
+    u = u01(seed, F.lit("split2"), key)
+    cuts = lambda n: [n - F.ceil(F.lit(float(frac)) * n)]
+    return with_cuts(df, u, key, cuts, lambda before: F.when(before(0), "train").otherwise("val"), "split")
 
 
 def split_hash(df: DataFrame, key: str, weights=(0.8, 0.1, 0.1), names=("train", "val", "test"), seed: int = 42) -> DataFrame:

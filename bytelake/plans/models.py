@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rng import u01, u01_sql
+from ..operators import aligned as al
 from ..operators import loss, ngram, split, stats
 from .registry import materialize, query, table
 
@@ -194,6 +195,5 @@ def q_kl_between(spark, sf):
     + """ SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n_tokens, round(exp(sum(cnt * nll) / (sum(cnt) + 1e-9)), 6) AS perplexity FROM sc GROUP BY doc_id""",
 )
 def q_doc_perplexity(spark, sf):
-    counts = ngram.ngram_counts(split_docs(spark, sf), "text", 1, group_col="doc_id")
-    p = loss.doc_perplexity(counts, model(spark, sf), "doc_id")
+    p = al.doc_perplexity(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", al.dense_model(model(spark, sf)))
     return p.select("doc_id", "n_tokens", F.round("perplexity", 6).alias("perplexity"))

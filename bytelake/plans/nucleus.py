@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rng import u01_sql
+from ..operators import aligned as al
 from ..operators import nucleus
 from .models import SQL_BASE, model
 from .registry import query, table
@@ -71,11 +72,11 @@ def q_sample_top_p(spark, sf):
 
 @query(
     "token_logprob",
-    sql=SQL_BASE + _sql_draw("m1", "prob")
-    + " SELECT dr.ctx, dr.next, round(ln(m1.prob), 9) AS logp FROM dr LEFT JOIN m1 ON m1.ctx = dr.ctx AND m1.next = dr.next",
+    sql=SQL_BASE + _sql_draw("m1", "prob").replace("arg_min(next, cum) AS next", "arg_min(next, cum) AS next, arg_min(prob, cum) AS prob").replace("SELECT ctx, next, sum", "SELECT ctx, next, prob, sum")
+    + " SELECT ctx, next, round(ln(prob), 9) AS logp FROM dr",
 )
 def q_token_logprob(spark, sf):
-    m = model(spark, sf, shared=True)  # read by the draw and by the log-prob join
+    m = model(spark, sf, shared=True)  # read by the draw and by the dense vector
     chosen = nucleus.sample_categorical(m, "ctx", "next", "prob", SEED)
-    lp = nucleus.token_logprob(chosen, m)
+    lp = al.token_logprob(chosen, al.dense_model(m))
     return lp.select("ctx", "next", F.round("logp", 9).alias("logp"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import utf8
 from ..functions.rng import u01_sql
+from ..operators import aligned as al
 from ..operators import rewards as rw
 from ..operators import split
 from .fixtures import SQL_COMPLETIONS, completions
@@ -75,11 +76,19 @@ def variants(spark, sf):
     return rw.synthetic_variants(pairs(spark, sf), "pair_id", "response", SEED, rw.REFERENCE_CHANGES)
 
 
+def _candidates(spark, sf):
+    cands = rw.candidates_in_row(completions(spark, sf), "pair_id", "reference", SEED, ("prompt",), rw.REFERENCE_CHANGES)
+    return cands.withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
+
+
 def scored(spark, sf):
     """Every pair's five candidates with their match features, in one pass over the pairs."""
-    cands = rw.candidates_in_row(completions(spark, sf), "pair_id", "reference", SEED, ("prompt",), rw.REFERENCE_CHANGES)
-    x = cands.withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
-    return rw.match_features(x, "__g", "__r").drop("__g", "__r")
+    return rw.match_features(_candidates(spark, sf), "__g", "__r").drop("__g", "__r")
+
+
+def scored_lists(spark, sf, vector=None):
+    """Every pair's five candidates with their per-byte lists (and features), in one pass over the pairs."""
+    return al.aligned_lists(_candidates(spark, sf), "__g", "__r", vector).drop("__g", "__r")
 
 
 @query("synthetic_variants", sql=f"WITH pp AS ({SQL_PAIRS}), {SQL_VARIANTS} SELECT pair_id, cand, gh AS completion_hex FROM var")
@@ -182,11 +191,23 @@ FROM tr t JOIN pp USING (pair_id)"""
 @query("reward_dataset", sql=SQL_REWARD_DATASET)
 def q_reward_dataset(spark, sf):
     """All pairs x 5 candidates x 4 penalty scales: texts, their bytes, the reward list (as a digest here) and totals."""
-    x = rw.reward_dataset(scored(spark, sf)).withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
-    d = rw.with_reward_array(x, "__g", "__r", F.col("scale"))
-    digest = F.md5(F.array_join(F.transform("rewards", lambda v: F.round(v * 1000000.0).cast("long").cast("string")), ","))
+    s = al.aligned_lists(_candidates(spark, sf), "__g", "__r")
+    n = F.size("base")
+
+    def micros(v):
+        return F.round(v * 1000000.0).cast("long").cast("string")
+
+    # all that does not depend on the scale is made before the scales are exploded; only the last element differs
+    s = s.withColumns({
+        "head": F.array_join(F.transform(F.slice("base", 1, F.greatest(n - 1, F.lit(0))), micros), ","), "last": F.try_element_at("base", F.lit(-1)), "n": n,
+        "completion_hex": F.hex("__g"), "reference_hex": F.hex("__r"),
+    }).drop("base", "scores", "__g", "__r", "completion")
+    d = rw.reward_dataset(s)
+    lone = F.when(F.col("gen_len") < F.col("ref_len"), micros(F.col("penalty"))).otherwise(F.lit(""))
+    ended = F.concat(F.col("head"), F.when(F.col("n") > 1, ",").otherwise(""), micros(F.col("last") + F.col("penalty")))
+    digest = F.md5(F.when(F.col("n") > 0, ended).otherwise(lone))
     return d.select(
-        "pair_id", "cand", "scale", "prompt", "reference", F.hex("__g").alias("completion_hex"), F.hex("__r").alias("reference_hex"),
+        "pair_id", "cand", "scale", "prompt", "reference", "completion_hex", "reference_hex",
         F.col("gen_len").cast("long").alias("gen_len"), F.col("ref_len").cast("long").alias("ref_len"),
         "matches", "match_pos_sum", "n_rewards", F.round("total_reward", 9).alias("total_reward"), digest.alias("rewards_md5"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import utf8
 from ..functions.rng import u01_sql
+from ..operators import aligned as al
 from ..operators import evaluate as ev
 from ..operators import rewards as rw
 from ..operators import select as sel
@@ -15,7 +16,7 @@ from ..operators import split
 from .fixtures import SQL_COMPLETIONS, completions
 from .models import SQL_BASE, model
 from .registry import query
-from .rewards import SQL_CANDS, scored, sql_totals
+from .rewards import SQL_CANDS, scored, scored_lists, sql_totals
 from .splits import SQL_PAIRS, pairs
 from .training import SQL_LOGP, _sql_tokens
 
@@ -33,13 +34,10 @@ ss AS (SELECT t1.pair_id, t1.cand, t1.gen_len, t1.ref_len, t1.base + t1.penalty
 
 def scored_with_model(spark, sf):
     """Candidates with totals at scale 1.0 and ``model_score`` = mean log-prob per byte."""
-    s = scored(spark, sf)
-    t = rw.total_reward(s.withColumn("scale", F.lit(1.0)), "scale")
-    g = s.withColumn("__g", utf8("completion"))
-    lp = rw.token_logprobs(g, KEYS, "__g", model(spark, sf)).groupBy(*KEYS).agg(F.avg("logp").alias("model_score"))
-    return t.join(lp, KEYS, "left").withColumn(
-        "model_score", F.round(F.coalesce(F.col("model_score"), F.lit(-math.log(256.0))), 9)
-    )
+    s = scored_lists(spark, sf, al.dense_model(model(spark, sf)))
+    mean = F.when(F.size("logps") > 0, al.total("logps") / F.size("logps")).otherwise(F.lit(-math.log(256.0)))
+    s = s.withColumn("model_score", F.round(mean, 9)).drop("base", "scores", "logps")
+    return rw.total_reward(s.withColumn("scale", F.lit(1.0)), "scale")
 
 
 @query(
@@ -49,7 +47,8 @@ def scored_with_model(spark, sf):
 SELECT pair_id, count(*) AS n_cands, CAST(count_if(accepted) AS BIGINT) AS n_accepted, round(CAST(count_if(accepted) AS BIGINT) / count(*), 6) AS accept_rate FROM a GROUP BY pair_id""",
 )
 def q_accept_reject(spark, sf):
-    a = sel.accept_rate(sel.accept_reject(scored_with_model(spark, sf), 0.5))
+    t = rw.total_reward(scored(spark, sf).withColumn("scale", F.lit(1.0)), "scale")
+    a = sel.accept_rate(sel.accept_reject(t, 0.5))
     return a.select("pair_id", "n_cands", "n_accepted", F.round("accept_rate", 6).alias("accept_rate"))
 
 

@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import utf8
 from ..functions.rng import u01, u01_sql
+from ..operators import aligned as al
 from ..operators import metrics
 from ..operators import rewards as rw
 from ..operators import split
 from .fixtures import completions
 from .models import SQL_BASE, model
 from .registry import query
-from .rewards import SQL_CANDS, scored
+from .rewards import SQL_CANDS, scored_lists
 from .splits import SQL_PAIRS, pairs
 
 SEED = 42
 KEYS = ["pair_id", "cand"]
 
 
-def _with_bytes(df):
-    return df.withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
-
-
 def _sql_tokens(scale: str) -> str:
     """CTEs: tk (match per common position), rule (rewards incl. end penalty), scd (alpha/beta scheme), seq."""
     return f""", tk AS (SELECT pair_id, cand, gen_len, ref_len, unnest(range(0, least(gen_len, ref_len))) AS pos,
@@ -40,15 +37,6 @@ scd AS (SELECT pair_id, cand, pos, CASE WHEN m THEN 1.0 ELSE -0.5 END AS reward
 seq AS (SELECT pair_id, cand, avg(reward) AS score, max(pos) AS lastp FROM scd GROUP BY pair_id, cand)"""
 
 
-def _rule_and_scored(spark, sf, scale):
-    s = _with_bytes(scored(spark, sf))
-    rule = rw.token_rewards(s, KEYS, "__g", "__r", F.lit(scale))
-    m = rw.token_matches(s, KEYS, "__g", "__r")
-    sc = m.select(*KEYS, "pos", F.when(F.col("match"), 1.0).otherwise(-0.5).alias("reward"))
-    seq = sc.groupBy(*KEYS).agg(F.avg("reward").alias("score"))
-    return s, rule, sc, seq
-
-
 @query(
     "hybrid_reward",
     sql=SQL_CANDS + _sql_tokens("2.5")
@@ -60,9 +48,9 @@ SELECT pair_id, cand, count(*) AS n_tokens, round(sum(h), 6) AS hybrid_total FRO
 def q_hybrid_reward(spark, sf):
     """Rule rewards (scale 2.5) blended 0.3/0.7 with a stand-in scored list (+1 match / -0.5 mismatch,
     sequence score = its mean) on the common prefix of every candidate."""
-    _, rule, sc, seq = _rule_and_scored(spark, sf, 2.5)
-    h = rw.hybrid_reward(rule, sc, seq, KEYS, 0.7)
-    return h.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("reward"), 6).alias("hybrid_total"))
+    s = scored_lists(spark, sf).withColumn("rule", al.with_end_penalty(F.lit(2.5))).where(F.size("base") > 0)
+    h = s.select(*KEYS, al.hybrid_list("rule", "scores", 0.7).alias("h"))
+    return h.select(*KEYS, F.size("h").cast("long").alias("n_tokens"), F.round(al.total("h"), 6).alias("hybrid_total"))
 
 
 SQL_LOGP = """, lt AS (SELECT pair_id, cand, unnest(range(0, gen_len)) AS pos,
@@ -89,13 +77,9 @@ FROM sc LEFT JOIN a USING (pair_id, cand) LEFT JOIN kl USING (pair_id, cand)""",
 def q_policy_loss(spark, sf):
     """REINFORCE loss of each candidate: log-probs under the counted model x rule rewards (scale 1), plus 0.1 times the
     summed per-byte KL estimate against the uniform reference (log-prob minus ln 1/256), divided by 4 steps."""
-    s, rule, _, _ = _rule_and_scored(spark, sf, 1.0)
-    lp = rw.token_logprobs(s, KEYS, "__g", model(spark, sf))
-    kl = lp.select(*KEYS, "pos", (F.col("logp") + F.lit(math.log(256.0))).alias("kl"))
-    loss = rw.policy_loss(lp, rule, KEYS, kl, accumulation=4)
-    out = s.select(*KEYS).join(loss, KEYS, "left")
-    zero = {c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("policy_loss", "kl_loss", "scaled_loss", "avg_reward")}
-    return out.select(*KEYS, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *zero.values())
+    s = scored_lists(spark, sf, al.dense_model(model(spark, sf))).withColumn("rule", al.with_end_penalty(F.lit(1.0)))
+    loss = al.policy_loss_lists(s, "rule", "logps", -math.log(256.0), accumulation=4)
+    return loss.select(*KEYS, "n_tokens", *[F.round(c, 6).alias(c) for c in ("policy_loss", "kl_loss", "scaled_loss", "avg_reward")])
 
 
 @query(
@@ -111,29 +95,26 @@ FROM b GROUP BY batch""",
 )
 def q_reward_fit_error(spark, sf):
     """Stand-in predictions (the alpha/beta scheme and its mean) against rule targets, 10 batches."""
-    _, rule, sc, seq = _rule_and_scored(spark, sf, 1.0)
-    tseq = rule.groupBy(*KEYS).agg(F.sum("reward").alias("score"))
-    tseq = tseq.withColumn("batch", F.floor(u01(SEED, F.lit("fit"), F.col("pair_id")) * 10).cast("long"))
-    e = rw.reward_fit_error(sc, rule, seq, tseq, KEYS, "batch")
-    return e.select("batch", *[F.round(c, 6).alias(c) for c in ("token_mse", "seq_se", "loss")], "n")
+    s = scored_lists(spark, sf).select(*KEYS, "scores", al.with_end_penalty(F.lit(1.0)).alias("rule"))
+    batch = F.floor(u01(SEED, F.lit("fit"), F.col("pair_id")) * 10).cast("long").alias("batch")
+    e = al.fit_errors(s, "rule", "scores").groupBy(batch)
+    return e.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("token_mse", "seq_se", "loss")], F.count(F.lit(1)).alias("n"))
 
 
 # ---- metric history: one episode per pair, in shuffled order -------------------------------------
 
 SQL_PASS = f"""ep_n AS (SELECT pair_id, row_number() OVER (ORDER BY {u01_sql(SEED, "'shuffle'", 'pair_id')}, pair_id) - 1 AS e, count(*) OVER () AS n
   FROM ({SQL_PAIRS})),
-ep AS (SELECT CAST(e AS INTEGER) AS episode, pair_id, 1.0::DOUBLE + e::DOUBLE / greatest(1, n - 1) * 1.5::DOUBLE AS penalty_scale FROM ep_n)"""
+ep AS (SELECT e AS episode, pair_id, 1.0::DOUBLE + e::DOUBLE / greatest(1, n - 1) * 1.5::DOUBLE AS penalty_scale FROM ep_n)"""
 
 
 def history(spark, sf):
     p = split.shuffle_rows(pairs(spark, sf).select("pair_id"), "pair_id", SEED, "episode")
     n = p.agg(F.count(F.lit(1))).scalar()
-    plan = p.select("pair_id", F.col("episode").cast("int").alias("episode"), rw.penalty_scale("episode", n, 2.5).alias("penalty_scale"))
-    c = completions(spark, sf).withColumn("cand", F.lit("model")).withColumn("__g", utf8("completion")).withColumn("__r", utf8("reference"))
-    s = c.withColumn("gen_len", F.octet_length("__g")).withColumn("ref_len", F.octet_length("__r"))
-    base = rw.token_rewards(s, KEYS, "__g", "__r", F.lit(0.0))
-    lp = rw.token_logprobs(s, KEYS, "__g", model(spark, sf))
-    return metrics.metrics_history(plan, s, base, lp)
+    plan = p.select("pair_id", "episode", rw.penalty_scale("episode", n, 2.5).alias("penalty_scale"))
+    c = completions(spark, sf).select("pair_id", utf8("completion").alias("__g"), utf8("reference").alias("__r"))
+    s = al.aligned_lists(c, "__g", "__r", al.dense_model(model(spark, sf))).drop("__g", "__r")
+    return metrics.metrics_history(plan, al.episode_sums(s))
 
 
 SQL_HISTORY_BASE = (
