@@ -8,19 +8,25 @@ bucket table (bounded by ``buckets`` rows) is broadcast; rows are never gathered
 Bucket assignment:
 * ``uniform_col`` given (a column known to be uniform on [0, 1) and first in the order, such as
   :func:`bytelake.functions.rng.u01`): ``floor(u * buckets)`` — no sampling at all;
-* otherwise: boundary keys of the first order column in its own type and ordering (numbers, strings,
-  timestamps), taken from a sample of about 64 keys per bucket.  The boundaries are read to the driver
-  once and put into the plan as constants, so all branches and retries see the same ones; they only decide how even the
-  buckets are, never the result.
+* otherwise: range partitions of the order columns.  Rows are sorted inside their partition and numbered or summed as they stream by,
+  the table is written once (so that totals and rows see the same partitions), and partition totals become offsets.  No key
+  reaches the driver.
+
+Running values per group cut each group at boundary keys of the first order column (64 buckets, a bounded sample read to the driver).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -51,7 +57,32 @@ def _bucketed(df: DataFrame, order_cols: list[str], buckets: int | None, uniform
         if uniform_col != order_cols[0]:
             raise ValueError("uniform_col must be the first order column")
         return df.withColumn("__bkt", F.least(F.floor(F.col(uniform_col) * nb).cast("int"), F.lit(nb - 1)))
-    return _by_bounds(df, order_cols[0], nb)
+    raise ValueError("buckets need a uniform column")
+
+
+def _by_range(df: DataFrame, order_cols: list[str], value: Column, out: str, buckets: int) -> DataFrame:
+    """Exclusive sums over range partitions of the order columns."""
+    x = df.withColumn("__v", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
+    at = x.columns.index("__v")
+    names = [*x.columns, "__part", "__run"]
+
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            v = batch.column(at).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(v)
+            total = int(sums[-1]) if len(v) else total
+            own = pa.array(np.full(len(v), part, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own, pa.array(sums - v)], names=names)
+
+    keys = [F.col(c) for c in order_cols]
+    ranged = x.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    summed = cut_lineage(ranged.mapInArrow(run, x.schema.add("__part", "long").add("__run", "long")))
+    totals = summed.groupBy("__part").agg(F.sum("__v").alias("__n"))
+    # tiny table (one row a partition): a global window here is a single small task by design
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__part", F.coalesce(before, F.lit(0)).alias("__off"))
+    return summed.join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__off") + F.col("__run")).cast("long")).drop("__part", "__run", "__v", "__off")
 
 
 def _by_bounds(df: DataFrame, first: str, nb: int) -> DataFrame:
@@ -71,6 +102,8 @@ def _by_bounds(df: DataFrame, first: str, nb: int) -> DataFrame:
 def _exclusive_prefix(
     df: DataFrame, order_cols: list[str], value: Column, out: str, buckets: int | None, uniform_col: str | None
 ) -> DataFrame:
+    if uniform_col is None:
+        return _by_range(df, order_cols, value, out, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     tagged = _bucketed(df, order_cols, buckets, uniform_col).withColumn("__v", value)
     totals = tagged.groupBy("__bkt").agg(F.sum("__v").alias("__n"))
     # tiny table (<= buckets rows): a global window here is a single small task by design

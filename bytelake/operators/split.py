@@ -84,33 +84,35 @@ def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, oversample: float = 4.0) -> DataFrame:
+ONE_TASK = 10_000  # rows that one task may order
+
+
+def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
     """``n`` rows without replacement (the whole table when n >= size): the ``n`` smallest ``u01`` draws.
 
-    Exact without sorting the table: rows with ``u01 < t`` (``t`` sized for about ``oversample * n``
-    rows) are counted; when at least ``n`` fall below ``t`` the answer lies among them and only they
-    are ordered, otherwise every row is.
+    Up to ``one_task`` rows, each task keeps its ``n`` smallest and those are merged (one scan); beyond, the n-th order
+    statistic is found by selection and rows are compared with it where they are read, so no task ever holds the sample.
     """
-    x = df.withColumn("__u", u01(seed, F.lit("sample"), key))
-    total = _n_rows(df)
-    t = F.least(F.lit(1.0), F.lit(float(n * oversample + 64)) / F.greatest(total, F.lit(1)))
-    below = x.where(F.col("__u") < t).agg(F.count(F.lit(1))).scalar()
-    cut = F.when(below >= n, t).otherwise(F.lit(2.0))
-    return x.where(F.col("__u") < cut).orderBy("__u", key).limit(n).drop("__u")
+    u = u01(seed, F.lit("sample"), key)
+    if n <= one_task:
+        return df.withColumn("__u", u).orderBy("__u", key).limit(n).drop("__u")
+    return with_cuts(df, u, key, lambda _: [F.lit(n)], lambda before: before(0), "__in").where("__in").drop("__in")
 
 
 def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out: str = "draw") -> DataFrame:
     """``m`` draws with replacement (a training batch): draw j picks row ``floor(u01(seed, "draw", j) * N)``.
 
-    Rows get a dense index (distributed rank by key); draws join to it on the index, so a row
-    drawn many times is matched by hash join without gathering anything.
+    Only keys are indexed (distributed rank); the ``m`` drawn keys then meet the rows where they are read (up to a million
+    draws, beyond by a shuffle), so rows are not moved to be numbered.
     """
-    n = _n_rows(df)
-    indexed = with_row_index(df, [key], "__idx")
+    keys = with_row_index(df.select(key), [key], "__idx")
+    n = _n_rows(keys)
     draws = df.sparkSession.range(m).select(
         F.col("id").alias(out), F.floor(u01(seed, F.lit("draw"), "id") * n).cast("long").alias("__idx")
     )
-    return indexed.join(draws, "__idx").select(out, *df.columns)
+    small = F.broadcast if m <= 1_000_000 else (lambda x: x)
+    chosen = keys.join(small(draws), "__idx").select(out, key)
+    return df.join(small(chosen), key).select(out, *df.columns)
 
 
 def episode_plan(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..config import MOCK_RESPONSE, REWARD_SCALES
 from ..sources import mock, parquet, sinks
-from .registry import ensure_scratch, query, table
+from ..session import keep_until_drop
+from .registry import ensure_scratch, materialize, query, table
 from .rewards import SQL_REWARD_DATASET, q_reward_dataset
 from .training import SQL_HISTORY_BASE, history
 
-DATASET_VERSION = "v2"
+DATASET_VERSION = "v3"
 
 
 @query("source_fallback", sql="SELECT doc_id, lang FROM documents")
@@ -42,16 +43,20 @@ def q_mock_pairs(spark, sf):
   gen_len, ref_len, CAST(ceil(episode / 20) AS INTEGER) AS snapshot FROM hist""",
 )
 def q_write_history(spark, sf):
-    """Append the episode history to a fresh folder (snapshot partitions of 20 episodes), read it back."""
-    root = ensure_scratch(spark)
-    path = f"{root}/bytelake-history/{uuid.uuid4().hex}"
+    """Append the episode history in two parts (snapshot partitions of 20 episodes; the cut lies inside a snapshot), repeat the second append,
+    which changes nothing, and read the history back."""
+    path = keep_until_drop(f"{ensure_scratch(spark)}/bytelake-history/{uuid.uuid4().hex}")
     h = history(spark, sf).select("episode", *[F.round(c, 6).alias(c) for c in ("penalty_scale", "policy_loss", "avg_reward")], "gen_len", "ref_len")
-    sinks.write_history(h, path, every=20)
+    h = materialize(h)
+    first = F.col("episode") <= 30
+    for part in (h.where(first), h.where(~first), h.where(~first)):
+        sinks.append_history(part, path, every=20)
     return spark.read.parquet(path).select("episode", "penalty_scale", "policy_loss", "avg_reward", "gen_len", "ref_len", F.col("snapshot").cast("int"))
 
 
 @query("reuse_or_build", sql=SQL_REWARD_DATASET)
 def q_reuse_or_build(spark, sf):
-    """The reward dataset, built once for these conversations and parameters and reused from the shared folder afterwards."""
-    mark = sinks.fingerprint([table(spark, sf, "conversations")], "reward_dataset", DATASET_VERSION, REWARD_SCALES)
-    return sinks.reuse_or_build(spark, f"{ensure_scratch(spark)}/bytelake-datasets/{mark}", lambda: q_reward_dataset(spark, sf))
+    """The reward dataset, published once for these conversation files and parameters and reused from the shared folder afterwards."""
+    mark = sinks.manifest(spark, [f"{sf.rstrip('/')}/conversations.parquet"], "reward_dataset", DATASET_VERSION, REWARD_SCALES)
+    path = keep_until_drop(f"{ensure_scratch(spark)}/bytelake-datasets/{mark}")
+    return sinks.reuse_or_build(spark, path, lambda: q_reward_dataset(spark, sf))

@@ -65,8 +65,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_until_drop(path: str) -> str:
+    """Let :func:`drop_written` delete ``path`` as well."""
+    if path not in _written:
+        _written.append(path)
+    return path
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete the tables :func:`cut_lineage` wrote; call it when no result that reads them is needed any more."""
+    """Delete the tables :func:`cut_lineage` wrote and the folders of :func:`keep_until_drop`; call it when no result that reads them is
+    needed any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         p = jvm.org.apache.hadoop.fs.Path(_written.pop())

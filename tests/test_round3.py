@@ -142,3 +142,35 @@ def test_doc_perplexity(spark):
             assert i not in got
         else:
             assert got[i].n_tokens == len(nll) and got[i].perplexity == pytest.approx(math.exp(sum(nll) / (len(nll) + 1e-9)))
+
+
+def test_large_samples_are_cut_by_selection(spark):
+    df = spark.range(3000).withColumn("payload", F.repeat(F.lit("y"), 9))
+    small, large = (split.sample_fixed_n(df, "id", 700, 5, one_task=t) for t in (1000, 100))
+    assert not any("payload" in line for line in exchanges(large))
+    assert sorted(r.id for r in small.collect()) == sorted(r.id for r in large.collect())
+    assert split.sample_fixed_n(df, "id", 5000, 5, one_task=10).count() == 3000
+
+
+def test_appended_history_is_written_once(spark, tmp_path):
+    from bytelake.sources import sinks
+
+    path = str(tmp_path / "history")
+    rows = spark.range(1, 61).select(F.col("id").alias("episode"), (F.col("id") * 2).alias("v"))
+    for part in (rows.where("episode <= 30"), rows.where("episode > 30"), rows.where("episode > 30"), rows.where("episode = 35").withColumn("v", F.lit(7).cast("long"))):
+        sinks.append_history(part, path)
+    got = {r.episode: (r.v, r.snapshot) for r in spark.read.parquet(path).collect()}
+    assert got == {e: (7 if e == 35 else 2 * e, -(-e // 20)) for e in range(1, 61)}
+
+
+def test_datasets_are_published_whole_and_once(spark, tmp_path):
+    from bytelake.sources import sinks
+
+    path, data = f"{tmp_path}/set", f"{tmp_path}/in"
+    assert sinks.publish(spark.range(5), path) and not sinks.publish(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["set"]
+    spark.range(3).write.parquet(data)
+    mark = sinks.manifest(spark, [data], 1)
+    assert mark == sinks.manifest(spark, [data], 1) != sinks.manifest(spark, [data], 2)
+    spark.range(1).write.mode("append").parquet(data)
+    assert mark != sinks.manifest(spark, [data], 1)
