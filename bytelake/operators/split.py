@@ -87,16 +87,22 @@ def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
 ONE_TASK = 10_000  # rows that one task may order
 
 
-def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
+def sample_fixed_n(df: DataFrame, key: str, n: int, seed: int = 42, oversample: float = 4.0, one_task: int = ONE_TASK) -> DataFrame:
     """``n`` rows without replacement (the whole table when n >= size): the ``n`` smallest ``u01`` draws.
 
-    Up to ``one_task`` rows, each task keeps its ``n`` smallest and those are merged (one scan); beyond, the n-th order
+    Up to ``one_task`` rows: rows with ``u01 < t`` (``t`` sized for about ``oversample * n`` rows) are counted; when at least
+    ``n`` fall below ``t`` the answer lies among them and only they are ordered, otherwise every row is.  Beyond, the n-th order
     statistic is found by selection and rows are compared with it where they are read, so no task ever holds the sample.
     """
     u = u01(seed, F.lit("sample"), key)
-    if n <= one_task:
-        return df.withColumn("__u", u).orderBy("__u", key).limit(n).drop("__u")
-    return with_cuts(df, u, key, lambda _: [F.lit(n)], lambda before: before(0), "__in").where("__in").drop("__in")
+    if n > one_task:
+        return with_cuts(df, u, key, lambda _: [F.lit(n)], lambda before: before(0), "__in").where("__in").drop("__in")
+    x = df.withColumn("__u", u)
+    total = _n_rows(df)
+    t = F.least(F.lit(1.0), F.lit(float(n * oversample + 64)) / F.greatest(total, F.lit(1)))
+    below = x.where(F.col("__u") < t).agg(F.count(F.lit(1))).scalar()
+    cut = F.when(below >= n, t).otherwise(F.lit(2.0))
+    return x.where(F.col("__u") < cut).orderBy("__u", key).limit(n).drop("__u")
 
 
 def draw_with_replacement(df: DataFrame, key: str, m: int, seed: int = 42, out: str = "draw") -> DataFrame:

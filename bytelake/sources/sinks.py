@@ -59,6 +59,8 @@ def publish(df: DataFrame, path: str) -> bool:
     staged = f"{path.rstrip('/')}.building-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    if _fs_exists(spark, path) and not _fs_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        target.getFileSystem(conf).delete(target, True)  # never published: what an interrupted build of another kind left
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
         # unlike FileSystem.rename, this one never moves into a folder that exists
@@ -73,7 +75,7 @@ def publish(df: DataFrame, path: str) -> bool:
 
 def reuse_or_build(spark: SparkSession, path: str, build_fn: Callable[[], DataFrame]) -> DataFrame:
     """Read the dataset published at ``path`` or build and publish it.  The path should hold :func:`manifest` of all inputs and parameters."""
-    if not _fs_exists(spark, path):
+    if not _fs_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         publish(build_fn(), path)
     return spark.read.parquet(path)
 
