@@ -47,7 +47,10 @@ def to_word(token: str) -> str:
     if w.isalpha():
         return w
     w = w.strip(".,;:!?")
-    return w if w.isalpha() else _NOT_LETTERS.sub("", w)
+    if w.isalpha():
+        return w
+    w = _NOT_LETTERS.sub("", w)
+    return w if any(map(str.isalpha, w)) else ""  # numbers such as one half or the Roman eight aren't letters
 
 
 def features(word: str) -> list[str]:

@@ -66,6 +66,15 @@ def test_words():
     assert [to_word(t) for t in ("Thon.", "|", "42", "l'été,", "(x)", "", "_a_")] == ["thon", "", "", "l'été", "x", "", "a"]
 
 
+def test_signs_that_are_no_letters_are_no_words(spark):
+    assert [to_word(x) for x in ["½", "²", "Ⅷ", "_", "x²", "½a", "ª"]] == ["", "", "", "", "x²", "½a", "ª"]
+    rows = [(i, "the cat sat on the mat", "en") for i in range(30)] + [(i, "le chat est sur la table", "fr") for i in range(30, 60)]
+    df = spark.createDataFrame([*rows, (100, "½ ² Ⅷ", "fr"), (101, "½ 12 . _", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_language(df).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[0][0] == "en"
+    assert {r.doc_id for r in keep_identified(df).collect()} == set(range(60))
+
+
 def test_odd_rows(spark):
     train = [(100 + k, t, lang) for k, (i, t, lang) in enumerate(labelled(spark)) if k < 200]
     odd = [(1, None, "en"), (2, "", "en"), (3, "12 | 34", None), (4, "the of and " * 60_000, None), (5, "the of and", None), (5, "the of and", None), (None, "the and of", None)]
