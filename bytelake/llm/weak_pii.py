@@ -1,13 +1,16 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Candidate spans come from patterns (the four base kinds, and ssn, iban and name).  Four labelers vote on each
+Candidate spans come from patterns: the four base kinds, and wider ones that also match much that is not personal: ssn, iban,
+titled names (name), first and last names (person), numbers without a plus sign or inside longer runs of digits (tel, pan), dates
+of birth (birth), street addresses (street) and spelled-out mail addresses (worded).  Four labelers vote on each
 candidate, yes (+), no (-) or nothing (0): a strict pattern, a gazetteer (top-level domains, reserved networks,
 issuer prefixes, calling codes, country codes, first names), context words before the span, and whether the
-span stands alone.  Candidates are counted by (kind, votes, length bucket): at most ``7 * 81 * 4`` groups, whatever the
+span stands alone.  Candidates are counted by (kind, votes, length bucket): at most ``13 * 81 * 6`` groups, whatever the
 input.  Expectation-maximisation on those counts estimates how often each labeler votes which way for real and
 for false spans and the share of real spans of each kind; its posteriors are the soft labels on which the final
 classifier, a logistic regression over kind, votes and length, is fitted.  Base spans always stay; spans of the
-other kinds are added if the classifier gives them at least one half.
+other kinds are added if the classifier gives them at least one half and they touch no base span and no longer
+span that is added (of equal ones the first kind stays).
 
 The candidates of each document are one array column of a written table; nothing is shuffled but the counts.
 Patterns use possessive loops and start only at the first character of a run, so very long runs take linear
@@ -38,7 +41,23 @@ BASE = ("email", "ip", "card", "phone")
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?"
-PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "ssn": SSN, "iban": IBAN, "name": NAME}
+TEL = (
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[.-])"
+    r"[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])(?![.-][0-9])"
+)
+PAN = r"(?<![0-9])(?:[0-9]{15,16}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4})(?![0-9])"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})"
+BIRTH = rf"(?<![\p{{L}}0-9])(?i:born|birth|birthday|dob|geboren|geburtsdatum|née?|nacid[oa])[^0-9\n]{{0,20}}{_DATE}(?![0-9])"
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square|Way"
+STREET = rf"(?<![0-9A-Za-z])[0-9]{{1,5}}\x20(?:[A-Z][a-z]{{1,20}}\x20){{1,3}}(?:{_STREETS})(?![A-Za-z])"
+_DOT = r"\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?"
+WORDED = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,4}}"
+FIRST_NAMES = "Anna|Anne|Carlos|Daniel|David|Emma|Eva|Hans|Jean|John|Jose|Julia|Laura|Luis|Maria|Marie|Mary|Max|Michael|Paul|Peter|Sara|Thomas"
+PERSON = rf"(?<![\p{{L}}0-9])(?:{FIRST_NAMES})\x20[A-Z][a-z]{{1,30}}(?!\p{{L}})"
+PATTERNS = {
+    "email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "ssn": SSN, "iban": IBAN, "name": NAME,
+    "tel": TEL, "pan": PAN, "birth": BIRTH, "street": STREET, "worded": WORDED, "person": PERSON,
+}
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 STRICT = {
@@ -49,6 +68,12 @@ STRICT = {
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,40}$",
     "name": r"^\p{L}+\.?\x20[A-Z][a-z]+\x20[A-Z][a-z]+$",
+    "tel": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-]|[2-9][0-9]{2}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}$",
+    "pan": r"^(?:[0-9]{16}|3[47][0-9]{13}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})$",
+    "birth": r"(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|[12][0-9]|3[01])[./](?:19|20)[0-9]{2})$",
+    "street": r"^[1-9][0-9]{0,4}\x20(?:[A-Z][a-z]+\x20){1,2}[A-Z][a-z]+$",
+    "worded": r"[\[(]\x20?dot\x20?[\])]|\.[a-z]{2,}$",
+    "person": r"^[A-Z][a-z]+\x20[A-Z][a-z]{2,}$",
 }
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|nl|ch|at)$",
@@ -57,7 +82,13 @@ GAZETTEER = {
     "phone": r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "ssn": r"^(?:[0-6][0-9]{2}|7[0-6][0-9]|77[0-2])",
     "iban": r"^(?:AD|AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK)",
-    "name": r"\x20(?:Anna|Anne|Carlos|Daniel|David|Emma|Eva|Hans|Jean|John|Jose|Julia|Laura|Luis|Maria|Marie|Mary|Max|Michael|Paul|Peter|Sara|Thomas)\b",
+    "name": rf"\x20(?:{FIRST_NAMES})\b",
+    "tel": r"^(?:\+|\(?0?[2-9])(?!.*(?:\.[0-9]{3}\.[0-9]{3}$))",
+    "pan": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
+    "birth": r"(?:19[2-9][0-9]|20[01][0-9])(?:-[0-9]{2}-[0-9]{2})?$",
+    "street": r"(?:Street|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)$",
+    "worded": r"(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|nl|ch|at)$",
+    "person": r"\x20(?!(?:Street|Avenue|Road|University|Institute|Prize|Award|Airport|Square|Bridge|Church|Hall|Island|Bay)$)",
 }
 CUES = {
     "email": "mail|contact|write|reach|from|to:",
@@ -67,8 +98,14 @@ CUES = {
     "ssn": "ssn|social|security",
     "iban": "iban|account|konto|compte|cuenta|bank",
     "name": "name|sign|dear|contact|by|von|de|por",
+    "tel": "tel|phone|call|fax|mobil|whatsapp|sms|dial|contact|reach",
+    "pan": "card|visa|master|credit|pay|carte|tarjeta|karte",
+    "birth": "patient|name|she|he|was|date|on|er|sie",
+    "street": "address|live|ship|at|resid|deliver|home|send|office",
+    "worded": "mail|contact|write|reach|from|to|me",
+    "person": "name(?!d)|sign|dear|contact|by|with|ask|call|customer|patient|regards|from",
 }
-COUNTER_CUES = r"version|release|isbn|issn|order|invoice|serial|part no|sku|build"
+COUNTER_CUES = r"version|release|isbn|issn|order|invoice|serial|part no|sku|build|revision|ticket|statue|named after"
 LABELERS = 4
 
 
@@ -105,10 +142,12 @@ def _holds(kind: str, value: Column) -> Column:
     n = F.length(digits)
     if kind == "ip":
         return value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
-    if kind == "card":
+    if kind in ("card", "pan"):
         return F.when(n.between(13, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
+    if kind == "tel":
+        return n.between(8, 15)
     return F.lit(True)
 
 
@@ -222,11 +261,25 @@ def weak_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
         "spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.element_at(lookup, s["group"]).alias("score"))
     )
     found = found.select(id_col, scored.alias("_all"))
-    return found.select(
+    found = found.select(
         id_col,
         F.filter("_all", lambda s: s["kind"].isin(*BASE)).alias("base"),
-        F.filter("_all", lambda s: ~s["kind"].isin(*BASE) & (s["score"] >= least)).alias("added"),
+        F.filter("_all", lambda s: ~s["kind"].isin(*BASE) & (s["score"] >= least)).alias("_more"),
     )
+    order = list(PATTERNS)
+
+    def beats(o, s):
+        longer, same = o["stop"] - o["start"] > s["stop"] - s["start"], o["stop"] - o["start"] == s["stop"] - s["start"]
+        rank = F.array(*map(F.lit, order))
+        return longer | (same & (F.array_position(rank, o["kind"]) < F.array_position(rank, s["kind"])))
+
+    def touches(o, s):
+        return (o["start"] < s["stop"]) & (s["start"] < o["stop"])
+
+    free = F.filter(
+        "_more", lambda s: ~F.exists("base", lambda b: touches(b, s)) & ~F.exists("_more", lambda o: touches(o, s) & beats(o, s))
+    )
+    return found.select(id_col, "base", free.alias("added"))
 
 
 def _joined(spans: Column) -> Column:
