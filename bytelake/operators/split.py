@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bloom import bloom_filter, may_contain
 from ..functions.rank import with_row_index
 from ..functions.rng import u01
 from ..functions.selection import with_cuts
@@ -67,15 +68,19 @@ def split_leak_check(a: DataFrame, b: DataFrame, key: str, text_col: str) -> Dat
     """One row: sizes and how many rows of ``b`` also occur in ``a`` by key and by exact text.
 
     Text is matched on its SHA-256, so no text is shuffled; both build sides are de-duplicated (a text repeated many
-    times is one build row), and each side is scanned once per key.
+    times is one build row).  Keys and digests of ``b`` fill two Bloom filters of fixed size; only the rows of ``a`` that pass them are shuffled
+    for the exact joins, so what moves of ``a`` falls with the overlap.
     """
-    digest = F.unhex(F.sha2(F.col(text_col), 256)).alias("__d")
-    ka = a.select(key, F.lit(True).alias("__k")).distinct()
-    ta = a.select(digest, F.lit(True).alias("__t")).distinct()
-    bb = b.select(key, digest).join(ka, key, "left").join(ta, "__d", "left")
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    sides = [(F.col(key), "__k"), (digest, "__t")]
+    ka, ta = (
+        may_contain(a.select(v.alias("__v")), F.col("__v"), bloom_filter(b.select(v.alias("__v")), F.col("__v"))).distinct().select(F.col("__v").alias(n), F.lit(True).alias(n + "in"))
+        for v, n in sides
+    )
+    bb = b.select(F.col(key).alias("__k"), digest.alias("__t")).join(ka, "__k", "left").join(ta, "__t", "left")
     found = bb.agg(
-        F.count(F.lit(1)).alias("n_b"), F.count("__k").alias("key_overlap"), F.count("__t").alias("text_overlap"),
-        F.count(F.when(F.col("__k").isNull(), 1)).alias("key_only_b"),
+        F.count(F.lit(1)).alias("n_b"), F.count("__kin").alias("key_overlap"), F.count("__tin").alias("text_overlap"),
+        F.count(F.when(F.col("__kin").isNull(), 1)).alias("key_only_b"),
     )
     return found.select(_n_rows(a).alias("n_a"), "n_b", "key_overlap", "text_overlap", "key_only_b")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u01_sql
 from ..operators import aligned as al
+from ..operators import alias
 from ..operators import nucleus
 from .models import SQL_BASE, model
 from .registry import query, table
@@ -80,3 +81,15 @@ def q_token_logprob(spark, sf):
     chosen = nucleus.sample_categorical(m, "ctx", "next", "prob", SEED)
     lp = al.token_logprob(chosen, al.dense_model(m))
     return lp.select("ctx", "next", F.round("logp", 9).alias("logp"))
+
+
+@query("alias_tables", sql=SQL_BASE + " SELECT ctx, next, round(prob, 9) AS prob FROM m1")
+def q_alias_tables(spark, sf):
+    """The next-byte distribution as alias tables, read back from the tables' slots."""
+    return alias.implied_masses(alias.build(model(spark, sf), "ctx", "next", "prob"), "ctx", "next").select("ctx", "next", F.round("prob", 9).alias("prob"))
+
+
+@query("sample_alias")
+def q_sample_alias(spark, sf):
+    """256 continuations drawn per context."""
+    return alias.draw(alias.build(model(spark, sf), "ctx", "next", "prob"), "ctx", "next", 256, SEED)
