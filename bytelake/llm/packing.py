@@ -2,14 +2,14 @@
 
 A document's token ids (with the end id) are cut into pieces whose lengths are the binary digits of its
 length: as many pieces of ``max_len`` as fit, then one piece for each bit of the rest, largest first.  Each
-piece is a training sequence of its own, so no sequence crosses documents and none needs padding; batches are
-drawn from one bucket (log2 of the length) at a time.  One pass over the texts, no shuffle.
+piece is a training sequence of its own, so no sequence crosses documents and none needs padding.  Pieces are written once, brought
+together by bucket (log2 of the length) and numbered there, so batches are drawn from a range of sequence ids of one length.
 
 Ids are those of the tokenizer file (a parameter; it must be a byte-level BPE) as loaded: where a text holds one of the
 file's added tokens, such as ``<|endoftext|>``, it has that token's id.
 
-Defined results: a null or empty text is one piece holding the end id; equal rows are packed separately; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is one piece holding the end id; equal rows are packed separately (their
+pieces are interchangeable); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small, stored, text_or_empty
 from .registry import query, table
 
 MAX_LEN = 1024
 END_ID = 0
+SLOT_BITS = 12  # ranges a bucket when pieces are numbered
+CROWDED, CELLS = 50_000, 1024  # equal pieces that are spread, and over how many ranges
 _TWO_BLANKS = re.compile(r"\s\s")
 
 
@@ -123,13 +125,35 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     pieces = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t")).mapInArrow(run, schema)
-    return pieces.select(
-        F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
-        F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-        F.log2("length").cast("int").alias("bucket"), *(["ids"] if with_ids else []),
+    return _bucketed(stored(pieces, "pieces")).select(
+        F.col("_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"),
+        "bucket", *(["ids"] if with_ids else []),
     )
 
 
+def _bucketed(pieces: DataFrame) -> DataFrame:
+    """Groups pieces of equal length: ``bucket`` (log2 of the length) and ``sequence_id``, gapless from 0, shortest bucket first.
+
+    Inside its bucket a piece is placed by a hash of (id, start, ids_crc32), so its number depends on the rows alone, not on partitions.  Ranges
+    of that hash are counted (``2^SLOT_BITS`` a bucket, a bounded table) and numbered one by one.  More than ``CROWDED`` equal pieces, such as those
+    of one row repeated in number, are spread over ``CELLS`` ranges of their own; which of them gets which number doesn't matter.
+    """
+    place = F.xxhash64("_id", "start", "ids_crc32")
+    rows = pieces.withColumns({"bucket": F.log2("length").cast("int"), "_h": place, "_slot": F.shiftrightunsigned(place, 64 - SLOT_BITS)})
+    hot = rows.groupBy("bucket", "_h").count().filter(F.col("count") > CROWDED).select(F.col("bucket").alias("_hb"), F.col("_h").alias("_hot"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(CELLS))
+    rows = rows.withColumn("_spread", spread).join(small(stored(hot, "hot-pieces")), (F.col("bucket") == F.col("_hb")) & (F.col("_h") == F.col("_hot")), "left")
+    cell = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.col("_spread"))
+    rows = rows.withColumns({"_cell": cell, "_hot": F.coalesce("_hot", F.lit(0))}).drop("_hb", "_spread")
+    range_of = ["bucket", "_slot", "_hot", "_cell"]
+    counts = rows.groupBy(*range_of).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*range_of).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*range_of, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    at = F.row_number().over(Window.partitionBy(*range_of).orderBy("_h", "_id", "start", "ids_crc32"))
+    rows = rows.join(F.broadcast(offsets), range_of)
+    return rows.withColumn("sequence_id", (F.col("_off") + at - 1).cast("long")).drop(*range_of[1:], "_off", "_h")
+
+
 @query("op10_power_of_two_packing")
 def op10(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from bytelake.llm import packing
 from bytelake.llm.packing import MAX_LEN, Tokens, default_tokenizer, pack, piece_lengths
 
 OWN = Tokens(default_tokenizer())
@@ -74,3 +75,17 @@ LOADED = Tokenizer.from_file(default_tokenizer())
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "a", "'s", "é", "1"]), max_size=12).map("".join))
 def test_ids_around_added_tokens(text):
     assert np.frombuffer(OWN.encode_as_loaded(text), "<u4").tolist() == LOADED.encode(text, add_special_tokens=False).ids
+
+
+def test_buckets_are_whole_ranges_of_ids_that_do_not_depend_on_partitions(spark, monkeypatch):
+    rows = [(i, "word " * (i * 7 % 90)) for i in range(300)] + [(None, "same text again")] * 90 + [(5, "x y z")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [tuple(r) for r in pack(df.repartition(2), with_ids=False).orderBy("sequence_id").collect()]
+    for crowded in (packing.CROWDED, 30):  # with 30, the repeated pieces are spread
+        monkeypatch.setattr(packing, "CROWDED", crowded)
+        got = [[tuple(r) for r in pack(df.repartition(n), with_ids=False).orderBy("sequence_id").collect()] for n in (1, 7)]
+        assert got[0] == got[1] and (got[0] == plain or crowded == 30)
+        assert sorted(map(str, (r[:5] for r in got[0]))) == sorted(map(str, (r[:5] for r in plain)))
+        assert [r[5] for r in got[0]] == list(range(len(plain)))
+        buckets = [r[7] for r in got[0]]
+        assert buckets == sorted(buckets) and all(r[2] == 1 << r[7] for r in got[0])
