@@ -1,23 +1,24 @@
 """Benchmark decontamination: BM25 with block-max WAND bounds, then verification of question and answer.
 
 The test items are the indexed side.  Their inverted index (terms, postings in blocks of items, the largest
-weight of each term overall and per block) is built from the benchmark table, which is read whole to the driver;
-its size is checked against ``max_items`` (a benchmark is a stated query set; beyond the bound the call fails).
+weight of each term overall and per block) is built on the driver from at most about ``max_items`` items of the benchmark table (a stated
+query set).  A larger benchmark is cut by a hash of the item text into several indexes of that size, each with its own term statistics; the
+passages are run against one after the other and the hits are united, so no item is left out.
 Every training passage is a query: each text is cut into windows of twice the longest item, overlapping by
 half, so that an item that occurs lies inside one window.
 
 A weight is the BM25 weight of a term in an item divided by the item's own score, so the score of a window for
 an item is the share of the item's BM25 mass found in it, and one threshold serves all items.  WAND's pivot test is
-made once for the index: the lists with the smallest largest weights that can't reach the threshold together in any
+made once for an index: the lists with the smallest largest weights that can't reach the threshold together in any
 item (``common``) never start a result, so only windows with postings in the other lists are looked at.  For these
 the largest weights of each block of items are added to what the common lists can give in the block; blocks
 that stay under the threshold are skipped, and the items of the others are scored exactly.  The bounds lose no pair
 at or above the threshold (tested against full scoring).  A pair is a leak if at least ``overlap`` of the 5-word
 shingles of the item's question and of its answer (its last sentence; shorter parts count as one shingle) occur in
-the window.
+the window, or that share of the shingles of the whole item, so that one changed word in a short answer clears nothing.
 
-Defined results: a null or empty text has no passage; items without words are ignored; an empty benchmark
-flags nothing; equal rows get equal results; extra columns pass through.
+Defined results: a null or empty text has no passage; items without words are ignored; items without id
+count, and a null stands for them once in a list; an empty benchmark flags nothing; equal rows get equal results; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, text_or_empty
+from .common import filter_rows, map_rows, stored, text_or_empty
 from .registry import query, table
 
 K1, B = 1.2, 0.75
@@ -73,6 +75,7 @@ class ItemIndex:
         kept = [(i, s, t) for (i, s), (_, t) in zip(seqs, items, strict=True) if s]
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(shingles(p) for p in question_and_answer(t)) for _, _, t in kept]
+        self.whole = [shingles(s) for _, s, _ in kept]
         self.longest = max((len(s) for _, s, _ in kept), default=0)
         n = len(kept)
         df = Counter(w for _, s, _ in kept for w in set(s))
@@ -198,16 +201,27 @@ def find_leaks(index: ItemIndex, texts: list[str], threshold: float = THRESHOLD,
                 seqs = {d: words(texts[d])}
             own = seqs[d][k * half : (k + 2) * half]
             held = {n: {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} for n in range(1, SHINGLE + 1)}
-            if all(sum(s in held[len(s)] for s in part) >= overlap * len(part) for part in index.parts[item]):
+            enough = [sum(s in held[len(s)] for s in part) >= overlap * len(part) for part in (*index.parts[item], index.whole[item])]
+            if all(enough[:-1]) or enough[-1]:
                 out[d].append(index.ids[item])
-    return [sorted(x) for x in out]
+    return [_in_order(x) for x in out]
 
 
-def _read_items(benchmark: DataFrame, item_col: str, item_text: str, max_items: int) -> list[tuple]:
-    rows = benchmark.select(item_col, item_text).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items; raise max_items or split it")
-    return sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}, key=lambda r: (r[0], r[1]))
+def _in_order(ids: list) -> list:
+    """Distinct ids, a null last."""
+    return sorted({i for i in ids if i is not None}) + [None] * (None in ids)
+
+
+def _item_sets(benchmark: DataFrame, item_col: str, item_text: str, max_items: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many sets of about ``max_items`` items there are, and the sets; one is on the driver at a time."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t <> ''").distinct()
+    n = max(1, -(-items.count() // max_items))
+
+    def read(k):
+        rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
+        return sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
+
+    return n, map(read, range(n))
 
 
 def contamination(
@@ -216,15 +230,24 @@ def contamination(
 ) -> DataFrame:
     """One row per document: ``(id, items)`` with the ids of the benchmark items it holds."""
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((docs, id_col), (benchmark, item_col)))
-    finder = _finder(docs, benchmark, item_col, item_text, threshold, overlap, max_items)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"))
-    return map_rows(rows, lambda c: (c["_id"], finder(c["_t"])), f"_id {kind}, items array<{item_kind}>").withColumnRenamed("_id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text).alias("_t"), F.lit(None).cast(f"array<{item_kind}>").alias("items"))
+    n, sets = _item_sets(benchmark, item_col, item_text, max_items)
+    for k, items in enumerate(sets, 1):
+        find = _finder(docs.sparkSession, items, threshold, overlap)
+        if k < n:  # an index at a time: the hits so far are written beside the texts
+            rows = stored(map_rows(rows, lambda c, f=find: (c["_id"], c["_t"], _united(c, f)), f"_id {kind}, _t string, items array<{item_kind}>"), "passages")
+        else:
+            rows = map_rows(rows, lambda c, f=find: (c["_id"], _united(c, f)), f"_id {kind}, items array<{item_kind}>")
+    return rows.withColumnRenamed("_id", id_col)
+
+
+def _united(cols, find) -> list[list]:
+    return [_in_order([*(had or ()), *new]) for had, new in zip(cols["items"], find(cols["_t"]), strict=True)]
 
 
-def _finder(docs, benchmark, item_col, item_text, threshold, overlap, max_items):
-    """Function from texts to item lists, with the index broadcast (its size is bounded by ``max_items``)."""
-    index = ItemIndex(_read_items(benchmark, item_col, item_text, max_items), REACH * threshold)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _finder(spark, items: list[tuple], threshold: float, overlap: float):
+    """Function from texts to item lists, with the index of these items broadcast (their number is bounded)."""
+    shared = spark.sparkContext.broadcast(ItemIndex(items, REACH * threshold))
     cache: dict = {}
 
     def find(texts):
@@ -236,9 +259,14 @@ def _finder(docs, benchmark, item_col, item_text, threshold, overlap, max_items)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns; one pass, no shuffle."""
-    finder = _finder(docs, benchmark, *(options.get(k, v) for k, v in _DEFAULTS.items()))
-    return filter_rows(docs, text, lambda texts: [not items for items in finder(texts)])
+    """The rows of ``docs`` that hold no benchmark item, with their own columns; one pass an index, no shuffle."""
+    item_col, item_text, threshold, overlap, max_items = (options.get(k, v) for k, v in _DEFAULTS.items())
+    n, sets = _item_sets(benchmark, item_col, item_text, max_items)
+    for k, items in enumerate(sets, 1):
+        find = _finder(docs.sparkSession, items, threshold, overlap)
+        docs = filter_rows(docs, text, lambda texts, f=find: [not found for found in f(texts)])
+        docs = stored(docs, "clean-passages") if k < n else docs
+    return docs
 
 
 _DEFAULTS = {"item_col": "item_id", "item_text": "text", "threshold": THRESHOLD, "overlap": OVERLAP, "max_items": MAX_ITEMS}

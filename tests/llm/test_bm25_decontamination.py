@@ -51,12 +51,12 @@ def brute_leaks(text, index, items):
         scores = brute_scores(set(own), items)
         for i, t in items:
             if t and words(t) and scores[i] >= THRESHOLD - 1e-9:
-                ok = True
-                for part in question_and_answer(t):
+                ok = []
+                for part in (*question_and_answer(t), words(t)):
                     n = min(5, len(part))
                     grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
-                    ok &= sum(any(tuple(own[j : j + n]) == g for j in range(len(own) - n + 1)) for g in grams) >= 0.8 * len(grams)
-                if ok:
+                    ok.append(sum(any(tuple(own[j : j + n]) == g for j in range(len(own) - n + 1)) for g in grams) >= 0.8 * len(grams))
+                if ok[0] and ok[1] or ok[2]:
                     out.add(i)
     return sorted(out)
 
@@ -94,3 +94,23 @@ def test_empty_sides(spark):
     assert contamination(docs.limit(0), bench).count() == 0
     assert [r["items"] for r in contamination(docs, bench.limit(0)).collect()] == [[]]
     assert find_leaks(ItemIndex([]), ["a b"]) == [[]]
+
+
+def test_a_changed_word_in_a_short_answer_clears_nothing():
+    question = " ".join(f"q{i}" for i in range(40))
+    index = ItemIndex([(1, f"{question}. a1 a2 a3 a4 a5."), (2, "other words here. none of them.")])
+    near = f"x y {question} a1 a2 a3 a4 changed z"
+    assert find_leaks(index, [near, " ".join(f"q{i}" for i in range(25)) + " a1 a2 a3 a4 a5"]) == [[1], []]
+
+
+def test_more_items_than_one_index_holds_and_items_without_id(spark):
+    rows = [(i, f"start {t} end") for i, t in ITEMS[:60]] + [(90, "nothing of it"), (91, None), (None, ITEMS[5][1])]
+    rows += [(92, " ".join(t for _, t in ITEMS[10:13]) + " the item without id has words of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [*ITEMS[:60], (None, "The item without id has words of its own."), (None, "Another item that has no id either.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contamination(docs, bench, max_items=7).collect()}
+    assert all(i in got[i] for i in range(60)) and got[90] == got[91] == [] and 5 in got[None]
+    assert got[92] == [10, 11, 12, None]
+    kept = drop_contaminated(docs, bench, max_items=7)
+    assert sorted(r.doc_id for r in kept.collect()) == [90, 91] and kept.columns == docs.columns
