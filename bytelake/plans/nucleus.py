@@ -86,10 +86,10 @@ def q_token_logprob(spark, sf):
 @query("alias_tables", sql=SQL_BASE + " SELECT ctx, next, round(prob, 9) AS prob FROM m1")
 def q_alias_tables(spark, sf):
     """The next-byte distribution as alias tables, read back from the tables' slots."""
-    return alias.implied_masses(alias.build(model(spark, sf), "ctx", "next", "prob"), "ctx", "next").select("ctx", "next", F.round("prob", 9).alias("prob"))
+    return alias.implied_masses(alias.build(model(spark, sf, shared=True), "ctx", "next", "prob"), "ctx", "next").select("ctx", "next", F.round("prob", 9).alias("prob"))
 
 
 @query("sample_alias")
 def q_sample_alias(spark, sf):
     """256 continuations drawn per context."""
-    return alias.draw(alias.build(model(spark, sf), "ctx", "next", "prob"), "ctx", "next", 256, SEED)
+    return alias.draw(alias.build(model(spark, sf, shared=True), "ctx", "next", "prob"), "ctx", "next", 256, SEED)

@@ -11,6 +11,7 @@ from bytelake.plans import catalog
 from .conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NOT_SQL = {"sample_alias"}  # draws from alias tables, see test_alias_bloom.py
 
 
 @pytest.fixture(scope="module")
@@ -35,10 +36,10 @@ def _rows(cols, rows):
 
 
 def test_every_query_has_oracle():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE) <= set(E.queries())
+    assert set(catalog.QUERIES) - NOT_SQL == set(catalog.ORACLE) and set(catalog.QUERIES) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("key", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
