@@ -22,14 +22,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/bytelake-streams/{name}-{uuid.uuid4().hex}"
 
 
-def read_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of ``folder`` matching ``file_glob`` as a stream, ``files_per_trigger`` per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", file_glob)
-        .parquet(folder)
-    )
+def read_stream(spark: SparkSession, folder: str, schema, file_glob: str = "*.parquet", files_per_trigger: int | None = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of ``folder`` matching ``file_glob`` as a stream, ``files_per_trigger`` or about ``bytes_per_trigger`` per
+    micro-batch (both None: all that are there)."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    elif files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
+
+
+def read_table_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: int | None = 256 << 20) -> DataFrame:
+    """The table at ``path`` as a stream, be it one parquet file or a folder of part files; only Spark's file systems are asked."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    folder, glob = at.getParent(), at.getName()
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        folder, glob = at, "*"
+    return read_stream(spark, folder.toString(), schema, glob, None, bytes_per_trigger)
 
 
 def stream_byte_histogram(stream: DataFrame, col: str = "text") -> DataFrame:
@@ -78,10 +88,11 @@ def stream_best_so_far(stream: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def run_complete(df: DataFrame, name: str) -> DataFrame:
-    """Drain with availableNow in complete mode; each batch overwrites the output with the full state."""
+    """Drain with availableNow in complete mode; each batch overwrites the output with the full state (empty without any batch)."""
     spark = df.sparkSession
     base = scratch(spark, name)
     out = f"{base}/out"
+    spark.createDataFrame([], df.schema).write.parquet(out)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
