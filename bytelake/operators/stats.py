@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VOCAB, WeightConfig
-from ..functions.arrow_counts import value_bytes
+from ..functions.arrow_counts import count_bytes, value_bytes
 from ..functions.binary import col_, utf8
 from ..functions.rng import u01
 
@@ -17,8 +17,7 @@ def _hist_task(it):
     counts = np.zeros(VOCAB, np.int64)
     for batch in it:
         data, _ = value_bytes(batch.column(0))
-        if len(data):
-            counts += np.bincount(data, minlength=VOCAB)
+        counts += count_bytes(data)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(VOCAB, dtype=np.int32)), pa.array(counts)], names=["byte", "cnt"]
     )
