@@ -1,6 +1,7 @@
 import html as H
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,36 @@ def test_pages_without_their_marks_come_out_the_same(spark):
     marked, found = ([(i, b) for i, blocks in t.items() for b in blocks if b] for t in texts)
     both = len(set(marked) & set(found))
     assert both >= 0.95 * len(set(marked)) and both >= 0.95 * len(set(found))
+
+
+def test_table_judges_marked_blocks_against_brute_force(spark):
+    """Notices inside articles that are not the same word for word: strings of the host cover some of them whole."""
+    import random
+
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(rnd.choice("aeiou") + str(rnd.randrange(4000)) for _ in range(n))
+    x, y, z, short = prose(30), prose(30), prose(30), "read more"
+    own = {}
+    for i in range(60):
+        notice = (f"{x} {y}", f"{x} {y} {z}", y, f"{x} {y}", f"{x} {prose(3)} {y}")[i % 5]
+        own[i] = [prose(800), notice, *([short] if i % 3 else []), f"{short} {prose(4)}"]
+    df = spark.createDataFrame([(i, "http://h.x/", "<article>" + "".join(f"<p>{b}</p>" for b in own[i]) + "</article>") for i in own], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in extract_main_text(df.repartition(4), rule=WHOLE_BLOCKS).collect()}
+
+    match = WHOLE_BLOCKS.match
+    strings = lambda b: [tuple(t[k : k + match]) for t in [b.split() if len(b.split()) >= match else [*b.split(), None]] for k in range(max(1, len(t) - match + 1))]
+    often = lambda pages: {s for s, n in Counter(s for p in pages for s in set(p)).items() if n >= max(10, 0.5 * len(own))}
+    heads = often([strings(b)[0] for b in blocks] for blocks in own.values())
+    common = often([s for b in blocks if strings(b)[0] in heads for s in strings(b)] for blocks in own.values())
+    n_gone = 0
+    for i, blocks in own.items():
+        want = []
+        for b in blocks:
+            n = len(b.split())
+            covered = {k + d for k, s in enumerate(strings(b)) if s in common for d in range(match)}
+            if strings(b)[0] not in heads or not covered.issuperset(range(n)):
+                want.append(b)
+        n_gone += len(blocks) - len(want)
+        assert got[i] == want, i
+    assert n_gone > 60  # "read more" on 40 pages, and notices that differ
+    assert f"{x} {y} {z}" in got[1] and y in got[2] and f"{x} {y}" not in got[0]
