@@ -5,15 +5,16 @@ the positions, is circularly shifted by 0, 1, 2, ...: coordinate k is the least
 
 1. Sets.  Each text's set of 5-word shingles is hashed (64 bits each).  Texts with one set are one node, whatever their number.
 2. Bands.  32 bands of six coordinates; sets that share a band meet.  A pair at similarity 0.85 is missed with probability 3e-7.
-3. Stars.  Each node is verified against one node of each of its bands, the one with the fewest shingles of its own (of near copies the text they were
-   made from): one pair a node and band at most, so a group of near copies costs a pair a copy.
+3. Stars.  Each node is verified against one node of each of its bands, the one that meets most others in all its bands (of near copies the text they
+   were made from): one pair a node and band at most, so a group of near copies costs a pair a copy.
 4. Rest.  Links make components; only bands that hold several are still open.  In an order of all shingles (rarest first, by a table of counts
-   of fixed size) two similar sets share a shingle that leaves enough behind it in both, so the open nodes meet again on such shingles, and only
+   with two slots or more a shingle, 64 MB at most) two similar sets share a shingle that leaves enough behind it in both, so the open nodes meet again on such shingles, and only
    pairs of different components count: copies too far from all others have none.  Groups of at most
    ``crowded`` nodes verify all such pairs; in larger ones a few nodes of the smallest components (twice as many each round) are verified against the others and leave, until
    one component or a small group is left.  So no link is lost.
 5. Verification.  Both full sets meet in one task: the partners of a node in slices of a bounded number, each with the node's set.  Sizes
-   are compared first, then intersections are counted exactly.
+   are compared first, then intersections are counted exactly.  The narrow lists of pairs and open nodes go to the sets (by broadcast up to
+   ``common.SMALL_ROWS`` rows), so sets are shuffled only to meet their partners.
 
 Defined results: nulls and texts without words have an empty set, linked with nothing (their component is their own id); equal rows
 are separate rows of one component; ``component_id`` ignores null ids (null if there is no other); ``kept`` is false for a null id; empty
@@ -41,7 +42,7 @@ ROWS = 6
 CROWDED = 64
 HUBS = 16
 SLICE = 256  # partners verified against a node at once
-BITS, PART = 22, 12  # slots of the table of shingle counts (a byte each), and how many of them are summed together (powers of two)
+LEAST_BITS, MOST_BITS, PARTS = 22, 26, 10  # slots of the table of shingle counts (a byte each), and the parts they are summed in (powers of two)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -118,7 +119,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     part = F.pmod(F.xxhash64("v"), F.col("slices"))
     dealt = near.join(sizes, "u").select("u", F.col("v").alias("node"), part.alias("slice"))
     hubs = sizes.select("u", F.col("u").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-    rows = dealt.unionByName(hubs).join(sets, "node")
+    rows = small(stored(dealt.unionByName(hubs), "sides")).join(sets, "node")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(key, group):
@@ -138,41 +139,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.groupBy("u", "slice").applyInArrow(compare, "u long, v long"), "links")
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.int64)
 
 
-def _slot_counts(cols):
-    slots, n = np.unique(np.concatenate([_slots(np.frombuffer(g, np.uint64)) for g in cols["grams"]]), return_counts=True)
-    edge = np.flatnonzero(np.diff(slots >> PART, prepend=-1)).tolist()
+def _slot_counts(cols, bits):
+    slots, n = np.unique(np.concatenate([_slots(np.frombuffer(g, np.uint64), 1 << bits) for g in cols["grams"]]), return_counts=True)
+    within = bits - PARTS
+    edge = np.flatnonzero(np.diff(slots >> within, prepend=-1)).tolist()
     ends = [*edge[1:], len(slots)]
-    low, n = (slots & ((1 << PART) - 1)).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
-    return slots[edge] >> PART, [low[b:e].tobytes() for b, e in zip(edge, ends, strict=True)], [n[b:e].tobytes() for b, e in zip(edge, ends, strict=True)]
+    low, n = (slots & ((1 << within) - 1)).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
+    return slots[edge] >> within, [low[b:e].tobytes() for b, e in zip(edge, ends, strict=True)], [n[b:e].tobytes() for b, e in zip(edge, ends, strict=True)]
 
 
-def _count_table(sets: DataFrame) -> np.ndarray:
-    """How many sets' shingles fall on each slot, 255 at most: 2^BITS bytes whatever the input."""
+def _count_table(sets: DataFrame, shingles: int) -> np.ndarray:
+    """How many sets' shingles fall on each slot, 255 at most; two to four slots for each of ``shingles`` (all in the sets), 64 MB at most."""
     schema = pa.schema([("part", pa.int64()), ("counts", pa.binary())])
+    bits = min(MOST_BITS, max(LEAST_BITS, shingles.bit_length() + 1))
+    within = bits - PARTS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = np.zeros(1 << PART, np.int64), None
+        total, part = np.zeros(1 << within, np.int64), None
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             for at, n in zip(batch.column("slots"), batch.column("counts"), strict=True):
                 total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])], schema=schema)
 
-    parts = map_rows(sets.select("grams"), _slot_counts, "part long, slots binary, counts binary", 1024)
-    out = np.zeros(1 << BITS, np.uint8)
-    for row in parts.groupBy("part").applyInArrow(add, "part long, counts binary").toLocalIterator():
-        out[row["part"] << PART : (row["part"] + 1) << PART] = np.frombuffer(row["counts"], np.uint8)
+    parts = map_rows(sets.select("grams"), lambda c: _slot_counts(c, bits), "part long, slots binary, counts binary", 1024)
+    out = np.zeros(1 << bits, np.uint8)
+    sums = stored(parts.groupBy("part").applyInArrow(add, "part long, counts binary"), "shingle-counts")  # few files to read, not a job a partition
+    for row in sums.toLocalIterator():
+        out[row["part"] << within : (row["part"] + 1) << within] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """``(shingles, places)`` of a set's first shingles, rarest first, one of which any similar set has among its own first ones; those no other set
     holds are left out."""
-    n = counts[_slots(hashes)]
+    n = counts[_slots(hashes, len(counts))]
     first = np.lexsort((hashes, n))[: len(hashes) + percent * len(hashes) // -100 + 1]
     at = np.flatnonzero(n[first] > 1)
     return hashes[first[at]].view(np.int64), at
@@ -186,10 +191,6 @@ def _prefix_rows(cols, shared, percent):
     return keys, np.repeat(np.array(cols["node"], np.int64), sizes), np.repeat(np.array(n, np.int64), sizes), at
 
 
-def _own_shingles(cols, shared):
-    return cols["node"], [int((shared.value[_slots(np.frombuffer(g, np.uint64))] < 2).sum()) for g in cols["grams"]]
-
-
 def _needed(n, m, percent: int):
     """The least intersection of similar sets of n and m shingles."""
     return F.ceil((n + m) * percent / F.lit(100 + percent))
@@ -202,9 +203,8 @@ def _reachable(rows: DataFrame, percent: int) -> DataFrame:
     return rows.join(least, "key").filter(F.col("n") - F.col("at") >= _needed(F.col("n"), other, percent)).drop("_m")
 
 
-def _open_bands(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Band members ``(key, node, n)`` with their component ``root``, of the bands that hold more than one component."""
-    roots = components(links)
     named = members.join(roots, members["node"] == roots["node"], "left").select("key", members["node"], "n", "at", F.coalesce("root", members["node"]).alias("root"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
     return stored(named.join(several.select("key", "size"), "key"), "open-bands")
@@ -221,17 +221,19 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, crowded: int, hubs: int) -> DataFrame:
-    """Links between nodes whose components are those of all pairs similar enough that share a band."""
-    counts = sets.sparkSession.sparkContext.broadcast(_count_table(sets))
-    own = stored(map_rows(sets, lambda c: _own_shingles(c, counts), "node long, own long"), "own-shingles")
-    first = members.join(own, "node").groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("hub"))
+def _linked(members: DataFrame, sets: DataFrame, percent: int, crowded: int, hubs: int) -> DataFrame:
+    """The components ``(node, root)`` of all pairs similar enough that share a band; nodes without a link are not listed."""
+    met = small(stored(members.groupBy("node").agg(F.sum(-F.col("size")).alias("met")), "met-nodes"))
+    first = members.join(met, "node").groupBy("key").agg(F.min(F.struct("met", "node", "n")).alias("hub"))
     stars = members.join(first, "key").filter("node <> hub.node")
-    links = _verified(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("nu"), F.col("n").alias("nv")), sets, percent)
-    nodes = _open_bands(members.withColumn("at", F.lit(0)), links).select("node").distinct()
+    stars = _verified(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("nu"), F.col("n").alias("nv")), sets, percent)
+    roots = components(stars)
+    nodes = small(stored(_open_bands(members.withColumn("at", F.lit(0)), roots).select("node", "n").distinct(), "open-nodes"))
     unsettled = sets.join(nodes, "node", "left_semi")
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = sets.sparkSession.sparkContext.broadcast(_count_table(unsettled, shingles))
     left = map_rows(unsettled, lambda c: _prefix_rows(c, counts, percent), "key long, node long, n long, at long")
-    left = _open_bands(_reachable(stored(left, "prefixes"), percent), links)
+    left = _open_bands(_reachable(stored(left, "prefixes"), percent), roots)
     while not left.isEmpty():
         few = left.filter(F.col("size") <= crowded)
         many = left.filter(F.col("size") > crowded)
@@ -243,11 +245,12 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, crowded: int, hubs
             chosen = chosen.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= hubs)
         chosen = stored(chosen.select("key", "root", "node", "n", "at"), "hubs")
         more = _verified(_pairs(few, few, percent).unionByName(_pairs(chosen, many, percent)), sets, percent)
-        links = stored(links.unionByName(more), "links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
         left = many.select("key", "node", "n", "at").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-        left = _open_bands(left, links)
+        left = _open_bands(left, roots)
         hubs *= 2
-    return links
+    return roots
 
 
 def minhash_components(
@@ -261,18 +264,24 @@ def minhash_components(
     schema = f"_id {kind}, _h long, n long, d1 long, d2 long, keys array<long>"
     sketches = stored(map_rows(named, lambda c: _sketches(c, shingle, bands, rows), schema), "sketches")
     nodes = sketches.filter("n > 0").groupBy("d1", "d2").agg(
-        F.min("_id").alias("least"), F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min("_id").alias("least"), F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.count(F.lit(1)).alias("copies"),
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     met = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = small(stored(met.groupBy("key").count().filter("count > 1").select("key"), "shared-bands"))
-    members = stored(met.join(shared, "key").select("key", "node", "n"), "band-members")
-    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep._id", "rep._h")
-    involved = small(stored(involved.withColumnsRenamed({"_id": "_rid", "_h": "_rh"}), "candidate-nodes"))
-    texts = named.join(involved, named["_id"].eqNullSafe(involved["_rid"]) & (named["_h"] == involved["_rh"])).select("node", "_t")
-    sets = map_rows(texts, lambda c: (c["node"], [shingle_set(t, shingle).tobytes() for t in c["_t"]]), "node long, grams binary")
-    sets = stored(sets.groupBy("node").agg(F.first("grams").alias("grams")), "full-sets")
-    roots = components(_links(members, sets, percent, crowded, hubs)).withColumnRenamed("node", "_node")
+    shared = small(stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-bands"))
+    members = stored(met.join(shared, "key").select("key", "node", "n", "size"), "band-members")
+    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep._id", "rep._h", "copies")
+    involved = stored(involved.withColumnsRenamed({"_id": "_rid", "_h": "_rh"}), "candidate-nodes")
+
+    def full(of: DataFrame) -> DataFrame:
+        of = small(of)
+        texts = named.join(of, named["_id"].eqNullSafe(of["_rid"]) & (named["_h"] == of["_rh"])).select("node", "_t")
+        return map_rows(texts, lambda c: (c["node"], [shingle_set(t, shingle).tobytes() for t in c["_t"]]), "node long, grams binary")
+
+    again = full(involved.filter("copies > 1")).groupBy("node").agg(F.first("grams").alias("grams"))  # rows with one id and text
+    sets = stored(full(involved.filter("copies = 1")).unionByName(again), "full-sets")
+    roots = _linked(members, sets, percent, crowded, hubs).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, nodes["node"] == roots["_node"], "left").select("d1", "d2", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     label = rooted.join(least, "root").select("d1", "d2", "component")

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bytelake.llm import circulant_minhash
 from bytelake.llm.circulant_minhash import band_keys, minhash_components, prefix, second_permutation, shingle_set, signature
+from bytelake.llm.common import map_rows
 
 
 def grams(text):
@@ -126,3 +128,54 @@ def test_set_sizes(text, n):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_sets_are_shuffled_only_to_meet_their_partners(spark, monkeypatch):
+    """Lists of pairs and open nodes go to the sets, whatever Spark would broadcast by itself."""
+    plans = {}
+    keep = circulant_minhash.stored
+
+    def spied(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, tag)
+
+    read = []
+
+    def spied_rows(df, *a):
+        if df.columns == ["node", "grams"] or df.columns == ["grams"]:
+            read.append(df._jdf.queryExecution().sparkPlan().toString())
+        return map_rows(df, *a)
+
+    monkeypatch.setattr(circulant_minhash, "stored", spied)
+    monkeypatch.setattr(circulant_minhash, "map_rows", spied_rows)
+    rows = corpus(2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan in (plans["links"], *read):
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert len(read) == 2
+
+
+@pytest.mark.parametrize("size", [1000, 1 << 20, 1 << 22])
+def test_count_table_grows_with_the_shingles(spark, size):
+    """A full table makes all shingles look frequent, and pairs to be verified grow faster than the input."""
+    rnd = np.random.default_rng(size)
+    sets = [np.unique(rnd.integers(0, 1 << 63, size // 4, np.uint64)) for _ in range(4)]
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, grams binary")
+    total = sum(map(len, sets))
+    counts = circulant_minhash._count_table(frame, total)
+    assert len(counts) >= max(2 * total, 1 << 22) and int(counts.sum()) == total
+    want = np.bincount((np.concatenate(sets) % np.uint64(len(counts))).astype(np.int64), minlength=len(counts))
+    assert (counts == want).all()
+
+
+def test_rows_with_one_id_and_text(spark):
+    rnd = random.Random(12)
+    body = [f"w{rnd.randrange(900)}" for _ in range(80)]
+    near = [*body[:40], "edit", *body[41:]]
+    rows = [(None, " ".join(body))] * 3 + [(5, " ".join(near))] * 2 + [(4, " ".join(near)), (9, " ".join([*near[:60], "other"])), (7, " ".join(body))]
+    assert got(spark, rows) == brute(rows)
